@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import bpe_round_trip
 from gridloom.llm.chat import chat_digests, format_chats
 from gridloom.llm.common import table
+from gridloom.llm.fingerprint import edited_fingerprints
+from gridloom.llm.lines import apply_line_marks, line_marks
+from gridloom.llm.rules import quality_rules
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +57,41 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_chat_formatting": op5_chat_formatting, "op8_bpe_round_trip": op8_bpe_round_trip}
-ORACLES = {"op5_chat_formatting": OP5_SQL}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = apply_line_marks(docs, line_marks(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), keys AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+  SELECT l.*, k.key IS NOT NULL AND l.doc_id <> k.first AS dropped FROM lines l LEFT JOIN keys k ON l.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL}
