@@ -66,8 +66,8 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a row: doc_id and the counts that rules use.
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word that equal
-    an earlier line), n_repeat_words, and n_lines (with a word), n_upper,
-    n_marks (``!`` and ``?``), n_lone (words without a letter or digit).
+    an earlier line), n_repeat_words, and n_lines (with a word), n_upper and
+    n_marks (``!`` and ``?``).
     A null text has no words. Null ids pass through, repeated rows repeat,
     other columns are ignored. No shuffle.
     """
