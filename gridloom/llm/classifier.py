@@ -20,8 +20,8 @@ FEATURES: dict[str, str] = {
     "upper": "sqrt((n_upper + 2) / (word_chars + 30))",
     "marks": "sqrt(n_marks / (n_words + 8))",
     "word_length": "(word_chars + 40) / (n_words + 8)",
-    "repeated_words": "sqrt(n_repeat_words / (n_words + 30))",
-    "repeated_lines": "sqrt(n_dup_lines / (n_lines + 8))",
+    "doubled_words": "sqrt(n_doubled / (n_words + 4))",
+    "repeated_words": "sqrt(n_repeat_words / (n_words + 100))",
 }
 
 

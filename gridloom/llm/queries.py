@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import bpe_round_trip
 from gridloom.llm.chat import chat_digests, format_chats
+from gridloom.llm.classifier import quality_scores
 from gridloom.llm.common import table
 from gridloom.llm.fingerprint import edited_fingerprints
+from gridloom.llm.jaccard import jaccard_groups
 from gridloom.llm.lines import apply_line_marks, line_marks
+from gridloom.llm.packing import pack_documents
 from gridloom.llm.rules import quality_rules
 
 
@@ -87,11 +90,49 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, s.n
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_chat_formatting": OP5_SQL}

@@ -66,8 +66,8 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a row: doc_id and the counts that rules use.
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word that equal
-    an earlier line), n_repeat_words, and n_lines (with a word), n_upper and
-    n_marks (``!`` and ``?``).
+    an earlier line), n_repeat_words, and n_lines (with a word), n_upper,
+    n_marks (``!`` and ``?``) and n_doubled (words equal to the word before).
     A null text has no words. Null ids pass through, repeated rows repeat,
     other columns are ignored. No shuffle.
     """
@@ -85,6 +85,7 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.size(w).cast("bigint").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
             _repeats(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("bigint").alias("n_doubled"),
         ),
     )
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
@@ -97,7 +98,7 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (size - F.char_length(F.regexp_replace("text", r"\p{Lu}+", ""))).cast("bigint").alias("n_upper"),
         (size - F.char_length(marks)).cast("bigint").alias("n_marks"),
     )
-    return counted.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_marks")
+    return counted.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_marks", "w.n_doubled")
 
 
 #: rule -> (SQL of its value; larger is worse, candidate cutoffs from lenient to strict)
@@ -105,6 +106,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]),
     "upper": ("n_upper / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]),
     "marks": ("n_marks / greatest(n_words, 1)", [1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15]),
+    "doubled_words": ("n_doubled / greatest(n_words, 1)", [0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
     "repeated_words": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25]),
     "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
     "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0]),
