@@ -13,7 +13,9 @@ from gridloom.llm.fingerprint import edited_fingerprints
 from gridloom.llm.jaccard import jaccard_groups
 from gridloom.llm.lines import apply_line_marks, line_marks
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.pii import find_pii, pii_digests
 from gridloom.llm.rules import quality_rules
+from gridloom.llm.secrets import find_secrets, secret_digests
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +127,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(find_pii(table(spark, sf_dir, "documents")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_pii": op4_pii,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_chat_formatting": OP5_SQL}
