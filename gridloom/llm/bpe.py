@@ -28,13 +28,13 @@ _L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers pieces in order of first use; ``new`` has those since it was last emptied."""
 
     def __init__(self) -> None:
-        self.new: list[str] = []
+        self.new: list = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
         return n
@@ -95,7 +95,7 @@ class ByteBPE:
         return rows, np.arange(width)[None, :] < np.array([len(t) for t in strings])[:, None]
 
     def _forget(self) -> None:
-        self._numbers, self._flat, self._ends, self._held = _Numbers(), [], [], 0
+        self._numbers, self._flat, self._ends, self._held = Numbers(), [], [], 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) << 20) | b

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import blocks
+from gridloom.llm.bpe import Numbers, blocks
 from gridloom.llm.common import written
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -23,7 +23,7 @@ class WordEncoder:
 
     Chunks between ASCII white space are encoded by the library once and
     remembered (at most ``cache`` of them between blocks). It suits
-    tokenizers that drop white space and look at nothing across it.
+    tokenizers that fold case, drop white space and look at nothing across it.
     """
 
     def __init__(self, path: str, cache: int = 400_000):
@@ -37,20 +37,21 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[bytes, int] = {}
+        self._number = Numbers()
         self._flat, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self._number) > self._cache:
             self._forget()
-        number, known = self._number, len(self._number)
-        used = []
+        number, used = self._number.__getitem__, []
         for t in texts:
-            found = t.split()  # bytes: ASCII white space alone
-            used.append(np.fromiter([number.setdefault(c, len(number)) for c in found], np.int64, len(found)))
-        new = [c.decode("utf-8", errors="replace") for c in list(number)[known:]]
+            # bytes: ASCII white space and letters alone; A-Z fold here, where no special token can arise by it
+            found = (t if b"<|" in t else t.lower()).split()
+            used.append(np.fromiter(map(number, found), np.int64, len(found)))
+        new = [c.decode("utf-8", errors="replace") for c in self._number.new]
+        self._number.new = []
         for lo in range(0, len(new), 20_000):
-            ids = [e.ids for e in self._model.encode_batch(new[lo : lo + 20_000], add_special_tokens=False)]
+            ids = [e.ids for e in self._model.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
             self._sizes = np.append(self._sizes, [len(x) for x in ids])
             self._flat = np.append(self._flat, np.fromiter((t for x in ids for t in x), np.int64))
         starts, out = np.cumsum(self._sizes) - self._sizes, []
