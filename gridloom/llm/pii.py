@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.boosting import Boosted, boost
 from gridloom.llm.common import let
-from gridloom.llm.spans import labelled, masked, matches, written_out
+from gridloom.llm.spans import LABELLED, labelled, masked, matches, written_out
 
 #: The kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -201,9 +201,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     likely = F.col("text").rlike(r"[0-9@\[({]")
     found = base_spans(F.col("text"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    base = F.sort_array(F.concat(*[labelled(found[k], k, i) for i, k in enumerate(KINDS)]))
-    rows = rows.withColumn("base", F.when(likely, base).otherwise(none))
+    none = F.from_json(F.lit("[]"), LABELLED)
+    base = F.sort_array(F.concat(none, *[labelled(found[k], k, i) for i, k in enumerate(KINDS)]))
+    # texts without a digit, an at sign or an opening bracket take no part in what follows
+    bare = rows.where(~likely).select("doc_id", "text", none.alias("base"), none.alias("spans"))
+    rows = rows.where(likely).withColumn("base", base)
 
     def judged(c: Column) -> Column:
         score = model.margin(lambda n: c["x"][n])
@@ -219,7 +221,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     plain = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
     more = F.transform(chosen(F.transform(candidates(F.col("text")), judged)), plain)
-    return rows.withColumn("spans", F.when(likely, F.sort_array(F.concat("base", more))).otherwise(F.col("base")))
+    return bare.unionByName(rows.withColumn("spans", F.sort_array(F.concat("base", more))))
 
 
 def redact_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +229,14 @@ def redact_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return find_pii(df, id_col, text_col).select("doc_id", masked(F.col("text"), F.col("spans")).alias("redacted"))
 
 
+def redact_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with personal data in ``text_col`` replaced by its kind in brackets; null texts become empty."""
+    whole = df.withColumn("_row", F.struct(*[df[c] for c in df.columns]))
+    found = find_pii(whole, "_row", text_col)
+    clean = masked(F.col("text"), F.col("spans"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"doc_id.`{c}`").alias(c) for c in df.columns])
+
+
 def pii_digests(found: DataFrame) -> DataFrame:
     """Counts of base spans by kind, a digest of them, and all spans written out."""
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")

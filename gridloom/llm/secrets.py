@@ -10,8 +10,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
-from gridloom.llm.spans import SPAN, labelled, masked, matches, written_out
+from gridloom.llm.common import let, written
+from gridloom.llm.spans import LABELLED, SPAN, labelled, masked, matches, written_out
 
 #: Above so many candidate texts, they are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 500_000
@@ -59,8 +59,9 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
     """
 
     def closed(strings: set[str]) -> Query:
-        branches = [trigrams(s) for s in sorted(strings)]
-        return [branches] if branches and all(branches) else []
+        branches = sorted({trigrams(s) for s in strings}, key=lambda b: (len(b), sorted(b)))
+        least = [b for k, b in enumerate(branches) if not any(a <= b for a in branches[:k])]
+        return [least] if least and all(least) else []
 
     def walk(nodes) -> tuple[set[str] | None, Query]:
         exact: set[str] | None = {""}
@@ -109,9 +110,10 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 
 def postings(rows: DataFrame, wanted: list[str]) -> DataFrame:
     """The index: (trigram, row_key) of the wanted trigrams, by trigram. Keys that collide only add candidates."""
-    low = F.lower("text")
-    present = rows.select("row_key", low.alias("low")).select("row_key", F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("low"), t)).alias("found"))
-    return written(present.select(F.explode("found").alias("trigram"), "row_key"), "postings")
+    found = let(F.lower("text"), lambda low: F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(low, t)))
+    # the outer form: the plain one tests the array's size first, which would make it twice
+    present = rows.select(F.explode_outer(found).alias("trigram"), "row_key").where("trigram IS NOT NULL")
+    return written(present, "postings")
 
 
 def trigram_candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -146,20 +148,27 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = found.count() <= BROADCAST_ROWS
     both = rows.join(F.broadcast(found) if few else found, "row_key", "left")
     none = F.from_json(F.lit("[]"), SPAN)
+    likely = F.col("kinds").isNotNull()
+    for r in rules:
+        if r not in indexed:
+            likely = likely | F.col("text").rlike(r.pattern)
 
     def spans(r: Rule) -> Column:
         got = matches(F.col("text"), r.pattern, r.inner)
         if r.least > 1:
             got = F.filter(got, lambda s: F.char_length(s["inner"]) >= r.least)
-        return F.when(F.array_contains("kinds", r.kind), got).otherwise(none) if r in indexed else F.when(F.col("text").rlike(r.pattern), got).otherwise(none)
-
-    ranked = [(i, r) for i, r in enumerate(rules)]
-    base = F.sort_array(F.concat(*[labelled(spans(r), r.kind, i) for i, r in ranked if r.base]))
-    more = [labelled(spans(r), r.kind, i) for i, r in ranked if not r.base]
-    both = both.withColumn("base", base)
-    outside = F.filter(F.concat(*more), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))) if more else F.filter("base", lambda s: F.lit(False))
-    extra = F.when(F.col("kinds").isNull(), F.filter("base", lambda s: F.lit(False))).otherwise(outside) if all(r.base or r in indexed for r in rules) else outside
-    return both.select("doc_id", "text", "base", F.sort_array(F.concat("base", extra)).alias("spans"))
+        may = F.array_contains("kinds", r.kind) if r in indexed else F.col("text").rlike(r.pattern)
+        return F.when(may, got).otherwise(none)
+
+    # texts without a candidate take no part in what follows
+    nothing = F.from_json(F.lit("[]"), LABELLED)
+    plain = both.where(~likely).select("doc_id", "text", nothing.alias("base"), nothing.alias("spans"))
+    ranked = list(enumerate(rules))
+    base = F.sort_array(F.concat(nothing, *[labelled(spans(r), r.kind, i) for i, r in ranked if r.base]))
+    more = F.concat(nothing, *[labelled(spans(r), r.kind, i) for i, r in ranked if not r.base])
+    found = both.where(likely).select("doc_id", "text", base.alias("base"), more.alias("more"))
+    outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return plain.unionByName(found.select("doc_id", "text", "base", F.sort_array(F.concat("base", outside)).alias("spans")))
 
 
 def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import let, prefix_sums
 
 SPAN = "array<struct<start:bigint,end:bigint,text:string,inner:string>>"
+LABELLED = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def matches(text: Column, pattern: str, inner: int = 0) -> Column:
