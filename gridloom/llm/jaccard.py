@@ -184,34 +184,39 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int = 300_000) -> DataFrame:
-    """Streams down the sorted index. kind 0: a pair of nodes; kind 1: (key, node, meta) of a long list."""
+    """Streams down the sorted index.
+
+    kind 0: a pair of nodes, the first of a list with each other. kind 1: (list,
+    node, meta) of lists of three or more, whose other pairs come later if
+    their members are not in one group by then. Lists of up to ``short`` members
+    are named by their members, so that those of many keys are one list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        leader: tuple[int, int, int] | None = None  # of a long list that goes on: key, node, meta
+        nothing = [np.zeros(0, np.int64)] * 3
+        held, leader = nothing, None  # leader: key, node, meta of a long list that goes on
 
-        def made(kind: int, a: np.ndarray, b: np.ndarray, meta: np.ndarray | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b, "meta": np.zeros(len(a), np.int64) if meta is None else meta})
+        def made(kind: int, a: np.ndarray, b: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b, "meta": meta})
 
-        def pairs(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> np.ndarray:
-            a, b = a[ok], b[ok]
-            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+        def pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            ok = _near(x, y, percent) & (a != b)
+            return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, leader
             key, node, meta = held
+            held = nothing
             if not len(key):
                 return
-            same = np.zeros(len(key), dtype=bool)
-            same[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
-            key, node, meta = key[~same], node[~same], meta[~same]
-            found: list[np.ndarray] = []
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, meta = key[fresh], node[fresh], meta[fresh]
+            found = []
             if leader and key[0] == leader[0]:
-                end = int(np.searchsorted(key != leader[0], True)) if (key != leader[0]).any() else len(key)
-                k = slice(0, end)
-                found.append(pairs(np.full(end, leader[1]), node[k], _near(np.full(end, leader[2]), meta[k], percent)))
+                end = int(np.searchsorted(np.cumsum(key != leader[0]), 1))
+                found.append(pairs(np.full(end, leader[1]), node[:end], np.full(end, leader[2]), meta[:end]))
                 if not leader[2] >> 62:
-                    yield made(1, key[k], node[k], meta[k])
+                    yield made(1, key[:end], node[:end], meta[:end])
                 key, node, meta = key[end:], node[end:], meta[end:]
             if len(key):
                 leader = None
@@ -219,28 +224,29 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
                 sizes = np.diff(np.append(starts, len(key)))
                 if not last and sizes[-1] <= short:  # the last list may go on
                     held = [x[starts[-1] :] for x in (key, node, meta)]
+                    key, node, meta = (x[: starts[-1]] for x in (key, node, meta))
                     starts, sizes = starts[:-1], sizes[:-1]
-                else:
-                    held = [np.zeros(0, np.int64)] * 3
-                    if sizes[-1] > short:  # the first has the fewest rare tokens of those indexed singly
-                        s = starts[-1]
-                        leader = (int(key[s]), int(node[s]), int(meta[s]))
-                for m in range(2, short + 1):
-                    if len(at := starts[sizes == m]):
-                        i, j = np.triu_indices(m, 1)
-                        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                        found.append(pairs(node[x], node[y], _near(meta[x], meta[y], percent)))
-                for s, m in zip(starts[sizes > short], sizes[sizes > short], strict=True):
-                    if meta[s] >> 62:  # all are indexed by pairs too and meet there
-                        continue
-                    k = slice(s, s + m)
-                    found.append(pairs(np.full(m - 1, node[s]), node[s + 1 : s + m], _near(np.full(m - 1, meta[s]), meta[s + 1 : s + m], percent)))
-                    yield made(1, key[k], node[k], meta[k])
-            else:
-                held = [np.zeros(0, np.int64)] * 3
+                elif sizes[-1] > short:
+                    leader = tuple(int(x[starts[-1]]) for x in (key, node, meta))
+                # lists led by a set that is indexed by pairs too hold only such sets, which meet there
+                single = (sizes > 1) & (meta[starts] >> 62 == 0)
+                at = np.repeat(starts, sizes)
+                other = np.repeat(single, sizes) & (np.arange(len(key)) != at)
+                at = at[other]
+                found.append(pairs(node[at], node[other], meta[at], meta[other]))
+                if len(starts):
+                    name = np.add.reduceat(_mixed(node.view(np.uint64)), starts).view(np.int64)
+                    small = single & (sizes > 2) & (sizes <= short)
+                    _, first = np.unique(name, return_index=True)
+                    once = np.zeros(len(starts), dtype=bool)
+                    once[first] = True
+                    name = np.where(sizes > short, key[starts], name)
+                    keep = np.repeat((small & once) | (single & (sizes > short)), sizes)
+                    if keep.any():
+                        yield made(1, np.repeat(name, sizes)[keep], node[keep], meta[keep])
             if found and len(all_ := np.concatenate(found)):
                 all_ = np.unique(all_, axis=0)
-                yield made(0, all_[:, 0].copy(), all_[:, 1].copy())
+                yield made(0, all_[:, 0].copy(), all_[:, 1].copy(), np.zeros(len(all_), np.int64))
 
         waiting = 0
         for batch in batches:
@@ -288,34 +294,85 @@ class _Verifier:
         """The pairs (a, b) that link."""
         k, seed, percent = self.k, self.seed, self.percent
         nodes = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
-        wanted = written(nodes.join(self.reps, "d1").select(F.col("rep").alias("doc_id")), "wanted")
-        n = wanted.count()
-        texts = self.rows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+        wanted = written(nodes.join(self.reps, "d1").select(F.col("rep").alias("doc_id"), F.col("d1").alias("node")), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS
+        # whole texts move, not sets of hashes, which do not compress
+        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles = Shingles(k, seed)
             for batch in batches:
-                for _, block in blocks(batch.column("text")):
+                for lo, block in blocks(batch.column("text")):
                     sets = shingles.sets(block)
-                    yield pa.RecordBatch.from_pydict({"node": pa.array([_digest(s, seed)[0] for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-        sets = written(texts.mapInArrow(build, "node bigint, tokens binary"), "sets")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = []
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                    x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
-
-        first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(check, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "linked")
+                    small = [len(s).to_bytes(8, "little") + bitmap(s) for s in sets]
+                    yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, len(block)), "small": pa.array(small, pa.binary())})
+
+        small = written(texts.mapInArrow(build, "node bigint, small binary"), "bitmaps")
+
+        def checked(pairs: DataFrame, sides: DataFrame, column: str, test) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                judge = test()
+                for batch in batches:
+                    cols = [batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]
+                    ok = [judge(*row) for row in zip(*cols, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
+
+            first = sides.select(F.col("node").alias("a"), F.col(column).alias("x"))
+            second = sides.select(F.col("node").alias("b"), F.col(column).alias("y"))
+            both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
+            return written(both.mapInArrow(run, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "checked")
+
+        def may_link():
+            def judge(a: int, b: int, x: bytes, y: bytes) -> bool:
+                m, n = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+                most = most_shared(m, n, x[8:], y[8:])
+                return 100 * most >= percent * (m + n - most)
+
+            return judge
+
+        def do_link():
+            shingles, known = Shingles(k, seed), {}
+
+            def set_of(node: int, text: bytes) -> np.ndarray | None:
+                if node not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    found = shingles.sets([text])[0]
+                    # rows that repeat an id may have another text than the set's
+                    known[node] = found if _digest(found, seed)[0] == node else None
+                return known[node]
+
+            def judge(a: int, b: int, x: bytes, y: bytes) -> bool:
+                s, t = set_of(a, x), set_of(b, y)
+                if s is None or t is None:
+                    known.pop(a, None), known.pop(b, None)
+                    return False
+                both = np.concatenate([s, t])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+            return judge
+
+        return checked(checked(pairs, small, "small", may_link), texts, "text", do_link)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each token, by its hash; four bits of room a token or more, a power of two."""
+    bits = 1 << max(6, (4 * max(len(s), 1) - 1).bit_length())
+    out = np.zeros(bits, dtype=bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def most_shared(m: int, n: int, x: bytes, y: bytes) -> int:
+    """The most tokens that sets of ``m`` and ``n`` can share, by their bitmaps: a bit of one alone is a token of it alone."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
 
 
 def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
@@ -352,13 +409,13 @@ def jaccard_groups(
     Two documents link if 100 * intersection >= percent * union of their sets
     of ``k``-word shingles; ``component_id`` is the smallest doc_id reachable by
     links. Equal sets link by their digests. Different sets meet in an index
-    of prefix keys (see :func:`prefix_keys`), exact at any data: pairs on short
-    lists are all verified; on long lists members are verified against leaders
-    until all members are in one group or all pairs across groups are settled,
-    so copies never make all their pairs. A token is frequent if it is in
+    of prefix keys (see :func:`prefix_keys`), exact at any data: the members of
+    a key's list are verified against leaders until all members are in one
+    group or all pairs across groups are settled, so copies never make all
+    their pairs. A token is frequent if it is in
     ``frequent_from`` different sets or more (more still where over
     MOST_FREQUENT would be); up to ``combined`` frequent tokens of a prefix are
-    indexed in pairs; lists of up to ``short`` members are short. These three
+    indexed in pairs; lists of up to ``short`` members are told apart by their members. These three
     change the work and not the result.
 
     A text without words (or null) has no shingles and is its own component.
@@ -383,7 +440,7 @@ def jaccard_groups(
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = verifier.links(pairs)
     labels = components(spark, links)
-    long = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "meta")
+    long = written(found.where("kind = 1").groupBy(F.col("a").alias("key"), F.col("b").alias("node")).agg(F.min("meta").alias("meta")), "lists")
     if not long.isEmpty():
         settled, turn = pairs, 0
         while (more := _residual(long, labels, percent, turn)) is not None:
@@ -409,3 +466,11 @@ def jaccard_groups(
     done = rest.unionByName(hot.where("hot IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("hot").alias("component_id")))
     lost = _scan(_texts(df, id_col, text_col).where("doc_id IS NULL"), k, 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return done.unionByName(lost)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``df`` whose id is their group's smallest, and those with a null id."""
+    groups = jaccard_groups(df, id_col, text_col, k, percent)
+    lost = written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    few = lost.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(lost) if few else lost, df[id_col] == F.col("_lost"), "left_anti")

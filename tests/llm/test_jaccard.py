@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.jaccard import components, jaccard_groups, least_shared, prefix_keys
+from gridloom.llm.jaccard import bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys
 
 SCHEMA = "doc_id bigint, text string, key string, node int, n int"
 
@@ -98,3 +98,11 @@ def test_components(spark):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 2**20, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(2654435761)) for _ in range(2))
+        b = np.union1d(b, a[: int(rng.integers(0, len(a) + 1))])
+        assert most_shared(len(a), len(b), bitmap(a), bitmap(b)) >= len(np.intersect1d(a, b))
