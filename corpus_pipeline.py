@@ -4,18 +4,64 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm.common import shared_dir
+from gridloom.llm.classifier import keep_good
+from gridloom.llm.common import shared_dir, table
+from gridloom.llm.jaccard import keep_one
+from gridloom.llm.lines import apply_line_marks, line_marks
+from gridloom.llm.packing import pack_documents
+from gridloom.llm.pii import redact_rows
 
-STAGES: list = []
-#: SQL cannot express the classifier; the stages are tested against plain versions.
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; a document may end up empty and stays."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = apply_line_marks(docs, line_marks(docs), carry=rest)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"carried.{c}") for c in rest}
+    return _counted(kept.select(*[named[c].alias(c) for c in docs.columns]))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets."""
+    return _counted(redact_rows(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents and their places in sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL cannot express the classifier or the tokenizer; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)

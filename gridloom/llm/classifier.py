@@ -91,6 +91,15 @@ def fit(rows: DataFrame, shrinkage: float = 0.1) -> Discriminant:
     return Discriminant(names, weight, mean, cov, shrinkage)
 
 
+def _held_out(folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
+
+
+def _learnt(rows: DataFrame, labels: DataFrame, folds: int) -> Discriminant:
+    truth = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    return fit(rows.where(~_held_out(folds)).join(truth, "doc_id"))
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``df``.
 
@@ -102,9 +111,13 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     repeated rows have repeated scores; without labels of both classes the
     score is the share of class 1 (0.5 without any). An empty table gives no rows.
     """
-    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    rows = written(features(df, id_col, text_col), "features").withColumn("held_out", out)
-    truth = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    model = fit(rows.where("NOT held_out").join(truth, "doc_id"))
-    scored = rows.select("doc_id", "held_out", model.score().alias("score"))
+    rows = written(features(df, id_col, text_col), "features")
+    scored = rows.select("doc_id", _held_out(folds).alias("held_out"), _learnt(rows, labels, folds).score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
+    """The rows of ``df`` that :func:`quality_scores` predicts to be of class 1, without moving a text."""
+    model = _learnt(written(features(df, id_col, text_col), "features"), labels, folds)
+    whole = df.withColumn("_row", F.struct(*[df[c] for c in df.columns]))
+    return features(whole, "_row", text_col).where(model.score() >= threshold).select("doc_id.*")

@@ -11,9 +11,10 @@ from gridloom.llm.common import SPACE_CHARS, ascii_lower, written
 HEAVY = 1000
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(df[text_col], F.lit(""))
-    return df.select(df[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rest = [F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []
+    return df.select(df[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *rest)
 
 
 def line_marks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -77,15 +78,20 @@ def keep_mask(runs):
     return F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
 
 
-def apply_line_marks(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with n_lines, n_dropped and kept_text (its kept lines joined by ``\\n``)."""
-    rows = _rows(df, id_col, text_col)
+def apply_line_marks(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with n_lines, n_dropped and kept_text (its kept lines joined by ``\\n``).
+
+    Columns named in ``carry`` come along in the struct ``carried``.
+    """
+    rows = _rows(df, id_col, text_col, carry)
+    rest = ["carried"] if carry else []
     both = rows.join(marks, ["doc_id", "text_hash"], "left")
     # the mask is a column of its own, made once a row and not once a line
-    with_mask = both.select("doc_id", "text", "n_dropped", keep_mask(F.col("keep_runs")).alias("mask"), F.split("text", "\n", -1).alias("lines"))
+    with_mask = both.select("doc_id", *rest, "text", "n_dropped", keep_mask(F.col("keep_runs")).alias("mask"), F.split("text", "\n", -1).alias("lines"))
     kept = F.expr("array_join(transform(array(mask), m -> filter(lines, (x, i) -> coalesce(get(m, i), true)))[0], '\n')")
     return with_mask.select(
         "doc_id",
+        *rest,
         F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"),
         F.when(F.col("mask").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
