@@ -87,8 +87,8 @@ def least_shared(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int, combined: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of a set, which of them are single frequent tokens of a set indexed by pairs too, and its number of rare tokens.
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int, combined: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Index keys of a set, which of them are single frequent tokens of a set indexed by pairs too, its number of rare tokens, and how many keys are rare tokens (the first ones).
 
     Tokens are ordered rare ones first, then by hash. Linked sets share one of
     the first p = n - least + 1 tokens of each, and two of the first p + 1. If
@@ -104,17 +104,17 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int, combined: int
     common = frequent[at] == s if len(frequent) else np.zeros(n, dtype=bool)
     rare = s[~common]
     if len(rare) >= p:
-        return rare[:p], np.zeros(p, dtype=bool), len(rare)
+        return rare[:p], np.zeros(p, dtype=bool), len(rare), p
     often = s[common]
     single = often[: p - len(rare)]
     wide = p - len(rare) + 1
     if wide > combined or wide > len(often):
         keys = np.concatenate([rare, single])
-        return keys, np.zeros(len(keys), dtype=bool), len(rare)
+        return keys, np.zeros(len(keys), dtype=bool), len(rare), len(rare)
     i, j = np.triu_indices(wide, 1)
     pairs = _mixed(often[i] * _MULTIPLIERS[0] + often[j] * _MULTIPLIERS[1])
     keys = np.concatenate([rare, pairs, single])
-    return keys, np.arange(len(keys)) >= len(rare) + len(pairs), len(rare)
+    return keys, np.arange(len(keys)) >= len(rare) + len(pairs), len(rare), len(rare)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _scan(rows: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def _postings(rows: DataFrame, frequent: np.ndarray, k: int, seed: int, percent: int, combined: int) -> DataFrame:
-    """key, node, meta: the index. ``node`` is a set's digest; ``meta`` packs (indexed by pairs too, rare tokens, size)."""
+    """key, node, meta: the index. ``node`` is a set's digest; ``meta`` packs (indexed by pairs too, a frequent key, rare tokens, size)."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,11 @@ def _postings(rows: DataFrame, frequent: np.ndarray, k: int, seed: int, percent:
                     if not len(s) or node in seen:  # equal sets of a task are indexed once
                         continue
                     seen.add(node)
-                    key, doubled, rare = prefix_keys(s, shared.value, percent, combined)
+                    key, doubled, rare, plain = prefix_keys(s, shared.value, percent, combined)
+                    often = (np.arange(len(key)) >= plain).astype(np.int64)
                     keys.append(key)
                     nodes.append(np.full(len(key), node, dtype=np.int64))
-                    metas.append((doubled.astype(np.int64) << 62) | (rare << 31) | len(s))
+                    metas.append((doubled.astype(np.int64) << 62) | (often << 61) | (rare << 31) | len(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if keys:
@@ -177,10 +178,17 @@ def _postings(rows: DataFrame, frequent: np.ndarray, k: int, seed: int, percent:
 
 
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these metas may link: by size, and not both indexed by pairs too."""
-    size = (1 << 31) - 1
+    """Whether sets of these metas may link on one list.
+
+    By size, and not both indexed by pairs too. Sets on a frequent key have all
+    their rare tokens as keys: a pair that shares one of those meets there, so
+    here a pair shares frequent tokens alone, and those must be enough.
+    """
+    size, rare = (1 << 31) - 1, (1 << 30) - 1
     x, y = a & size, b & size
-    return (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ~((a >> 62 > 0) & (b >> 62 > 0))
+    ok = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ~((a >> 62 > 0) & (b >> 62 > 0))
+    often = np.minimum(x - (a >> 31 & rare), y - (b >> 31 & rare))
+    return ok & ((a >> 61 & 1 == 0) | (b >> 61 & 1 == 0) | ((100 + percent) * often >= percent * (x + y)))
 
 
 def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int = 300_000) -> DataFrame:
@@ -397,6 +405,10 @@ def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tu
     size = F.lit((1 << 31) - 1).cast("bigint")
     x, y = F.col("meta").bitwiseAND(size), F.col("leader_meta").bitwiseAND(size)
     fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((F.shiftright("meta", 62) == 0) | (F.shiftright("leader_meta", 62) == 0))
+    part = F.lit((1 << 30) - 1).cast("bigint")
+    often = F.least(x - F.shiftright("meta", 31).bitwiseAND(part), y - F.shiftright("leader_meta", 31).bitwiseAND(part))
+    plain = (F.shiftright("meta", 61) % 2 == 0) | (F.shiftright("leader_meta", 61) % 2 == 0)
+    fits = fits & (plain | ((100 + percent) * often >= percent * (x + y)))
     pairs = met.join(lead, "key").where((F.col("label") != F.col("leader_label")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     return written(pairs, "pairs"), met.where("NOT leads").select("key", "node", "meta")
 

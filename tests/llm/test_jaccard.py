@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.jaccard import bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys
+from gridloom.llm.jaccard import _near, bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys
 
 SCHEMA = "doc_id bigint, text string, key string, node int, n int"
 
@@ -71,7 +71,7 @@ def test_groups(spark, seed, settings):
 
 def test_prefixes_meet():
     rng = np.random.default_rng(0)
-    for trial in range(400):
+    for trial in range(4000):
         n = int(rng.integers(1, 40))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = a.copy()
@@ -84,9 +84,12 @@ def test_prefixes_meet():
         frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(0, 45))])
         keys, combined = [], int(rng.integers(0, 12))
         for s in (a, b):
-            k, doubled, _ = prefix_keys(s, frequent, 75, combined)
-            keys.append(dict(zip(k.tolist(), doubled.tolist())))
-        assert any(not (keys[0][k] and keys[1][k]) for k in keys[0].keys() & keys[1].keys()), trial
+            k, doubled, rare, plain = prefix_keys(s, frequent, 75, combined)
+            often = np.arange(len(k)) >= plain
+            meta = (doubled.astype(np.int64) << 62) | (often.astype(np.int64) << 61) | (rare << 31) | len(s)
+            keys.append(dict(zip(k.tolist(), meta.tolist())))
+        both = keys[0].keys() & keys[1].keys()
+        assert any(_near(np.array([keys[0][k]]), np.array([keys[1][k]]), 75)[0] for k in both), trial
 
 
 def test_components(spark):
