@@ -35,7 +35,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("github", r"\bgh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", r"\bAIza[0-9A-Za-z_-]{35}"),
+    Rule("cloud_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"\b(?:sk|rk)_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
