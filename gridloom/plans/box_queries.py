@@ -65,7 +65,7 @@ SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'greatest(a.{d}0, b.{d}0) AS {d}0
 ON {' AND '.join(f'a.{d}0 < b.{d}1 AND b.{d}0 < a.{d}1' for d in 'xyz')}""")
 def box_intersections(spark, sf_dir):
     all_ = boxes(spark, sf_dir)
-    return B.intersections(all_.where("id <= 400"), all_, (8, 8, 4)).select("id_a", "id_b", *_COLS)
+    return B.intersections(all_, all_, (8, 8, 4)).select("id_a", "id_b", *_COLS)
 
 
 @query("box_hull", f"WITH {BOXES} SELECT id % 11 AS k, {', '.join(f'min({d}0) AS {d}0, max({d}1) AS {d}1' for d in 'xyz')} FROM boxes GROUP BY 1")

@@ -8,7 +8,7 @@ from gridloom.operators import graphs as G
 from gridloom.operators import points as P
 from gridloom.operators import segmentation as S
 from gridloom.plans.catalog import query
-from gridloom.plans.views import CLOUD, VOX, cloud, table, vox
+from gridloom.plans.views import CLOUD, VOX, cloud, extent, table, vox
 
 _PROPS = "count(*) AS area, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, round(avg(z), 6) AS centroid_z, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) + 1 AS x1, max(y) + 1 AS y1, max(z) + 1 AS z1"
 _ORDER = ["label", "area", "centroid_x", "centroid_y", "centroid_z", "x0", "y0", "z0", "x1", "y1", "z1", "extent"]
@@ -37,7 +37,7 @@ def seg_filter_relabel(spark, sf_dir):
 d AS (SELECT label, n, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM c)
 SELECT label, n, round(CASE WHEN det > 1e-12 THEN 3 * sqrt(5) / (100 * pi()) * n / sqrt(det) END, 5) AS ellipticity FROM d""")
 def seg_ellipticity(spark, sf_dir):
-    objects = vox(spark, sf_dir).where("user_id % 7 = 0").withColumn("label", F.col("user_id"))
+    objects = vox(spark, sf_dir).withColumn("label", F.col("user_id"))
     return _rounded(S.ellipticity(objects), "ellipticity", digits=5)
 
 
@@ -96,7 +96,7 @@ _CROP = f"full_vox AS ({VOX.split(' AS ', 1)[1][1:-1]}), vox AS (SELECT * FROM f
 @query("connected_components", f"""WITH RECURSIVE {_CROP}, {_PAIRS}, e AS (SELECT ia AS a, ib AS b FROM pairs WHERE a = b AND a <> 0 UNION ALL SELECT ib, ia FROM pairs WHERE a = b AND a <> 0),
 r AS (SELECT id, id AS c FROM vox WHERE label <> 0 UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a) SELECT id, min(c) AS component FROM r GROUP BY id""")
 def connected_components(spark, sf_dir):
-    return S.split_components(vox(spark, sf_dir).where("z < 4"))
+    return S.split_components(vox(spark, sf_dir))
 
 
 @query("fill_holes", f"""WITH RECURSIVE {_CROP.replace('SELECT * FROM full_vox', "SELECT id, x, y, z, CASE WHEN v > 120 AND (x + y) % 3 > 0 THEN 0 ELSE 1 + x // 10 END AS label FROM full_vox")}, {_PAIRS},
@@ -107,8 +107,8 @@ t AS (SELECT ia AS id, b AS near FROM pairs WHERE a = 0 AND b <> 0 UNION ALL SEL
 f AS (SELECT c, min(near) AS near FROM t JOIN p USING (id) GROUP BY c HAVING min(near) = max(near))
 SELECT v.id, CAST(coalesce(f.near, v.label) AS BIGINT) AS label FROM vox v LEFT JOIN p ON v.id = p.id LEFT JOIN f ON f.c = p.c AND p.c NOT IN (SELECT c FROM o)""")
 def fill_holes(spark, sf_dir):
-    holed = vox(spark, sf_dir).where("z < 4").withColumn("label", F.expr("CASE WHEN v > 120 AND (x + y) % 3 > 0 THEN 0L ELSE 1L + x div 10 END"))
-    return S.fill_holes(holed, (20, 20, 4)).select("id", "label")
+    holed = vox(spark, sf_dir).withColumn("label", F.expr("CASE WHEN v > 120 AND (x + y) % 3 > 0 THEN 0L ELSE 1L + x div 10 END"))
+    return S.fill_holes(holed, extent(holed)).select("id", "label")
 
 
 _SOFT = "CASE WHEN v > 60 THEN 1 ELSE 0 END"
@@ -127,7 +127,7 @@ def expand_labels(spark, sf_dir):
 @query("equivalences", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey < 700), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS c FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.c = u.a) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def equivalences(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 700")
+    o = table(spark, sf_dir, "orders")
     return S.connected(o.select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 900).alias("b")))
 
 
@@ -145,9 +145,9 @@ reach AS (SELECT o.block, q.neighbour, q.steps, o.pcg_id AS id1, p.pcg_id AS id2
 claimed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, least(a, b), greatest(a, b) ORDER BY steps, neighbour, a) AS k FROM reach) WHERE k = 1)"""
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, part="true"):
     voxels = vox(spark, sf_dir).withColumn("label", F.col("user_id"))
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    line = table(spark, sf_dir, "lineitem").where(part)
     edges = line.select((F.col("l_partkey") % 151).alias("a"), ((F.col("l_partkey") + F.col("l_suppkey")) % 151).alias("b"), F.col("l_quantity").alias("score"))
     return G.supervoxel_ids(voxels, BLOCKS), edges
 
@@ -171,6 +171,12 @@ def graph_edges_dedup(spark, sf_dir):
 UNION ALL SELECT block, 'in', pcg_id, pcg_id, CAST('inf' AS DOUBLE) FROM ids
 UNION ALL SELECT o.block, 'cross', o.pcg_id, p.pcg_id, CAST('inf' AS DOUBLE) FROM ids o JOIN near q ON q.block = o.block AND q.steps > 0 JOIN ids p ON p.block = q.neighbour AND p.sv = o.sv""")
 def graph_block_edges(spark, sf_dir):
+    ids, edges = _graph(spark, sf_dir, "l_orderkey < 400")  # the part that its SQL and tests/test_queries.py compare
+    return G.block_edges(ids, edges, BLOCKS).select("block", "class", "id1", "id2", "affinity")
+
+
+@query("graph_block_edges_all")
+def graph_block_edges_all(spark, sf_dir):
     ids, edges = _graph(spark, sf_dir)
     return G.block_edges(ids, edges, BLOCKS).select("block", "class", "id1", "id2", "affinity")
 
@@ -194,7 +200,7 @@ _D2 = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)"
 
 @query("sq_distances", f"WITH {CLOUD} SELECT a.cloud, a.idx AS i, b.idx AS j, round({_D2}, 6) AS d2 FROM cloud a JOIN cloud b USING (cloud) WHERE a.idx < 60")
 def sq_distances(spark, sf_dir):
-    return _rounded(P.pair_distances(cloud(spark, sf_dir)).where("i < 60"), "d2")
+    return _rounded(P.pair_distances(cloud(spark, sf_dir)), "d2")
 
 
 @query("knn", f"WITH {CLOUD}, d AS (SELECT a.cloud, a.idx AS i, b.idx AS j, {_D2} AS d2 FROM cloud a JOIN cloud b USING (cloud)), r AS (SELECT *, row_number() OVER (PARTITION BY cloud, i ORDER BY d2, j) AS rank FROM d) SELECT cloud, i, CAST(rank AS INTEGER) AS rank, j, round(d2, 6) AS d2 FROM r WHERE rank <= 4")

@@ -13,8 +13,9 @@ from gridloom.plans.views import cloud, table, vox
 
 
 def _regions(spark, sf_dir):
-    few = vox(spark, sf_dir).where("z < 3").withColumn("label", F.col("user_id"))
-    return S.region_adjacency(few).where("lo % 9 = hi % 9").select((F.col("lo") % 9).alias("graph"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+    touching = S.region_adjacency(vox(spark, sf_dir).withColumn("label", F.col("user_id"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    parts = S.connected(touching).select(F.col("node").alias("a"), F.col("component").alias("graph"))
+    return touching.join(parts, "a").select("graph", "a", "b")
 
 
 query("biconnected_components")(lambda s, d: T.biconnected(_regions(s, d)))

@@ -35,6 +35,14 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extent(voxels: DataFrame) -> tuple[int, int, int]:
+    """The shape of a volume from 0: one aggregation."""
+    low_high = voxels.agg(*[F.min(a) for a in "xyz"], *[F.max(a) for a in "xyz"]).first()
+    if any(low is not None and low < 0 for low in low_high[:3]):
+        raise ValueError(f"voxels below 0: {tuple(low_high[:3])}")
+    return tuple(0 if high is None else high + 1 for high in low_high[3:])
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id")
     e = table(spark, sf_dir, "events")
