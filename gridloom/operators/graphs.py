@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +15,16 @@ from gridloom.sources.shared import materialized
 
 @dataclass(frozen=True)
 class Blocks:
-    """A grid of ``shape`` blocks, x fastest, of ``size`` voxels."""
+    """A grid of ``shape`` blocks, x fastest, of ``size`` voxels; a voxel outside it is an error."""
 
     shape: tuple[int, int, int]
     size: tuple[int, int, int]
 
+    @classmethod
+    def covering(cls, extent: Sequence[int], size: tuple[int, int, int]) -> Blocks:
+        """The least grid that holds a volume of ``extent`` voxels."""
+        return cls(tuple(max(1, -(-n // s)) for n, s in zip(extent, size, strict=True)), size)
+
     @property
     def bits(self) -> int:
         """The least number of bits that holds every coordinate's range."""
@@ -25,7 +32,9 @@ class Blocks:
 
     def of(self, x: Column, y: Column, z: Column) -> Column:
         c = [F.floor(v / s) for v, s in zip((x, y, z), self.size, strict=True)]
-        return (c[0] + self.shape[0] * (c[1] + self.shape[1] * c[2])).cast("bigint")
+        inside = reduce(lambda a, b: a & b, [(v >= 0) & (v < n) for v, n in zip(c, self.shape, strict=True)])
+        at = (c[0] + self.shape[0] * (c[1] + self.shape[1] * c[2])).cast("bigint")
+        return F.when(inside, at).otherwise(F.raise_error(F.concat(F.lit(f"outside the grid of {self.shape} blocks: "), F.concat_ws(", ", *[v.cast("string") for v in (x, y, z)]))))
 
     def coords(self, block: Column) -> tuple[Column, Column, Column]:
         nx, ny, _ = self.shape

@@ -72,12 +72,14 @@ _FACES = "x = 0 OR x = 19 OR y = 0 OR y = 19"
 
 @query("border_ids", f"WITH {VOX} SELECT DISTINCT user_id AS label FROM vox WHERE {_FACES} OR z = 0 OR z = 24")
 def border_ids(spark, sf_dir):
-    return S.border_ids(vox(spark, sf_dir).withColumn("label", F.col("user_id")), (20, 20, 25))
+    voxels = vox(spark, sf_dir).withColumn("label", F.col("user_id"))
+    return S.border_ids(voxels, extent(voxels))
 
 
 @query("border_ids_in_plane", f"WITH {VOX} SELECT DISTINCT user_id AS label FROM vox WHERE {_FACES}")
 def border_ids_in_plane(spark, sf_dir):
-    return S.border_ids(vox(spark, sf_dir).withColumn("label", F.col("user_id")), (20, 20, 25), in_plane=True)
+    voxels = vox(spark, sf_dir).withColumn("label", F.col("user_id"))
+    return S.border_ids(voxels, extent(voxels), in_plane=True)
 
 
 _PAIRS = "pairs AS (" + " UNION ALL ".join(
@@ -131,7 +133,7 @@ def equivalences(spark, sf_dir):
     return S.connected(o.select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 900).alias("b")))
 
 
-BLOCKS = G.Blocks((4, 5, 7), (5, 4, 4))
+BLOCK_SIZE = (5, 4, 4)
 _GRAPH = f"""g AS (SELECT user_id AS label, x // 5 + 4 * (y // 4 + 5 * (z // 4)) AS block, x, y, z FROM vox WHERE user_id <> 0),
 sv AS (SELECT block, label AS sv, row_number() OVER (PARTITION BY block ORDER BY min(z * 10000 + y * 100 + x)) - 1 AS rank FROM g GROUP BY block, label),
 ids AS (SELECT block, sv, rank, CAST({1 << 56} + (block % 4) * {1 << (56 - 3)} + ((block // 4) % 5) * {1 << (56 - 6)} + (block // 20) * {1 << (56 - 9)} + rank AS BIGINT) AS pcg_id FROM sv)"""
@@ -149,7 +151,8 @@ def _graph(spark, sf_dir, part="true"):
     voxels = vox(spark, sf_dir).withColumn("label", F.col("user_id"))
     line = table(spark, sf_dir, "lineitem").where(part)
     edges = line.select((F.col("l_partkey") % 151).alias("a"), ((F.col("l_partkey") + F.col("l_suppkey")) % 151).alias("b"), F.col("l_quantity").alias("score"))
-    return G.supervoxel_ids(voxels, BLOCKS), edges
+    blocks = G.Blocks.covering(extent(voxels), BLOCK_SIZE)
+    return G.supervoxel_ids(voxels, blocks), edges, blocks
 
 
 @query("graph_pcg_ids", f"WITH {VOX}, {_GRAPH} SELECT block, sv, rank, pcg_id FROM ids")
@@ -159,7 +162,8 @@ def graph_pcg_ids(spark, sf_dir):
 
 @query("graph_block_neighbours", f"WITH {VOX}, {_GRAPH}, {_NEAR} SELECT block, neighbour, steps FROM near")
 def graph_block_neighbours(spark, sf_dir):
-    return G.block_neighbours(_graph(spark, sf_dir)[0], BLOCKS)
+    ids, _, blocks = _graph(spark, sf_dir)
+    return G.block_neighbours(ids, blocks)
 
 
 @query("graph_edges_dedup", f"WITH {_EDGES}, {_NORM} SELECT a, b, score FROM n")
@@ -171,27 +175,27 @@ def graph_edges_dedup(spark, sf_dir):
 UNION ALL SELECT block, 'in', pcg_id, pcg_id, CAST('inf' AS DOUBLE) FROM ids
 UNION ALL SELECT o.block, 'cross', o.pcg_id, p.pcg_id, CAST('inf' AS DOUBLE) FROM ids o JOIN near q ON q.block = o.block AND q.steps > 0 JOIN ids p ON p.block = q.neighbour AND p.sv = o.sv""")
 def graph_block_edges(spark, sf_dir):
-    ids, edges = _graph(spark, sf_dir, "l_orderkey < 400")  # the part that its SQL and tests/test_queries.py compare
-    return G.block_edges(ids, edges, BLOCKS).select("block", "class", "id1", "id2", "affinity")
+    ids, edges, blocks = _graph(spark, sf_dir, "l_orderkey < 400")  # the part that its SQL and tests/test_queries.py compare
+    return G.block_edges(ids, edges, blocks).select("block", "class", "id1", "id2", "affinity")
 
 
 @query("graph_block_edges_all")
 def graph_block_edges_all(spark, sf_dir):
-    ids, edges = _graph(spark, sf_dir)
-    return G.block_edges(ids, edges, BLOCKS).select("block", "class", "id1", "id2", "affinity")
+    ids, edges, blocks = _graph(spark, sf_dir)
+    return G.block_edges(ids, edges, blocks).select("block", "class", "id1", "id2", "affinity")
 
 
 @query("graph_dropped", f"WITH {VOX}, {_CLAIM} SELECT a, b FROM n WHERE (a, b) NOT IN (SELECT (least(a, b), greatest(a, b)) FROM claimed)")
 def graph_dropped(spark, sf_dir):
-    ids, edges = _graph(spark, sf_dir)
-    return G.dropped_edges(edges, G.block_edges(ids, edges, BLOCKS))
+    ids, edges, blocks = _graph(spark, sf_dir)
+    return G.dropped_edges(edges, G.block_edges(ids, edges, blocks))
 
 
 @query("graph_components", f"""WITH RECURSIVE {VOX}, {_GRAPH}, {_EDGES}, {_NORM}, ie AS (SELECT p.pcg_id AS a, q.pcg_id AS b FROM n JOIN ids p ON p.sv = n.a JOIN ids q ON q.sv = n.b AND q.block = p.block),
 u AS (SELECT a, b FROM ie UNION SELECT b, a FROM ie), r AS (SELECT pcg_id AS node, pcg_id AS c FROM ids UNION SELECT r.node, u.b FROM r JOIN u ON r.c = u.a) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def graph_components(spark, sf_dir):
-    ids, edges = _graph(spark, sf_dir)
-    inside = G.block_edges(ids, edges, BLOCKS).where("class = 'in'").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    ids, edges, blocks = _graph(spark, sf_dir)
+    inside = G.block_edges(ids, edges, blocks).where("class = 'in'").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     return S.connected(inside, ids.select(F.col("pcg_id").alias("node")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import scalar as S
 from gridloom.operators import volumes as V
 from gridloom.plans.catalog import query
-from gridloom.plans.views import VOX, vox
+from gridloom.plans.views import VOX, extent, vox
 
 R = "round({}, 6)"
 
@@ -148,7 +148,8 @@ def index_dim(spark, sf_dir):
 
 @query("boundary_mask", f"WITH {VOX} SELECT x, y, z, x >= 2 AND x < 19 AND y >= 0 AND y < 17 AND z >= 1 AND z < 24 AS mask FROM vox")
 def boundary_mask(spark, sf_dir):
-    return V.boundary_mask(vox(spark, sf_dir), (20, 20, 25), (2, 0, 1), (1, 3, 1)).select("x", "y", "z", "mask")
+    whole = vox(spark, sf_dir)
+    return V.boundary_mask(whole, extent(whole), (2, 0, 1), (1, 3, 1)).select("x", "y", "z", "mask")
 
 
 @query("mask_combined", f"WITH {VOX} SELECT x, y, z, NOT (((v BETWEEN 20 AND 60) OR label IN (1, 3)) OR NOT (x + y > 12)) AS mask FROM vox")
