@@ -243,11 +243,14 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
                 at = at[other]
                 found.append(pairs(node[at], node[other], meta[at], meta[other]))
                 if len(starts):
-                    name = np.add.reduceat(_mixed(node.view(np.uint64)), starts).view(np.int64)
+                    # lists of equal members count as one only with equal rights to skip pairs
+                    flags = (meta >> 61).view(np.uint64)
+                    name = np.add.reduceat(_mixed(node.view(np.uint64) + flags * _MULTIPLIERS[4]), starts).view(np.int64)
                     small = single & (sizes > 2) & (sizes <= short)
-                    _, first = np.unique(name, return_index=True)
+                    kept = np.flatnonzero(small)
+                    _, first = np.unique(name[kept], return_index=True)
                     once = np.zeros(len(starts), dtype=bool)
-                    once[first] = True
+                    once[kept[first]] = True
                     name = np.where(sizes > short, key[starts], name)
                     keep = np.repeat((small & once) | (single & (sizes > short)), sizes)
                     if keep.any():
