@@ -484,8 +484,17 @@ def jaccard_groups(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``df`` whose id is their group's smallest, and those with a null id."""
-    groups = jaccard_groups(df, id_col, text_col, k, percent)
-    lost = written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    """One row of each group of ``df``, that of the smallest id; rows without words or with a null id all stay.
+
+    Texts under one id are told apart by their hashes, and of equal rows
+    (id and text) of a group one stays.
+    """
+    own = F.when(df[id_col].isNotNull(), F.struct(df[id_col].alias("id"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("hash")))
+    groups = jaccard_groups(df.select(own.alias("doc_id"), df[text_col].alias("text")), "doc_id", "text", k, percent)
+    rows = groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    lost = rows.select(F.col("doc_id").alias("_own"), (F.col("component_id") != F.col("doc_id")).alias("_lost"), (F.col("n") > 1).alias("_again")).where("_lost OR _again")
+    lost = written(lost, "lost")
     few = lost.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(lost) if few else lost, df[id_col] == F.col("_lost"), "left_anti")
+    met = df.withColumn("_id", own).join(F.broadcast(lost) if few else lost, F.col("_id") == F.col("_own"), "left").where("_lost IS NULL OR NOT _lost")
+    once = met.where("_again").dropDuplicates(["_own"])
+    return met.where("_again IS NULL").unionByName(once).select(*df.columns)
