@@ -128,9 +128,9 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
 
 
 def _fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by lengths at hand, least waste first.
+    """Up to ``most`` fillings of ``room`` by lengths at hand, least waste first, of some 400 tried.
 
-    A filling is maximal (nothing at hand fits what is left) and one length in
+    The first two lengths vary and the largest that fit follow. A filling is maximal (nothing at hand fits what is left) and one length in
     place of several of its sum comes first; a single length that fills the
     room dominates all others.
     """
@@ -174,8 +174,11 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = 4000, branche
     together, so the work follows the number of different lengths and not of
     documents. The search is depth first, least waste first; a branch ends when
     its waste leaves no room below the incumbent (at first the best-fit
-    decreasing plan), or all of it after ``nodes`` completions. The plan is
-    optimal if its bins equal the lower bound or the search ended by itself.
+    decreasing plan), or all of it after ``nodes`` completions. It is cut
+    further: in a completion only the first two lengths vary and the largest
+    that fit follow, 400 are tried and the best ``branches`` kept, and
+    alternatives are noted for the first 60 patterns of a plan. So the plan is
+    known to be optimal only if its bins equal the lower bound.
     """
     counts = {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
