@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import blocks
 from gridloom.llm.common import written
 
-#: At most so many tokens are called frequent, whatever the corpus (8 MB to broadcast).
-MOST_FREQUENT = 1 << 20
-#: Leaders of a long list in one round at least, and pairs that a list may make in one round besides.
+#: At most so many tokens are called frequent, whatever the corpus (24 MB to broadcast).
+MOST_FREQUENT = 1 << 21
+#: A list of a frequent key that may hold more rows is split, each part having a leader of its own.
+SPLIT = 200_000
+#: Leaders of a long list in its first round (four times as many in each that follows), and pairs that a list may make in a round besides.
 LEADERS = 32
-PAIRS_A_LIST = 1 << 20
+PAIRS_A_LIST = 1 << 16
+#: Tokens that a task counts before it sends them, and tokens that it counts at once.
+BUFFER = 1 << 22
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,30 +54,41 @@ class Shingles:
     A text of fewer words is one shingle, one without words has none.
     """
 
-    def __init__(self, k: int = 5, seed: int = 0, cache: int = 500_000):
+    def __init__(self, k: int = 5, seed: int = 0, cache: int = 250_000):
         self.k, self.seed, self.cache = k, seed, cache
         self._words = _Words(seed)
 
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all shingles of ``texts``, repeated ones too, in one array, and where each text's begin (and the end)."""
         if len(self._words) > self.cache:
             self._words = _Words(self.seed)
         number = self._words.__getitem__
-        used = []
-        for t in texts:
-            w = t.lower().split()
-            used.append(np.fromiter(map(number, w), np.int64, len(w)))
-        hashes = np.array(self._words.hashes, dtype=np.uint64)
+        used = [np.fromiter(map(number, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
+        n = np.array([len(x) for x in used], dtype=np.int64)
+        ends = np.cumsum(n)
+        h = np.array(self._words.hashes, dtype=np.uint64)[np.concatenate([*used, np.zeros(0, np.int64)])]
+        k, total = self.k, len(h)
+        wide = np.full(max(total - k + 1, 0), k, dtype=np.uint64)
+        for i in range(k if total >= k else 0):
+            wide += h[i : total - k + 1 + i] * _MULTIPLIERS[i]
+        # windows that run over the end of their text are no shingles; a text of fewer words has one of its own
+        room = np.repeat(ends, n)[: len(wide)] - np.arange(len(wide)) >= k
+        counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        starts = np.append(0, np.cumsum(counts))
+        out = np.zeros(starts[-1], dtype=np.uint64)
+        long = np.repeat(n >= k, counts)
+        out[long] = wide[room]
+        for at in np.flatnonzero((n > 0) & (n < k)):
+            own = h[ends[at] - n[at] : ends[at]]
+            out[starts[at]] = (own * _MULTIPLIERS[: len(own)]).sum(dtype=np.uint64) + n[at : at + 1].view(np.uint64)[0]
+        return _mixed(out), starts
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        found, starts = self.windows(texts)
         out = []
-        for ks in used:
-            h, n = hashes[ks], len(ks)
-            if n == 0:
-                out.append(h)
-                continue
-            width = min(n, self.k)
-            x = np.full(n - width + 1, width, dtype=np.uint64)
-            for i in range(width):
-                x += h[i : n - width + 1 + i] * _MULTIPLIERS[i]
-            out.append(np.unique(_mixed(x)))
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            s = np.sort(found[lo:hi])
+            out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
         return out
 
 
@@ -87,34 +102,68 @@ def least_shared(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int, combined: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Index keys of a set, which of them are single frequent tokens of a set indexed by pairs too, its number of rare tokens, and how many keys are rare tokens (the first ones).
+class Frequent:
+    """Tokens called frequent, with their counts. A token stands as its part of the ``parts`` (a power of two) and 32 further bits."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, parts: int):
+        self.codes, self.counts, self.parts = codes, counts, parts
+
+    @staticmethod
+    def code(s: np.ndarray, parts: int) -> np.ndarray:
+        return (s & np.uint64(parts - 1)) << np.uint64(32) | s >> np.uint64(32)
 
-    Tokens are ordered rare ones first, then by hash. Linked sets share one of
-    the first p = n - least + 1 tokens of each, and two of the first p + 1. If
-    the rare tokens fill p, they alone are keys. Otherwise all rare tokens are
-    keys, and so are the frequent tokens within p; if at most ``combined`` of the
-    extended prefix are frequent, its pairs are keys as well, and two such sets
-    need not meet on a single frequent token: of the two tokens that they
-    share, one is rare or both make a pair.
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """The count of each token of ``s``; 0 if it is rare."""
+        if not len(self.codes):
+            return np.zeros(len(s), dtype=np.int64)
+        c = self.code(s, self.parts)
+        at = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
+        return np.where(self.codes[at] == c, self.counts[at], 0)
+
+
+def prefix_keys(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Index keys of a set, which of them are of frequent tokens, the most sets that each of those may be in, and the number of rare tokens.
+
+    Tokens are ordered rare ones first, then by hash. Let ``least`` be the least
+    overlap of linked sets. They share one of the first p = n - least + 1 tokens
+    of each, and g + 1 of the first p + g. If one of the tokens that they share
+    is rare, the first such is in both prefixes, and rare tokens of a prefix are
+    keys by themselves. If all are frequent, g + 1 of them are in both prefixes
+    extended by g; dealt into g buckets by hash, two meet in one bucket. So the
+    pairs of frequent tokens within a bucket are keys: about as many as a set
+    has tokens, at any length of the prefix. ``g`` must be equal for both
+    sets, so it follows from the size's power of two, and a set whose least
+    partner is of the power below is indexed for that one too. A set that can
+    share one token only has that as its key.
     """
     n = len(s)
-    p = n - least_shared(n, percent) + 1
-    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-    common = frequent[at] == s if len(frequent) else np.zeros(n, dtype=bool)
-    rare = s[~common]
-    if len(rare) >= p:
-        return rare[:p], np.zeros(p, dtype=bool), len(rare), p
-    often = s[common]
-    single = often[: p - len(rare)]
-    wide = p - len(rare) + 1
-    if wide > combined or wide > len(often):
-        keys = np.concatenate([rare, single])
-        return keys, np.zeros(len(keys), dtype=bool), len(rare), len(rare)
-    i, j = np.triu_indices(wide, 1)
-    pairs = _mixed(often[i] * _MULTIPLIERS[0] + often[j] * _MULTIPLIERS[1])
-    keys = np.concatenate([rare, pairs, single])
-    return keys, np.arange(len(keys)) >= len(rare) + len(pairs), len(rare), len(rare)
+    least = least_shared(n, percent)
+    p = n - least + 1
+    common = counts > 0
+    rare, often, counts = s[~common], s[common], counts[common]
+    first = rare[:p]
+    keys, most = [first], [np.zeros(len(first), dtype=np.int64)]
+    if len(rare) < p:
+        for level in sorted({n.bit_length() - 1, max(least, 1).bit_length() - 1}):
+            g = min((1 << level) // 4 or 1, least_shared(1 << level, percent) - 1)
+            if g < 1:
+                keys.append(_mixed(often[: p - len(rare)] * _MULTIPLIERS[2] + np.uint64(level)))
+                most.append(counts[: p - len(rare)])
+                continue
+            wide = often[: p + g - len(rare)]
+            c = counts[: len(wide)]
+            bucket = wide % np.uint64(g)
+            order = np.argsort(bucket, kind="stable")
+            wide, c, bucket = wide[order], c[order], bucket[order]
+            # pairs at a distance of 1, 2, ... as long as they are in one bucket
+            for d in range(1, len(wide)):
+                same = np.flatnonzero(bucket[d:] == bucket[:-d])
+                if not len(same):
+                    break
+                keys.append(_mixed(wide[same] * _MULTIPLIERS[0] + wide[same + d] * _MULTIPLIERS[1] + np.uint64(level)))
+                most.append(np.minimum(c[same], c[same + d]))
+    all_ = np.concatenate(keys)
+    return all_, np.arange(len(all_)) >= len(first), np.concatenate(most), len(rare)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,71 +171,165 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set) of each row; ``often`` of some rows: tokens repeated among the different sets of its block."""
+    """doc_id, n, d1, d2 (digest of the set) of each row."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    token = pa.struct([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k, seed)
         for batch in batches:
-            for lo, texts in blocks(batch.column("text"), 8_000_000):
+            for lo, texts in blocks(batch.column("text")):
                 sets = shingles.sets(texts)
                 digests = [_digest(s, seed) for s in sets]
-                different = list({d: s for d, s in zip(digests, sets, strict=True)}.values())
-                tokens, n = np.unique(np.concatenate(different), return_counts=True)
-                again = n >= 3
-                often: list = [None] * len(texts)
-                often[-1] = [{"token": int(t), "n": int(c)} for t, c in zip(tokens[again].view(np.int64), n[again], strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").slice(lo, len(texts)),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "d1": pa.array([d[0] for d in digests], pa.int64()),
                         "d2": pa.array([d[1] for d in digests], pa.int64()),
-                        "often": pa.array(often, pa.list_(token)),
                     }
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, often array<struct<token:bigint,n:bigint>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint")
+
+
+def _counted(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))[: len(codes)]
+    return codes[starts], np.add.reduceat(weights[order], starts) if len(codes) else weights
 
 
-def _postings(rows: DataFrame, frequent: np.ndarray, k: int, seed: int, percent: int, combined: int) -> DataFrame:
-    """key, node, meta: the index. ``node`` is a set's digest; ``meta`` packs (indexed by pairs too, a frequent key, rare tokens, size)."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+def token_counts(rows: DataFrame, k: int, seed: int, parts: int, least: int) -> DataFrame:
+    """code, n: all tokens that occur ``least`` times or more in the corpus.
+
+    Tasks count some millions of tokens at a time and send them by part of
+    the token's hash, 4 bytes for one that occurred once and 8 for others;
+    a part is counted by itself. Tokens of equal parts and 32 further bits
+    count as one, which costs work and no link.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, held, waiting = Shingles(k, seed), [], 0
+
+        def flush() -> pa.RecordBatch:
+            codes = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))[: len(codes)]
+            n = np.diff(np.append(starts, len(codes))).astype(np.uint32)
+            codes = codes[starts]
+            part, low = (codes >> np.uint64(32)).astype(np.int64), codes.astype(np.uint32)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+            once, more, which = [], [], []
+            for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
+                again = n[lo:hi] > 1
+                once.append(low[lo:hi][~again].tobytes())
+                more.append(low[lo:hi][again].tobytes() + n[lo:hi][again].tobytes())
+                which.append(int(part[lo]))
+            return pa.RecordBatch.from_pydict({"part": pa.array(which, pa.int64()), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+
+        for batch in batches:
+            for _, texts in blocks(batch.column("text")):
+                found = Frequent.code(shingles.windows(texts)[0], parts)
+                held.append(found)
+                waiting += len(found)
+                if waiting >= BUFFER:
+                    yield flush()
+                    held, waiting = [], 0
+        if waiting:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, codes, weights, waiting = None, [], [], 0
+
+        def fold() -> None:
+            nonlocal codes, weights, waiting
+            c, n = _counted(np.concatenate(codes), np.concatenate(weights))
+            codes, weights, waiting = [c], [n], 0
+
+        def total() -> pa.RecordBatch:
+            fold()
+            fine = weights[0] >= least
+            return pa.RecordBatch.from_pydict({"code": codes[0][fine].astype(np.int64) | (part << 32), "n": weights[0][fine]})
+
+        for batch in batches:
+            for p, once, more in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "more")), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield total()
+                    part, codes, weights, waiting = p, [], [], 0
+                half = len(more) // 2
+                codes += [np.frombuffer(once, np.uint32), np.frombuffer(more[:half], np.uint32)]
+                weights += [np.ones(len(once) // 4, np.int64), np.frombuffer(more[half:], np.uint32).astype(np.int64)]
+                waiting += (len(once) + half) // 4
+                if waiting > 2 * BUFFER:
+                    fold()
+        if part is not None:
+            yield total()
+
+    sent = rows.select("text").mapInArrow(send, "part bigint, once binary, more binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "code bigint, n bigint")
+
+
+def frequent_tokens(rows: DataFrame, k: int, seed: int, tokens: int, frequent_from: int) -> Frequent:
+    """The tokens of ``frequent_from`` occurrences or more; where they are over MOST_FREQUENT, those above the least power of two that keeps the bound."""
+    parts = 1 << max(0, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUFFER)) - 1).bit_length()
+    counts = written(token_counts(rows, k, seed, parts, frequent_from), "tokens")
+    classes = sorted(counts.groupBy(F.floor(F.log2("n")).alias("c")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["c"])
+    floor, room = frequent_from, MOST_FREQUENT
+    for r in classes:
+        room -= r["m"]
+        if room < 0:
+            floor = max(frequent_from, 2 << r["c"])
+            break
+    kept = counts.where(F.col("n") >= floor).toArrow()  # at most MOST_FREQUENT rows
+    codes, n = kept.column("code").to_numpy().view(np.uint64), kept.column("n").to_numpy()
+    order = np.argsort(codes)
+    return Frequent(codes[order], np.minimum(n[order], 2**31 - 1).astype(np.int32), parts)
+
+
+def _postings(rows: DataFrame, frequent: Frequent, k: int, seed: int, percent: int) -> DataFrame:
+    """key, salt, node, meta: the index. ``node`` is a set's digest; ``meta`` packs (list split, a key of frequent tokens, rare tokens, size)."""
+    shared = rows.sparkSession.sparkContext.broadcast((frequent.codes, frequent.counts, frequent.parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(k, seed), set()
+        shingles, seen, often = Shingles(k, seed), set(), Frequent(*shared.value)
         for batch in batches:
             for _, texts in blocks(batch.column("text")):
-                keys, nodes, metas = [], [], []
-                for s in shingles.sets(texts):
-                    node = _digest(s, seed)[0]
+                keys, nodes, metas, salts = [], [], [], []
+                sets = shingles.sets(texts)
+                counts = often.of(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+                at = 0
+                for s in sets:
+                    node, c = _digest(s, seed)[0], counts[at : at + len(s)]
+                    at += len(s)
                     if not len(s) or node in seen:  # equal sets of a task are indexed once
                         continue
                     seen.add(node)
-                    key, doubled, rare, plain = prefix_keys(s, shared.value, percent, combined)
-                    often = (np.arange(len(key)) >= plain).astype(np.int64)
+                    key, pairs, most, rare = prefix_keys(s, c, percent)
+                    split = most > SPLIT
                     keys.append(key)
                     nodes.append(np.full(len(key), node, dtype=np.int64))
-                    metas.append((doubled.astype(np.int64) << 62) | (often << 61) | (rare << 31) | len(s))
+                    salts.append(np.where(split, (node & 2**31 - 1) % (most // SPLIT + 1), 0))
+                    metas.append((split.astype(np.int64) << 62) | (pairs.astype(np.int64) << 61) | (rare << 31) | len(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if keys:
-                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "meta": np.concatenate(metas)})
+                    yield pa.RecordBatch.from_pydict(
+                        {"key": np.concatenate(keys).view(np.int64), "salt": np.concatenate(salts).astype(np.int32), "node": np.concatenate(nodes), "meta": np.concatenate(metas)}
+                    )
 
-    return rows.mapInArrow(run, "key bigint, node bigint, meta bigint")
+    return rows.mapInArrow(run, "key bigint, salt int, node bigint, meta bigint")
 
 
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these metas may link on one list.
+    """Whether sets of these metas may link on one list, by size.
 
-    By size, and not both indexed by pairs too. Sets on a frequent key have all
-    their rare tokens as keys: a pair that shares one of those meets there, so
-    here a pair shares frequent tokens alone, and those must be enough.
+    Sets on a key of frequent tokens have all their rare tokens as keys: a
+    pair that shares one of those meets there, so here a pair shares frequent
+    tokens alone, and those must be enough.
     """
     size, rare = (1 << 31) - 1, (1 << 30) - 1
     x, y = a & size, b & size
-    ok = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ~((a >> 62 > 0) & (b >> 62 > 0))
+    ok = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
     often = np.minimum(x - (a >> 31 & rare), y - (b >> 31 & rare))
     return ok & ((a >> 61 & 1 == 0) | (b >> 61 & 1 == 0) | ((100 + percent) * often >= percent * (x + y)))
 
@@ -197,7 +340,8 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
     kind 0: a pair of nodes, the first of a list with each other. kind 1: (list,
     node, meta) of lists of three or more, whose other pairs come later if
     their members are not in one group by then. Lists of up to ``short`` members
-    are named by their members, so that those of many keys are one list.
+    are named by their members, so that those of many keys are one list. A list
+    that is split over tasks has a leader in each part and is named by its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +367,7 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
             if leader and key[0] == leader[0]:
                 end = int(np.searchsorted(np.cumsum(key != leader[0]), 1))
                 found.append(pairs(np.full(end, leader[1]), node[:end], np.full(end, leader[2]), meta[:end]))
-                if not leader[2] >> 62:
-                    yield made(1, key[:end], node[:end], meta[:end])
+                yield made(1, key[:end], node[:end], meta[:end])
                 key, node, meta = key[end:], node[end:], meta[end:]
             if len(key):
                 leader = None
@@ -236,23 +379,22 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
                     starts, sizes = starts[:-1], sizes[:-1]
                 elif sizes[-1] > short:
                     leader = tuple(int(x[starts[-1]]) for x in (key, node, meta))
-                # lists led by a set that is indexed by pairs too hold only such sets, which meet there
-                single = (sizes > 1) & (meta[starts] >> 62 == 0)
+                split = meta[starts] >> 62 > 0  # a part of a list, named by its key
                 at = np.repeat(starts, sizes)
-                other = np.repeat(single, sizes) & (np.arange(len(key)) != at)
+                other = np.arange(len(key)) != at
                 at = at[other]
                 found.append(pairs(node[at], node[other], meta[at], meta[other]))
                 if len(starts):
                     # lists of equal members count as one only with equal rights to skip pairs
                     flags = (meta >> 61).view(np.uint64)
                     name = np.add.reduceat(_mixed(node.view(np.uint64) + flags * _MULTIPLIERS[4]), starts).view(np.int64)
-                    small = single & (sizes > 2) & (sizes <= short)
+                    small = ~split & (sizes > 2) & (sizes <= short)
                     kept = np.flatnonzero(small)
                     _, first = np.unique(name[kept], return_index=True)
                     once = np.zeros(len(starts), dtype=bool)
                     once[kept[first]] = True
-                    name = np.where(sizes > short, key[starts], name)
-                    keep = np.repeat((small & once) | (single & (sizes > short)), sizes)
+                    name = np.where(split | (sizes > short), key[starts], name)
+                    keep = np.repeat((small & once) | split | (sizes > short), sizes)
                     if keep.any():
                         yield made(1, np.repeat(name, sizes)[keep], node[keep], meta[keep])
             if found and len(all_ := np.concatenate(found)):
@@ -270,20 +412,20 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
         yield from flush(True)
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = postings.repartition(parts, "key").sortWithinPartitions("key", "meta", "node")
+    ordered = postings.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "meta", "node").select("key", "node", "meta")
     return ordered.mapInArrow(run, "kind int, a bigint, b bigint, meta bigint")
 
 
-def components(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, label (the least node that it reaches) of all nodes in ``links`` (a, b).
 
     Least labels spread along links and are followed to their own labels;
     each round is written, so lineage stays short. Minima are taken by partial
-    aggregation; no node's links are gathered.
+    aggregation; no node's links are gathered. It ends when no label changes.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most):
+    while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         near = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "label", F.least("label", "least").alias("new"))
         up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
@@ -292,7 +434,6 @@ def components(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFra
         if labels.where("changed").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
-    raise RuntimeError(f"labels still change after {most} rounds")
 
 
 class _Verifier:
@@ -389,36 +530,30 @@ def most_shared(m: int, n: int, x: bytes, y: bytes) -> int:
 def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
     """Of long lists that still hold several groups: pairs of leaders with members of other groups, and the lists without those leaders.
 
-    Members outside a list's largest group lead, some dozens of a list at a
-    time; a leader's pairs on the list are settled for good.
+    Members outside a list's largest group lead, LEADERS of a list in the first
+    turn and four times as many in each that follows (all of them where that
+    makes few pairs); a leader's pairs on the list are settled for good.
     """
     named = long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    alone = F.shiftright("meta", 62) == 0
-    groups = named.groupBy("key", "label").agg(F.count("*").alias("members"), F.count_if(alone).alias("alone"))
-    lists = groups.groupBy("key").agg(
-        F.sum("members").alias("m"), F.sum("alone").alias("alone"), F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("groups")
-    )
-    open_ = written(lists.where("groups > 1 AND alone > 0").select("key", "m", "alone", F.col("top.label").alias("top"), (F.col("m") - F.col("top.members")).alias("others")), "open")
+    groups = named.groupBy("key", "label").agg(F.count("*").alias("members"))
+    lists = groups.groupBy("key").agg(F.sum("members").alias("m"), F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("groups"))
+    open_ = written(lists.where("groups > 1").select("key", "m", F.col("top.label").alias("top"), (F.col("m") - F.col("top.members")).alias("others")), "open")
     if open_.isEmpty():
         return None
-    share = F.ceil(F.col("others") / F.greatest(F.lit(LEADERS), F.lit(PAIRS_A_LIST) / F.col("alone")))
+    share = F.ceil(F.col("others") / F.greatest(F.lit(LEADERS << 2 * min(turn, 12)), F.lit(PAIRS_A_LIST) / F.col("m")))
     met = named.join(open_, "key").withColumn("leads", (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0))
     met = written(met.select("key", "node", "meta", "label", "leads"), "members")
     lead = met.where("leads").select("key", F.col("node").alias("leader"), F.col("meta").alias("leader_meta"), F.col("label").alias("leader_label"))
-    size = F.lit((1 << 31) - 1).cast("bigint")
+    size, part = F.lit((1 << 31) - 1).cast("bigint"), F.lit((1 << 30) - 1).cast("bigint")
     x, y = F.col("meta").bitwiseAND(size), F.col("leader_meta").bitwiseAND(size)
-    fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((F.shiftright("meta", 62) == 0) | (F.shiftright("leader_meta", 62) == 0))
-    part = F.lit((1 << 30) - 1).cast("bigint")
     often = F.least(x - F.shiftright("meta", 31).bitwiseAND(part), y - F.shiftright("leader_meta", 31).bitwiseAND(part))
     plain = (F.shiftright("meta", 61) % 2 == 0) | (F.shiftright("leader_meta", 61) % 2 == 0)
-    fits = fits & (plain | ((100 + percent) * often >= percent * (x + y)))
-    pairs = met.join(lead, "key").where((F.col("label") != F.col("leader_label")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (plain | ((100 + percent) * often >= percent * (x + y)))
+    pairs = met.join(lead, (met["key"] == lead["key"]) & (met["label"] != F.col("leader_label")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     return written(pairs, "pairs"), met.where("NOT leads").select("key", "node", "meta")
 
 
-def jaccard_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, frequent_from: int = 64, combined: int = 8, short: int = 16
-) -> DataFrame:
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, frequent_from: int = 8, short: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
     Two documents link if 100 * intersection >= percent * union of their sets
@@ -427,11 +562,10 @@ def jaccard_groups(
     of prefix keys (see :func:`prefix_keys`), exact at any data: the members of
     a key's list are verified against leaders until all members are in one
     group or all pairs across groups are settled, so copies never make all
-    their pairs. A token is frequent if it is in
-    ``frequent_from`` different sets or more (more still where over
-    MOST_FREQUENT would be); up to ``combined`` frequent tokens of a prefix are
-    indexed in pairs; lists of up to ``short`` members are told apart by their members. These three
-    change the work and not the result.
+    their pairs. A token is frequent if it occurs ``frequent_from`` times or
+    more in the corpus (more still where over MOST_FREQUENT would be); lists of
+    up to ``short`` members are told apart by their members. These two change
+    the work and not the result.
 
     A text without words (or null) has no shingles and is its own component.
     Rows with a null id get a null component and link nothing. Rows that repeat
@@ -446,11 +580,9 @@ def jaccard_groups(
         if reps.where("lo <> hi").isEmpty():
             break
     total = scan.agg(F.sum("n"), F.count("*")).first()
-    floor = max(frequent_from, -(-(total[0] or 0) // MOST_FREQUENT))
-    often = scan.select(F.explode("often").alias("x")).groupBy("x.token").agg(F.sum("x.n").alias("n")).where(F.col("n") >= floor)
-    frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))
+    frequent = frequent_tokens(rows, k, seed, total[0] or 0, frequent_from)
 
-    found = written(_candidates(_postings(rows, frequent, k, seed, percent, combined), percent, short), "candidates")
+    found = written(_candidates(_postings(rows, frequent, k, seed, percent), percent, short), "candidates")
     verifier = _Verifier(rows, reps, k, seed, percent)
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = verifier.links(pairs)

@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.jaccard import _near, bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys
+from gridloom.llm import jaccard
+from gridloom.llm.jaccard import Shingles, _near, bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys, token_counts
 
 SCHEMA = "doc_id bigint, text string, key string, node int, n int"
 
@@ -59,7 +60,7 @@ def corpus(seed):
     return docs + [(8000, None), (8001, ""), (8002, " \n"), (8003, "A b"), (8004, "a B"), (8005, "a b c"), (None, "a b"), (None, None), docs[0], (docs[1][0], "quite another text that is here alone")]
 
 
-@pytest.mark.parametrize("seed, settings", [(1, {}), (2, {"frequent_from": 4, "short": 3}), (3, {"frequent_from": 4, "short": 2, "combined": 30}), (4, {"frequent_from": 3, "short": 1, "combined": 0})])
+@pytest.mark.parametrize("seed, settings", [(1, {}), (2, {"frequent_from": 4, "short": 3}), (3, {"frequent_from": 2, "short": 2}), (4, {"frequent_from": 3, "short": 1}), (5, {"frequent_from": 1})])
 def test_groups(spark, seed, settings):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], SCHEMA).repartition(3)
@@ -72,7 +73,7 @@ def test_groups(spark, seed, settings):
 def test_prefixes_meet():
     rng = np.random.default_rng(0)
     for trial in range(4000):
-        n = int(rng.integers(1, 40))
+        n = int(rng.integers(1, 90))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = a.copy()
         drop = rng.random(len(b)) > rng.uniform(0.8, 1)
@@ -81,12 +82,13 @@ def test_prefixes_meet():
         if not len(b) or 100 * shared < 75 * (len(a) + len(b) - shared):
             continue
         assert shared >= max(least_shared(len(a), 75), least_shared(len(b), 75))
-        frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(0, 45))])
-        keys, combined = [], int(rng.integers(0, 12))
+        frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(0, 90))])
+        keys = []
         for s in (a, b):
-            k, doubled, rare, plain = prefix_keys(s, frequent, 75, combined)
-            often = np.arange(len(k)) >= plain
-            meta = (doubled.astype(np.int64) << 62) | (often.astype(np.int64) << 61) | (rare << 31) | len(s)
+            counts = np.isin(s, frequent).astype(np.int64) * 9
+            k, often, most, rare = prefix_keys(s, counts, 75)
+            assert len(k) == len(often) == len(most) and len(k) <= 4 * len(s) + 8
+            meta = (often.astype(np.int64) << 61) | (rare << 31) | len(s)
             keys.append(dict(zip(k.tolist(), meta.tolist())))
         both = keys[0].keys() & keys[1].keys()
         assert any(_near(np.array([keys[0][k]]), np.array([keys[1][k]]), 75)[0] for k in both), trial
@@ -109,3 +111,39 @@ def test_bitmaps_bound_the_overlap():
         a, b = (np.unique(rng.integers(0, 2**20, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(2654435761)) for _ in range(2))
         b = np.union1d(b, a[: int(rng.integers(0, len(a) + 1))])
         assert most_shared(len(a), len(b), bitmap(a), bitmap(b)) >= len(np.intersect1d(a, b))
+
+
+def test_windows_are_those_of_each_text_alone():
+    texts = [b"", b"a b c d e f g", b"x", b"A b c d e", b" \n", b"p q r s", b"a b a b a b a b", b"u v w x y z"]
+    together = Shingles().sets(texts)
+    for t, s in zip(texts, together, strict=True):
+        w = t.lower().split()
+        assert len(s) == (len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else min(len(w), 1))
+        assert np.array_equal(s, Shingles().sets([t])[0])
+
+
+def test_counts_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUFFER", 50)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["k l m n o p"]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3)
+    got = sorted(r["n"] for r in token_counts(rows, 5, 0, 4, 3).collect())
+    want = Counter(tuple(w[i : i + min(5, len(w))]) for w in map(str.split, texts) for i in range(max(len(w) - 4, min(len(w), 1))))
+    assert got == sorted(n for n in want.values() if n >= 3)
+
+
+def test_split_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPLIT", 5)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "PAIRS_A_LIST", 4)
+    docs = corpus(6)
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], SCHEMA).repartition(3)
+    assert Counter(map(tuple, jaccard_groups(df, frequent_from=3, short=2).collect())) == plain(docs)
+
+
+def test_a_very_long_text_and_many_copies(spark):
+    rng = random.Random(3)
+    long = " ".join("w%d" % rng.randint(0, 10**6) for _ in range(150_000))
+    docs = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, long[: len(long) // 2])] + [(k, "one and the same text of several words") for k in range(10, 400)]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], SCHEMA).repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4} | dict.fromkeys(range(10, 400), 10)
