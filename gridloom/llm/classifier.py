@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_name as _free
 from gridloom.llm.common import written
 from gridloom.llm.rules import text_statistics
 
@@ -78,7 +79,6 @@ def fit(rows: DataFrame, shrinkage: float = 0.1) -> Discriminant:
     """
     names = tuple(FEATURES)
     d = len(names)
-    # offsets near the values keep the products from cancelling
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
     weight, mean, cov = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -117,7 +117,14 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """The rows of ``df`` that :func:`quality_scores` predicts to be of class 1, without moving a text."""
-    model = _learnt(written(features(df, id_col, text_col), "features"), labels, folds)
-    whole = df.withColumn("_row", F.struct(*[df[c] for c in df.columns]))
-    return features(whole, "_row", text_col).where(model.score() >= threshold).select("doc_id.*")
+    """The rows of ``df`` that :func:`quality_scores` predicts to be of class 1, with all their columns.
+
+    Statistics are taken once a row and written beside it, so no text is
+    read twice or moved between tasks. Null ids, null and empty texts, labels
+    and repeated rows count as there; each repeated row is kept or goes by
+    itself. Columns may have any names; an empty table gives no rows.
+    """
+    whole = df.withColumn(_free(df, "row"), F.struct(*[df[c] for c in df.columns]))
+    rows = written(features(whole, whole.columns[-1], text_col).withColumnRenamed("doc_id", "row"), "features")
+    model = _learnt(rows.withColumn("doc_id", F.col("row").getField(id_col)).drop("row"), labels, folds)
+    return rows.where(model.score() >= threshold).select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -26,7 +26,7 @@ class WordEncoder:
     tokenizers that fold case, drop white space and look at nothing across it.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
