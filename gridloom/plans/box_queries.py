@@ -60,8 +60,8 @@ def boxes_on_grid(spark, sf_dir):
     return GRID.overlapping(boxes(spark, sf_dir)).select("id", "idx")
 
 
-@query("box_intersections", f"""WITH {BOXES}, few AS (SELECT * FROM boxes WHERE id <= 400)
-SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'greatest(a.{d}0, b.{d}0) AS {d}0, least(a.{d}1, b.{d}1) AS {d}1' for d in 'xyz')} FROM few a JOIN boxes b
+@query("box_intersections", f"""WITH {BOXES}
+SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'greatest(a.{d}0, b.{d}0) AS {d}0, least(a.{d}1, b.{d}1) AS {d}1' for d in 'xyz')} FROM boxes a JOIN boxes b
 ON {' AND '.join(f'a.{d}0 < b.{d}1 AND b.{d}0 < a.{d}1' for d in 'xyz')}""")
 def box_intersections(spark, sf_dir):
     all_ = boxes(spark, sf_dir)

@@ -116,7 +116,7 @@ def downsample_area_masked(spark, sf_dir):
     return V.downsample_area(whole, (10, 20, 31), (4, 4, 2), masked=F.col("label") == 0)
 
 
-@query("upsample_nearest", f"WITH {VOX} SELECT x * 2 + i AS x, y, z * 3 + j AS z, v FROM vox, range(2) a(i), range(3) b(j) WHERE id < 500")
+@query("upsample_nearest", f"WITH {VOX} SELECT x * 2 + i AS x, y, z * 3 + j AS z, v FROM vox, range(2) a(i), range(3) b(j)")
 def upsample_nearest(spark, sf_dir):
     return V.upsample(vox(spark, sf_dir).select("x", "y", "z", "v"), {"x": 2, "z": 3})
 
@@ -169,19 +169,19 @@ def mask_values_inverted(spark, sf_dir):
     return vox(spark, sf_dir).select("x", "y", "z", V.channel_mask(F.col("label"), values=[0, 2], invert=True).alias("mask"))
 
 
-@query("mask_fov", f"""WITH {VOX}, s AS (SELECT * FROM vox WHERE z < 8) SELECT a.x, a.y, a.z, bool_or(b.v > 200) AS mask FROM s a
-JOIN s b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 1 AND a.z = b.z GROUP BY a.x, a.y, a.z""")
+@query("mask_fov", f"""WITH {VOX} SELECT a.x, a.y, a.z, bool_or(b.v > 200) AS mask FROM vox a
+JOIN vox b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 1 AND a.z = b.z GROUP BY a.x, a.y, a.z""")
 def mask_fov(spark, sf_dir):
     return V.dilate(vox(spark, sf_dir).withColumn("mask", F.col("v") > 200), {"x": 2, "y": 1})
 
 
-@query("integral_image", f"WITH {VOX} SELECT a.x, a.y, a.z, round(sum(b.v), 4) AS v FROM vox a JOIN vox b ON a.z = b.z AND b.x <= a.x AND b.y <= a.y WHERE a.z < 6 GROUP BY a.x, a.y, a.z")
+@query("integral_image", f"WITH {VOX} SELECT a.x, a.y, a.z, round(sum(b.v), 4) AS v FROM vox a JOIN vox b ON a.z = b.z AND b.x <= a.x AND b.y <= a.y GROUP BY a.x, a.y, a.z")
 def integral_image(spark, sf_dir):
     return V.integral_image(vox(spark, sf_dir).select("x", "y", "z", "v")).withColumn("v", F.round("v", 4))
 
 
 @query("box_sum", f"""WITH {VOX} SELECT a.x, a.y, a.z, round(sum(b.v), 4) AS v FROM vox a JOIN vox b ON a.z = b.z AND b.x BETWEEN a.x AND a.x + 2 AND b.y BETWEEN a.y AND a.y + 1
-WHERE a.z < 6 AND a.x <= 17 AND a.y <= 18 GROUP BY a.x, a.y, a.z""")
+WHERE a.x <= 17 AND a.y <= 18 GROUP BY a.x, a.y, a.z""")
 def box_sum(spark, sf_dir):
     whole = vox(spark, sf_dir).select("x", "y", "z", "v")
     return V.box_sums(V.integral_image(whole), 3, 2).withColumn("v", F.round("v", 4))
@@ -199,7 +199,7 @@ for _name, _agg, _sql in (
     def _near(spark, sf_dir, agg=_agg):
         return V.neighbourhood(vox(spark, sf_dir), {"x": 1, "y": 1}, agg()).withColumn("v", F.round("v", 6))
 
-    query(_name, f"WITH {VOX} SELECT a.x, a.y, a.z, {_sql} AS v FROM vox a JOIN vox b ON a.z = b.z AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.z < 5 GROUP BY a.x, a.y, a.z")(_near)
+    query(_name, f"WITH {VOX} SELECT a.x, a.y, a.z, {_sql} AS v FROM vox a JOIN vox b ON a.z = b.z AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y, a.z")(_near)
 
 
 @query("laplacian", f"""WITH {VOX} SELECT x, y, z, round(coalesce(lag(v) OVER a, v) + coalesce(lead(v) OVER a, v) + coalesce(lag(v) OVER b, v) + coalesce(lead(v) OVER b, v) - 4 * v, 4) AS v
@@ -208,15 +208,15 @@ def laplacian(spark, sf_dir):
     return V.laplacian(vox(spark, sf_dir)).select("x", "y", "z", F.round("v", 4).alias("v"))
 
 
-@query("high_pass", f"""WITH {VOX}, p AS (SELECT * FROM vox WHERE z = 0) SELECT a.x, a.y, a.z, round(any_value(a.v) + min(255 - b.v), 4) AS v
-FROM p a JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y, a.z""")
+@query("high_pass", f"""WITH {VOX} SELECT a.x, a.y, a.z, round(any_value(a.v) + min(255 - b.v), 4) AS v
+FROM vox a JOIN vox b ON a.z = b.z AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y, a.z""")
 def high_pass(spark, sf_dir):
     whole = vox(spark, sf_dir).select("x", "y", "z", "v")
     low = V.neighbourhood(whole.withColumn("v", 255 - F.col("v")), {"x": 1, "y": 1}, F.min("v")).withColumnRenamed("v", "m")
     return whole.join(low, ["x", "y", "z"]).select("x", "y", "z", F.round(F.col("v") + F.col("m"), 4).alias("v"))
 
 
-@query("objects_context", f"""WITH {VOX}, o AS (SELECT id AS object, x, y, z FROM vox WHERE id % 700 = 3)
+@query("objects_context", f"""WITH {VOX}, o AS (SELECT id AS object, x, y, z FROM vox)
 SELECT o.object, i.i AS dx, j.j AS dy, k.k AS dz, coalesce(v.v, 0.0) AS v FROM o, (SELECT CAST(unnest(range(-2, 3)) AS INTEGER) AS i) i, (SELECT CAST(unnest(range(-1, 2)) AS INTEGER) AS j) j, (SELECT CAST(unnest(range(-1, 1)) AS INTEGER) AS k) k
 LEFT JOIN vox v ON v.x = o.x + i.i AND v.y = o.y + j.j AND v.z = o.z + k.k""")
 def objects_context(spark, sf_dir):

@@ -116,7 +116,7 @@ def test_graph_edges(spark, volume, tables):  # noqa: F811
     parts = {(b, sv): pcg for b, sv, _, pcg in rows(spark, "graph_pcg_ids", path)}
     assert {(x // 5 + 4 * (y // 4 + 5 * (z // 4)), int(user[z, y, x])) for z, y, x in voxels() if user[z, y, x]} == set(parts)
     inside = {(parts[b, p], parts[b, q]): s for b in {b for b, _ in parts} for (p, q), s in scores.items() if (b, p) in parts and (b, q) in parts}
-    got = rows(spark, "graph_block_edges_all", path)
+    got = rows(spark, "graph_block_edges", path)
     assert {(i, j): s for _, kind, i, j, s in got if kind == "in" and i != j} == inside
     assert dict(rows(spark, "graph_components", path)) == least(list(inside), parts.values())
     where = lambda sv: [b for b, x in parts if x == sv]
