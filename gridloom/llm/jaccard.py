@@ -19,12 +19,15 @@ MOST_FREQUENT = 1 << 21
 SPLIT = 200_000
 #: Leaders of a long list in its first round (four times as many in each that follows), and pairs that a list may make in a round besides.
 LEADERS = 32
-PAIRS_A_LIST = 1 << 16
+PAIRS_A_LIST = 1 << 14
 #: Tokens that a task counts before it sends them, and tokens that it counts at once.
 BUFFER = 1 << 22
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Parts of a posting's meta.
+SIZE, RARE = (1 << 31) - 1, (1 << 30) - 1
+
 _MULTIPLIERS = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x3C6EF372FE94F82B, 0x61C8864680B583EB, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)], dtype=np.uint64)
 
 
@@ -327,10 +330,9 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     pair that shares one of those meets there, so here a pair shares frequent
     tokens alone, and those must be enough.
     """
-    size, rare = (1 << 31) - 1, (1 << 30) - 1
-    x, y = a & size, b & size
+    x, y = a & SIZE, b & SIZE
     ok = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-    often = np.minimum(x - (a >> 31 & rare), y - (b >> 31 & rare))
+    often = np.minimum(x - (a >> 31 & RARE), y - (b >> 31 & RARE))
     return ok & ((a >> 61 & 1 == 0) | (b >> 61 & 1 == 0) | ((100 + percent) * often >= percent * (x + y)))
 
 
@@ -534,23 +536,33 @@ def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tu
     turn and four times as many in each that follows (all of them where that
     makes few pairs); a leader's pairs on the list are settled for good.
     """
-    named = long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = named.groupBy("key", "label").agg(F.count("*").alias("members"))
+    named = written(long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    groups = written(named.groupBy("key", "label").agg(F.count("*").alias("members")), "groups")
     lists = groups.groupBy("key").agg(F.sum("members").alias("m"), F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("groups"))
     open_ = written(lists.where("groups > 1").select("key", "m", F.col("top.label").alias("top"), (F.col("m") - F.col("top.members")).alias("others")), "open")
     if open_.isEmpty():
         return None
     share = F.ceil(F.col("others") / F.greatest(F.lit(LEADERS << 2 * min(turn, 12)), F.lit(PAIRS_A_LIST) / F.col("m")))
     met = named.join(open_, "key").withColumn("leads", (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0))
-    met = written(met.select("key", "node", "meta", "label", "leads"), "members")
+    met = written(met.select("key", "node", "meta", "label", "leads"), "met")
     lead = met.where("leads").select("key", F.col("node").alias("leader"), F.col("meta").alias("leader_meta"), F.col("label").alias("leader_label"))
-    size, part = F.lit((1 << 31) - 1).cast("bigint"), F.lit((1 << 30) - 1).cast("bigint")
-    x, y = F.col("meta").bitwiseAND(size), F.col("leader_meta").bitwiseAND(size)
-    often = F.least(x - F.shiftright("meta", 31).bitwiseAND(part), y - F.shiftright("leader_meta", 31).bitwiseAND(part))
+    reached = written(lead.join(groups, "key").where("label <> leader_label"), "reached")
+    # a leader that would meet a group more often on its lists than the group has members meets each of them once instead
+    nodes = written(met.groupBy("node", "label").agg(F.min(F.col("meta").bitwiseAND(SIZE)).alias("n")), "nodes")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
+    ways = reached.groupBy("leader", "label").agg(F.sum("members").alias("rows"), F.min(F.col("leader_meta").bitwiseAND(SIZE)).alias("leader_n"))
+    ways = written(ways.join(sizes, "label").withColumn("whole", F.col("rows") > F.col("size")), "ways")
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    whole = ways.where("whole").select("leader", "leader_n", F.col("label").alias("with"))
+    once = whole.join(nodes, (whole["with"] == nodes["label"]) & near(F.col("n"), F.col("leader_n")))
+    x, y = F.col("meta").bitwiseAND(SIZE), F.col("leader_meta").bitwiseAND(SIZE)
+    often = F.least(x - F.shiftright("meta", 31).bitwiseAND(RARE), y - F.shiftright("leader_meta", 31).bitwiseAND(RARE))
     plain = (F.shiftright("meta", 61) % 2 == 0) | (F.shiftright("leader_meta", 61) % 2 == 0)
-    fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (plain | ((100 + percent) * often >= percent * (x + y)))
-    pairs = met.join(lead, (met["key"] == lead["key"]) & (met["label"] != F.col("leader_label")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    return written(pairs, "pairs"), met.where("NOT leads").select("key", "node", "meta")
+    fits = near(x, y) & (plain | ((100 + percent) * often >= percent * (x + y)))
+    few = reached.join(ways.where("NOT whole").select("leader", "label"), ["leader", "label"], "left_semi").select("key", "leader", "leader_meta", F.col("label").alias("with"))
+    listed = met.join(few, (met["key"] == few["key"]) & (met["label"] == few["with"]) & fits)
+    both = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
+    return written(once.select(*both).unionByName(listed.select(*both)).distinct(), "pairs"), met.where("NOT leads").select("key", "node", "meta")
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, frequent_from: int = 8, short: int = 16) -> DataFrame:
