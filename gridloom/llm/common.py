@@ -65,11 +65,15 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def prefix_sums(values: Column) -> Column:
-    """Inclusive running sums of an array<bigint> in O(m log m) (doubling)."""
+def _running(values: Column, joined) -> Column:
+    """Inclusive running results of an array<bigint> in O(m log m), by doubling; ``joined(later, earlier)``, where earlier may be null."""
     steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(values))
-    return F.aggregate(
-        steps,
-        values,
-        lambda acc, p: F.transform(acc, lambda v, i: v + F.when(i >= p, F.get(acc, i - p)).otherwise(F.lit(0).cast("bigint"))),
-    )
+    return F.aggregate(steps, values, lambda acc, p: F.transform(acc, lambda v, i: joined(v, F.when(i >= p, F.get(acc, i - p)))))
+
+
+def prefix_sums(values: Column) -> Column:
+    return _running(values, lambda v, before: v + F.coalesce(before, F.lit(0).cast("bigint")))
+
+
+def prefix_max(values: Column) -> Column:
+    return _running(values.cast("array<bigint>"), lambda v, before: F.greatest(v, before))

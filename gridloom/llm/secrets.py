@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as sre_parse
 from dataclasses import dataclass
 from itertools import product
 
@@ -11,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import let, written
-from gridloom.llm.spans import LABELLED, SPAN, labelled, masked, matches, written_out
+from gridloom.llm.patterns import Node, loops_over_a_group, parse
+from gridloom.llm.spans import LABELLED, SPAN, labelled, masked, matches, outside, written_out
 
 #: Above so many candidate texts, they are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 500_000
@@ -19,7 +18,11 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern that Java and Python read alike. ``least`` bounds the length of group ``inner`` (0: the match)."""
+    """A pattern that Java and Python read alike. ``least`` bounds the length of group ``inner`` (0: the match).
+
+    A pattern that loops over a group is refused: Java's engine recurses there,
+    and one long text would end the executor. Loop over a class, or possessively.
+    """
 
     kind: str
     pattern: str
@@ -27,6 +30,10 @@ class Rule:
     least: int = 1
     base: bool = False
 
+    def __post_init__(self) -> None:
+        if loops_over_a_group(parse(self.pattern)):
+            raise ValueError(f"the pattern of {self.kind} repeats a group without bound")
+
 
 #: Base rules in the order in which spans that start together are listed, then further ones (fixed formats).
 RULES = (
@@ -37,8 +44,8 @@ RULES = (
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"\b(?:sk|rk)_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
 #: A query is a list of groups that must all hold; a group holds if one of its
@@ -63,48 +70,39 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
         least = [b for k, b in enumerate(branches) if not any(a <= b for a in branches[:k])]
         return [least] if least and all(least) else []
 
-    def walk(nodes) -> tuple[set[str] | None, Query]:
-        exact: set[str] | None = {""}
+    def sequence(nodes: list[Node]) -> tuple[set[str] | None, Query]:
+        exact: set[str] = {""}
         query: Query = []
         whole = True
-        for op, arg in nodes:
-            some, more = one(op, arg)
-            if some is not None and exact is not None and len(exact) * len(some) <= most:
+        for node in nodes:
+            some, more = one(node)
+            if some is not None and len(exact) * len(some) <= most:
                 exact = {a + b for a, b in product(exact, some)}
                 continue
             whole = False
-            query += closed(exact or set())
-            query += more
-            exact = some if some is not None and len(some) <= most else {""}
-        if whole:
-            return exact, []
-        return None, query + closed(exact or set())
-
-    def one(op, arg) -> tuple[set[str] | None, Query]:
-        if op is sre.LITERAL:
-            return {chr(arg).lower()}, []
-        if op is sre.AT:
-            return {""}, []
-        if op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-            return {chr(a).lower() for _, a in arg}, []
-        if op is sre.SUBPATTERN:
-            return walk(arg[-1])
-        if op is sre.BRANCH:
-            found = [walk(x) for x in arg[1]]
+            query += closed(exact) + more
+            exact = some if some is not None else {""}
+        return (exact, []) if whole else (None, query + closed(exact))
+
+    def one(node: Node) -> tuple[set[str] | None, Query]:
+        if node.kind == "chars":
+            low = {c.lower() for c in node.chars or ()}
+            return (low, []) if low and len(low) <= most else (None, [])
+        if node.kind == "sequence":
+            return sequence(node.parts)
+        if node.kind == "any of":
+            found = [one(x) for x in node.parts]
             if all(e is not None for e, _ in found):
                 return set().union(*(e for e, _ in found)), []
             # any branch may match: one group of each branch's first group, if all have one
             groups = [closed(e) if e is not None else q for e, q in found]
             return None, [[b for g in groups for b in g[0]]] if all(groups) else []
-        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-            low, high, child = arg
-            some, more = walk(child)
-            if some is not None and high <= 8 and len(some) ** max(1, int(high)) <= most:
-                return {"".join(p) for k in range(low, int(high) + 1) for p in product(sorted(some), repeat=k)}, []
-            return None, (closed(some) if some is not None else more) if low else []
-        return None, []
-
-    exact, query = walk(sre_parse.parse(pattern))
+        some, more = one(node.parts[0])  # a repetition
+        if some is not None and node.high is not None and node.high <= 8 and len(some) ** max(1, node.high) <= most:
+            return {"".join(p) for k in range(node.low, node.high + 1) for p in product(sorted(some), repeat=k)}, []
+        return None, (closed(some) if some is not None else more) if node.low else []
+
+    exact, query = one(parse(pattern))
     return closed(exact) if exact is not None else query
 
 
@@ -138,8 +136,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Spans are structs start, rank, end, kind (code points, end exclusive),
     sorted; spans of further rules that lie within a base span are left out.
     Rules with mandatory trigrams are verified only on texts whose postings
-    hold them; the others scan every text. One row for each input row; a null
-    text is empty; null ids pass through; other columns are ignored.
+    hold them; the others scan every text. One row for each input row, repeated
+    rows included; a null text is empty; null ids pass through; other columns
+    are ignored; an empty table gives no rows. Time per text grows with its
+    length and not with the square of its matches.
     """
     rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
@@ -167,8 +167,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = F.sort_array(F.concat(nothing, *[labelled(spans(r), r.kind, i) for i, r in ranked if r.base]))
     more = F.concat(nothing, *[labelled(spans(r), r.kind, i) for i, r in ranked if not r.base])
     found = both.where(likely).select("doc_id", "text", base.alias("base"), more.alias("more"))
-    outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return plain.unionByName(found.select("doc_id", "text", "base", F.sort_array(F.concat("base", outside)).alias("spans")))
+    return plain.unionByName(found.select("doc_id", "text", "base", F.sort_array(F.concat("base", outside(F.col("more"), F.col("base")))).alias("spans")))
 
 
 def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
