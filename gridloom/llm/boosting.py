@@ -42,26 +42,29 @@ class Boosted:
 
 
 def boost(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], rounds: int = 20, depth: int = 3, rate: float = 0.4, penalty: float = 1.0, least: int = 5) -> Boosted:
-    """Newton boosting of the logistic loss with exact splits."""
+    """Newton boosting of the logistic loss; splits lie between all different values of a feature."""
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     margin, trees = np.full(len(y), base), []
+    values, codes = zip(*(np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])), strict=True) if len(y) else ((), ())
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int) -> Tree:
         total_g, total_h = g[rows].sum(), h[rows].sum()
-        best = (1e-6, 0, 0.0)
+        best = (1e-6, 0, 0)
         for f in range(x.shape[1]) if left and len(rows) >= 2 * least else ():
-            order = rows[np.argsort(x[rows, f], kind="stable")]
-            v, cg, ch = x[order, f], np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
+            c, m = codes[f][rows], len(values[f])
+            if m < 2:
+                continue
+            cg, ch, cn = (np.cumsum(np.bincount(c, w, m))[:-1] for w in (g[rows], h[rows], None))
             gain = cg**2 / (ch + penalty) + (total_g - cg) ** 2 / (total_h - ch + penalty) - total_g**2 / (total_h + penalty)
-            k = np.arange(1, len(order))
-            gain[(v[1:] == v[:-1]) | (k < least) | (len(order) - k < least)] = -1
+            gain[(cn < least) | (len(rows) - cn < least)] = -1
             at = int(gain.argmax())
             if gain[at] > best[0]:
-                best = (float(gain[at]), f, float((v[at] + v[at + 1]) / 2))
+                best = (float(gain[at]), f, at)
         if best[0] <= 1e-6:
             return float(-rate * total_g / (total_h + penalty))
-        low = x[rows, best[1]] <= best[2]
-        return (best[1], best[2], grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1))
+        _, f, at = best
+        low = codes[f][rows] <= at
+        return (f, float((values[f][at] + values[f][at + 1]) / 2), grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1))
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
