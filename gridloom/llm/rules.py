@@ -103,35 +103,50 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: rule -> (SQL of its value; larger is worse, candidate cutoffs from lenient to strict)
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]),
-    "upper": ("n_upper / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]),
-    "marks": ("n_marks / greatest(n_words, 1)", [1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15]),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.5, 0.3, 0.2, 0.12, 0.08, 0.05]),
+    "upper": ("n_upper / greatest(word_chars, 1)", [0.8, 0.6, 0.5, 0.4, 0.3, 0.2]),
+    "marks": ("n_marks / greatest(n_words, 1)", [1.0, 0.6, 0.4, 0.3, 0.2, 0.15]),
     "doubled_words": ("n_doubled / greatest(n_words, 1)", [0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
     "repeated_words": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25]),
-    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
-    "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0]),
+    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 25.0, 20.0, 16.0, 14.0, 12.0]),
 }
 #: Strata by length: bounded in number and known for every document.
+STRATA = 3
 STRATUM = "CASE WHEN n_words < 200 THEN 0 WHEN n_words < 1000 THEN 1 ELSE 2 END"
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
-def binomial_upper(x: int, n: int, delta: float) -> float:
-    """Exact (Clopper-Pearson) upper bound at confidence 1 - delta for x of n."""
-    if n == 0 or x >= n:
+def binomial_cdf(x: int, n: int, p: float) -> float:
+    """P(X <= x) of a binomial distribution, as a regularised incomplete beta function; its time does not grow with ``x``."""
+    if x >= n:
         return 1.0
-    lead = math.lgamma(n + 1)
-    terms = [lead - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(x + 1)]
-
-    def cdf(p: float) -> float:
-        a, b = math.log(p), math.log1p(-p)
-        return math.fsum(math.exp(c + k * a + (n - k) * b) for k, c in enumerate(terms))
-
-    lo, hi = x / n, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0 < mid < 1 and cdf(mid) > delta else (lo, mid)
-    return hi
+    return _beta_share(n - x, x + 1, 1 - p)
+
+
+def _beta_share(a: float, b: float, t: float) -> float:
+    """The regularised incomplete beta function, by Lentz's continued fraction."""
+    if t <= 0 or t >= 1:
+        return float(t >= 1)
+    if t > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - t)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(t) + b * math.log1p(-t)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / ((1 - (a + b) * t / (a + 1)) or tiny)
+    f = d
+    for m in range(1, 100_000):
+        for k in (m * (b - m) * t / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * t / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + k * d) or tiny)
+            c = (1 + k / c) or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-13:
+            break
+    return front * f
+
+
+def certified(lost: int, good: int, risk: float, delta: float) -> bool:
+    """Whether the exact (Clopper-Pearson) upper bound, at confidence 1 - ``delta``, on a share seen as ``lost`` of ``good`` is at most ``risk``."""
+    return good > 0 and lost <= risk * good and binomial_cdf(lost, good, risk) <= delta
 
 
 @dataclass(frozen=True)
@@ -139,7 +154,6 @@ class Cutoffs:
     """Certified cutoffs by stratum and rule; a rule without one never rejects."""
 
     by: dict[tuple[int, str], float]
-    tests: int
 
     def rejects(self) -> Column:
         out = F.lit(False)
@@ -148,45 +162,83 @@ class Cutoffs:
         return out
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.005, delta: float = 0.05, price: float = 20.0) -> Cutoffs:
+def chain(bins: list[tuple[int, ...]], bad: list[int], good: list[int], price: float) -> list[tuple[str, int]]:
+    """Steps (rule, number of its cutoff) that make the rules of a stratum stricter, best first.
+
+    ``bins`` holds, for kinds of documents, how many cutoffs of each rule they
+    exceed, and ``bad`` and ``good`` how many there are. Each step takes one rule
+    to a stricter cutoff, the one that newly rejects the most bad documents with
+    a good one counting as ``price`` bad ones (of equals the more lenient, then
+    the rule listed first), until none gains. So the sets rejected are nested.
+    """
+    out: list[tuple[str, int]] = []
+    left = list(range(len(bins)))
+    while left:
+        best = None
+        for r, (name, (_, cuts)) in enumerate(RULES.items()):
+            gain = 0.0
+            for k in range(len(cuts)):
+                gain += sum(bad[i] - price * good[i] for i in left if bins[i][r] == len(cuts) - k)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, name, k, r)
+        if best is None:
+            return out
+        _, name, k, r = best
+        out.append((name, k))
+        left = [i for i in left if bins[i][r] < len(RULES[name][1]) - k]
+    return out
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, price: float = 20.0) -> Cutoffs:
     """Chooses cutoffs on every labelled document with quality 0 or 1 that passes the base rules.
 
-    For each stratum and rule, a cutoff is certified if the exact binomial
-    upper bound on the share of good documents that it rejects is at most
-    ``risk``; the bounds hold together at confidence 1 - ``delta`` (Bonferroni
-    over all strata, rules and cutoffs). Of those, the one that rejects most
-    bad documents is taken, a good one counting as ``price`` bad ones, and the
-    most lenient of equals. With too few labels nothing is certified and
-    nothing is rejected. Null ids or labels are not used; a document labelled
-    twice counts as good if any label says so.
+    A quarter of them (by a hash of the id) lays down, for each stratum, a
+    sequence of ever stricter sets of cutoffs (:func:`chain`). The other three
+    quarters are the holdout: along the sequence, each set as a whole is tested
+    with the exact binomial bound on the share of good documents that it
+    rejects, and the first that fails ends the tests. The last set that passes
+    is taken. So with probability 1 - ``delta`` at least, in every stratum
+    at most a share ``risk`` of all good documents is rejected by its rules
+    together: a fixed sequence needs no correction, and ``delta`` is divided by
+    the number of strata. A stratum with too few good labels (fewer than 203 in
+    the holdout, by default) rejects nothing.
+
+    Null ids or labels are not used; a document labelled twice counts as good
+    if any label says so. The driver gets one row for each different set of
+    exceeded cutoffs, which are bounded by the lists of RULES.
     """
     truth = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.where(f"NOT ({BASE_FAILED})").join(truth, "doc_id").withColumn("stratum", F.expr(STRATUM))
-    tests = 3 * sum(len(c) for _, c in RULES.values())
-    bins = [
-        F.struct(F.lit(name).alias("rule"), sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("bin"))
-        for name, (value, cuts) in RULES.items()
-    ]
-    counts: dict[tuple[int, str], list[list[int]]] = {}
-    for r in rows.select("stratum", "quality", F.explode(F.array(*bins)).alias("x")).groupBy("stratum", "quality", "x.rule", "x.bin").count().collect():
-        counts.setdefault((r["stratum"], r["rule"]), [[0] * (len(RULES[r["rule"]][1]) + 1) for _ in range(2)])[r["quality"]][r["bin"]] += r["count"]
-    chosen = {}
-    for (stratum, rule), (bad, good) in counts.items():
-        cuts, best = RULES[rule][1], 0.0
-        for k, c in enumerate(cuts):
-            # bin b holds values above exactly b cutoffs, counted from the strictest
-            above = len(cuts) - k
-            lost, hit = sum(good[above:]), sum(bad[above:])
-            if hit - price * lost > best and binomial_upper(lost, sum(good), delta / tests) <= risk:
-                best, chosen[stratum, rule] = hit - price * lost, c
-    return Cutoffs(chosen, tests)
-
-
-def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
+    exceeded = [sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cuts), F.lit(0)) for value, cuts in RULES.values()]
+    holdout = F.crc32(F.concat(F.lit("rules"), F.col("doc_id").cast("string"))) % 4 != 0
+    rows = stats.where(f"NOT ({BASE_FAILED})").join(truth, "doc_id")
+    counts = rows.groupBy(F.expr(STRATUM).alias("stratum"), F.array(*exceeded).alias("bins"), holdout.alias("holdout"), (F.col("quality") == 1).alias("good")).count().collect()
+    by: dict[tuple[int, str], float] = {}
+    for stratum in range(STRATA):
+        table: dict[tuple[int, ...], dict[tuple[bool, bool], int]] = {}
+        for r in counts:
+            if r["stratum"] == stratum:
+                table.setdefault(tuple(r["bins"]), {})[r["holdout"], r["good"]] = r["count"]
+        bins = sorted(table)
+        n = lambda holdout, good: [table[b].get((holdout, good), 0) for b in bins]  # noqa: E731, B023
+        held = n(True, True)
+        lost, level = [False] * len(bins), {}
+        for rule, k in chain(bins, n(False, False), n(False, True), price):
+            at, least = list(RULES).index(rule), len(RULES[rule][1]) - k
+            lost = [x or b[at] >= least for x, b in zip(lost, bins, strict=True)]
+            if not certified(sum(h for h, x in zip(held, lost, strict=True) if x), sum(held), risk, delta / STRATA):
+                break
+            level[rule] = k
+        by |= {(stratum, rule): RULES[rule][1][k] for rule, k in level.items()}
+    return Cutoffs(by)
+
+
+def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The statistics of :func:`text_statistics` with base_failed and kept.
 
-    Rows keep their number; see there for nulls and repeated rows. An empty
-    table or empty labels give no cutoffs.
+    One row for each input row, repeated rows included; see there for nulls.
+    Documents without labels, and null ids, are judged like the others. With
+    an empty table or empty labels there are no cutoffs (:func:`calibrate`), and
+    the base rules alone decide.
     """
     stats = written(text_statistics(df, id_col, text_col), "statistics")
     cutoffs = calibrate(stats, labels, risk, delta)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.fingerprint import edited_fingerprints, fingerprints
 from gridloom.llm.lines import apply_line_marks, line_marks
-from gridloom.llm.rules import binomial_upper, calibrate, quality_rules, text_statistics
+from gridloom.llm.rules import RULES, binomial_cdf, calibrate, certified, quality_rules, text_statistics
 
 WS = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id bigint, text string, n_words int, h1 string, first string, pos int"
@@ -134,13 +135,79 @@ def test_colliding_windows(spark, monkeypatch):
 
 
 def test_binomial_bound():
-    # the bound is where the chance of so few has fallen to delta
     from math import comb
 
-    for x, n, d in [(0, 10, 0.05), (3, 40, 0.01), (0, 500, 1e-4)]:
-        p = binomial_upper(x, n, d)
-        assert abs(sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1)) - d) < 1e-6
-    assert binomial_upper(5, 5, 0.1) == 1.0
+    rng = random.Random(5)
+    for n in (1, 2, 7, 40, 300, 900):
+        for x in sorted({0, 1, n // 3, n - 1, n, rng.randint(0, n)}):
+            for p in (0.001, 0.02, 0.3, 0.77):
+                want = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1))
+                assert binomial_cdf(x, n, p) == pytest.approx(want, rel=1e-9, abs=1e-12), (x, n, p)
+    assert certified(0, 203, 0.02, 0.05 / 3) and not certified(0, 202, 0.02, 0.05 / 3)
+    assert not certified(0, 0, 0.02, 0.05) and certified(10**7, 10**9, 0.02, 0.01) and not certified(3 * 10**7, 10**9, 0.02, 0.01)
+
+
+def plain_cutoffs(rows, quality, risk, delta, price):
+    """The cutoffs, with one document at a time and the bound by bisection of whole sums."""
+    from math import comb
+
+    value = {
+        "symbols": lambda r: r["n_symbols"] / max(r["word_chars"], 1),
+        "upper": lambda r: r["n_upper"] / max(r["word_chars"], 1),
+        "marks": lambda r: r["n_marks"] / max(r["n_words"], 1),
+        "doubled_words": lambda r: r["n_doubled"] / max(r["n_words"], 1),
+        "repeated_words": lambda r: r["n_repeat_words"] / max(r["n_words"], 1),
+        "repeated_lines": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1),
+        "long_words": lambda r: r["word_chars"] / max(r["n_words"], 1),
+    }
+    out = {}
+    for stratum in range(3):
+        docs = [
+            r for r in rows
+            if quality.get(r["doc_id"]) is not None and not (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+            and stratum == (r["n_words"] >= 200) + (r["n_words"] >= 1000)
+        ]
+        held = [r for r in docs if zlib.crc32(f"rules{r['doc_id']}".encode()) % 4]
+        rest = [r for r in docs if not zlib.crc32(f"rules{r['doc_id']}".encode()) % 4]
+        chosen = {}
+        while True:
+            best = None
+            for name, (_, cuts) in RULES.items():
+                for k, c in enumerate(cuts):
+                    gain = sum((1 if quality[r["doc_id"]] == 0 else -price) for r in rest if value[name](r) > c)
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = (gain, name, k)
+            if best is None:
+                break
+            _, name, k = best
+            chosen[name] = k
+            rest = [r for r in rest if not value[name](r) > RULES[name][1][k]]
+            good = [r for r in held if quality[r["doc_id"]] == 1]
+            lost = sum(any(value[m](r) > RULES[m][1][j] for m, j in chosen.items()) for r in good)
+            n = len(good)
+            if n == 0 or lost > risk * n or sum(comb(n, x) * risk**x * (1 - risk) ** (n - x) for x in range(lost + 1)) > delta / 3:
+                del chosen[name]
+                if (stratum, name) in out:
+                    chosen[name] = out[stratum, name]
+                break
+            out |= {(stratum, m): j for m, j in chosen.items()}
+    return {key: RULES[key[1]][1][j] for key, j in out.items()}
+
+
+@pytest.mark.parametrize("seed, risk", [(1, 0.05), (2, 0.1), (3, 0.02)])
+def test_cutoffs_are_those_of_the_plain_search(spark, seed, risk):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(3000):
+        bad, n = rng.random() < 0.3, rng.choice([60, 150, 400, 1500])
+        much = lambda p: int(n * rng.random() ** 3 * (0.6 if bad and rng.random() < p else 0.05))  # noqa: E731, B023
+        rows.append((i, n, n * rng.randint(3, 9), much(0.5), rng.randint(0, 4), min(much(0.3), n // 3), rng.randint(4, 9), much(0.2), much(0.4), much(0.3), int(bad)))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_doubled", "bad"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in names))
+    labels = df.where("doc_id % 7 <> 0").selectExpr("doc_id", "CAST(1 - bad AS INT) AS quality")
+    found = calibrate(df.drop("bad"), labels, risk).by
+    assert found == plain_cutoffs([dict(zip(names, r, strict=True)) for r in rows], {r[0]: 1 - r[-1] for r in rows if r[0] % 7}, risk, 0.05, 20.0)
+    assert found
 
 
 def test_rules_are_certified(spark):
