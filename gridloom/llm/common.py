@@ -31,15 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a reader of it.
+#: Rows of an Arrow batch where whole texts go to Python: a few megabytes, and not the tens that 10,000 texts take.
+TEXTS_A_BATCH = 1000
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns a reader of it; while it is written, Arrow batches hold at most ``batch`` rows.
 
     Cuts the lineage: a lost executor costs at most the tasks that read the
     files, never the work that made them.
     """
-    spark = df.sparkSession
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(key)
+    if batch is not None and not 0 < int(before) <= batch:
+        spark.conf.set(key, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import blocks
-from gridloom.llm.common import written
+from gridloom.llm.common import TEXTS_A_BATCH, written
 
 #: At most so many tokens are called frequent, whatever the corpus (24 MB to broadcast).
 MOST_FREQUENT = 1 << 21
@@ -21,7 +21,7 @@ SPLIT = 200_000
 LEADERS = 32
 PAIRS_A_LIST = 1 << 14
 #: Tokens that a task counts before it sends them, and tokens that it counts at once.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -275,7 +275,7 @@ def token_counts(rows: DataFrame, k: int, seed: int, parts: int, least: int) ->
 def frequent_tokens(rows: DataFrame, k: int, seed: int, tokens: int, frequent_from: int) -> Frequent:
     """The tokens of ``frequent_from`` occurrences or more; where they are over MOST_FREQUENT, those above the least power of two that keeps the bound."""
     parts = 1 << max(0, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUFFER)) - 1).bit_length()
-    counts = written(token_counts(rows, k, seed, parts, frequent_from), "tokens")
+    counts = written(token_counts(rows, k, seed, parts, frequent_from), "tokens", TEXTS_A_BATCH)
     classes = sorted(counts.groupBy(F.floor(F.log2("n")).alias("c")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["c"])
     floor, room = frequent_from, MOST_FREQUENT
     for r in classes:
@@ -348,7 +348,7 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = [np.zeros(0, np.int64)] * 3
-        held, leader = nothing, None  # leader: key, node, meta of a long list that goes on
+        held, more, leader = nothing, [], None  # leader: key, node, meta of a long list that goes on
 
         def made(kind: int, a: np.ndarray, b: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b, "meta": meta})
@@ -358,9 +358,9 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
             return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, leader
-            key, node, meta = held
-            held = nothing
+            nonlocal held, more, leader
+            key, node, meta = (np.concatenate(x) for x in zip(held, *more, strict=True))
+            held, more = nothing, []
             if not len(key):
                 return
             fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
@@ -405,8 +405,7 @@ def _candidates(postings: DataFrame, percent: int, short: int, flush_rows: int =
 
         waiting = 0
         for batch in batches:
-            more = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "meta")]
-            held = [np.concatenate([x, y]) for x, y in zip(held, more, strict=True)]
+            more.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "meta")])
             waiting += batch.num_rows
             if waiting >= flush_rows:
                 yield from flush(False)
@@ -461,7 +460,7 @@ class _Verifier:
                     small = [len(s).to_bytes(8, "little") + bitmap(s) for s in sets]
                     yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, len(block)), "small": pa.array(small, pa.binary())})
 
-        small = written(texts.mapInArrow(build, "node bigint, small binary"), "bitmaps")
+        small = written(texts.mapInArrow(build, "node bigint, small binary"), "bitmaps", TEXTS_A_BATCH)
 
         def checked(pairs: DataFrame, sides: DataFrame, column: str, test) -> DataFrame:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +473,7 @@ class _Verifier:
             first = sides.select(F.col("node").alias("a"), F.col(column).alias("x"))
             second = sides.select(F.col("node").alias("b"), F.col(column).alias("y"))
             both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
-            return written(both.mapInArrow(run, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "checked")
+            return written(both.mapInArrow(run, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "checked", TEXTS_A_BATCH // 2)
 
         def may_link():
             def judge(a: int, b: int, x: bytes, y: bytes) -> bool:
@@ -587,14 +586,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     rows = _texts(df, id_col, text_col).where("doc_id IS NOT NULL")
     for seed in range(8):  # a digest's first half names a set; should two sets share it, another seed parts them
-        scan = written(_scan(rows, k, seed), "scan")
+        scan = written(_scan(rows, k, seed), "scan", TEXTS_A_BATCH)
         reps = written(scan.where("n > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("d2").alias("lo"), F.max("d2").alias("hi")), "reps")
         if reps.where("lo <> hi").isEmpty():
             break
     total = scan.agg(F.sum("n"), F.count("*")).first()
     frequent = frequent_tokens(rows, k, seed, total[0] or 0, frequent_from)
 
-    found = written(_candidates(_postings(rows, frequent, k, seed, percent), percent, short), "candidates")
+    found = written(_candidates(_postings(rows, frequent, k, seed, percent), percent, short), "candidates", TEXTS_A_BATCH)
     verifier = _Verifier(rows, reps, k, seed, percent)
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = verifier.links(pairs)
