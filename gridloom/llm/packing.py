@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import Numbers, blocks
-from gridloom.llm.common import written
+from gridloom.llm.common import TEXTS_A_BATCH, written
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -127,97 +127,134 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return [(p, n) for bins in open_bins.values() for p, n in bins]
 
 
-def _fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> list[tuple[int, ...]]:
-    """Up to ``most`` fillings of ``room`` by lengths at hand, least waste first, of some 400 tried.
-
-    The first two lengths vary and the largest that fit follow. A filling is maximal (nothing at hand fits what is left) and one length in
-    place of several of its sum comes first; a single length that fills the
-    room dominates all others.
-    """
-
-    def largest(limit: int, taken: tuple[int, ...]) -> int:
-        k = bisect_right(lengths, limit)
-        while k and counts[lengths[k - 1]] <= taken.count(lengths[k - 1]):
-            k -= 1
-        return lengths[k - 1] if k else 0
-
-    def grown(taken: tuple[int, ...], left: int) -> tuple[tuple[int, ...], int]:
-        while left and (x := largest(min(left, taken[-1] if taken else left), taken)):
-            taken, left = (*taken, x), left - x
-        return taken, left
-
-    first = grown((), room)
-    if not first[1]:
-        return [first[0]]
-    found, tried = {first[0]: first[1]}, 0
-    top = bisect_right(lengths, room)
-    for i in range(top - 1, -1, -1):
-        a = lengths[i]
-        for b in [0, *(lengths[j] for j in range(bisect_right(lengths, min(a, room - a)) - 1, -1, -1))]:
-            if b == a and counts[a] < 2:
-                continue
-            base = (a, b) if b else (a,)
-            taken, left = grown(base, room - a - b)
-            found.setdefault(taken, left)
-            tried += 1
-            if not left or tried > 400:
+class _Search:
+    """Branch and bound over completions of the largest length left."""
+
+    def __init__(self, counts: dict[int, int], size: int, nodes: int, steps: int):
+        self.counts, self.size, self.nodes, self.steps = {k: n for k, n in counts.items() if n}, size, nodes, steps
+        self.total = sum(k * n for k, n in self.counts.items())
+        self.least = max(-(-self.total // size), sum(n for k, n in self.counts.items() if 2 * k > size))
+        self.best = best_fit(self.counts, size)
+        self.bins = sum(n for _, n in self.best)
+        self.cut = False  # whether a limit ended an enumeration
+        self.plan: Plan = []
+        self.used = self.waste = 0
+
+    def slack(self) -> int:
+        """What may still be wasted in a plan better than the best so far."""
+        return (self.bins - 1) * self.size - self.total - self.waste
+
+    def fillings(self, room: int, slack: int) -> list[tuple[int, ...]]:
+        """The undominated fillings of ``room`` that waste at most ``slack``, least waste first, the largest lengths first among equals.
+
+        A filling is maximal: nothing left fits beside it. It is dominated if a
+        length left could take the place of one or two of its pieces that are
+        no longer together: whatever follows can swap them. So a piece that
+        fills the room alone dominates all others.
+        """
+        left = self.counts
+        lengths = sorted((k for k, n in left.items() if n and k <= room), reverse=True)
+        if lengths and lengths[0] == room:
+            return [(room,)]
+        reach = [0] * (len(lengths) + 1)
+        for k in range(len(lengths) - 1, -1, -1):
+            reach[k] = reach[k + 1] + lengths[k] * left[lengths[k]]
+        rising = lengths[::-1]
+        found: dict[tuple[int, ...], int] = {}
+        self.steps -= len(lengths)
+        most = self.steps // 20
+        stack: list[tuple[tuple[int, ...], int, int]] = [((), 0, room)]
+        while stack:
+            taken, at, rest = stack.pop()
+            self.steps -= 1
+            most -= 1
+            if most < 0:
+                self.cut = True
+                break
+            at = max(at, len(lengths) - bisect_right(rising, rest))
+            more = []
+            for k in range(at, len(lengths)):
+                if rest - reach[k] > slack:
+                    break
+                if taken.count(lengths[k]) < left[lengths[k]]:
+                    more.append(((*taken, lengths[k]), k, rest - lengths[k]))
+            stack += reversed(more)  # the largest first
+            self.steps -= len(more)
+            most -= len(more)
+            if rest <= slack and not any(taken.count(x) < left[x] for x in rising[: bisect_right(rising, rest)]) and not self._dominated(taken, rest, rising):
+                found[taken] = rest
+        return sorted(found, key=lambda f: (found[f], [-x for x in f]))
+
+    def _dominated(self, taken: tuple[int, ...], rest: int, rising: list[int]) -> bool:
+        free = lambda x: self.counts[x] > taken.count(x)
+        for i, a in enumerate(taken):
+            for b in {0, *taken[i + 1 :]}:
+                lo, hi = bisect_right(rising, a if not b else a + b - 1), bisect_right(rising, a + b + rest)
+                if any(free(x) for x in rising[lo:hi]):
+                    return True
+        return False
+
+    def branches(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        """(pattern, copies) from here: as many copies as there can be, or one and then others."""
+        self.nodes -= 1
+        top = max(k for k, n in self.counts.items() if n)
+        self.counts[top] -= 1
+        ways = self.fillings(self.size - top, self.slack())
+        self.counts[top] += 1
+        for filling in ways:
+            pattern = (top, *filling)
+            copies = min(self.counts[k] // pattern.count(k) for k in set(pattern))
+            yield pattern, copies
+            if copies > 1:
+                yield pattern, 1
+
+    def move(self, pattern: tuple[int, ...], n: int) -> None:
+        """Makes ``n`` bins of ``pattern``, or takes them back if ``n`` is negative."""
+        for k in pattern:
+            self.counts[k] -= n
+        self.used += n
+        self.waste += n * (self.size - sum(pattern))
+
+    def run(self) -> Plan:
+        if self.bins <= self.least:
+            return self.best
+        frames = [self.branches()]
+        while frames and self.bins > self.least:
+            if self.nodes <= 0 or self.steps <= 0:
+                self.cut = True
                 break
-        if not left or tried > 400:
-            break
-    return [t for t, _ in sorted(found.items(), key=lambda x: (x[1], [-y for y in x[0]]))][:most]
+            step = next(frames[-1], None)
+            if step is None:
+                frames.pop()
+                if self.plan:
+                    pattern, n = self.plan.pop()
+                    self.move(pattern, -n)
+                continue
+            self.move(*step)
+            self.plan.append(step)
+            if self.slack() >= 0 and any(self.counts.values()):
+                frames.append(self.branches())
+                continue
+            if self.slack() >= 0 and self.used < self.bins:
+                self.best, self.bins = list(self.plan), self.used
+            pattern, n = self.plan.pop()
+            self.move(pattern, -n)
+        return self.best
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 4000, branches: int = 3) -> Plan:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 50_000, steps: int = 3_000_000) -> Plan:
     """Packs a histogram of lengths into as few bins of ``size`` as it can.
 
     Bins are completed around the largest length left; equal bins are made
     together, so the work follows the number of different lengths and not of
-    documents. The search is depth first, least waste first; a branch ends when
-    its waste leaves no room below the incumbent (at first the best-fit
-    decreasing plan), or all of it after ``nodes`` completions. It is cut
-    further: in a completion only the first two lengths vary and the largest
-    that fit follow, 400 are tried and the best ``branches`` kept, and
-    alternatives are noted for the first 60 patterns of a plan. So the plan is
-    known to be optimal only if its bins equal the lower bound.
+    documents. The search is depth first over the undominated fillings, least
+    waste first; a branch ends when its waste leaves no room below the
+    incumbent (at first the best-fit decreasing plan). It ends by itself with
+    the least number of bins, or at the lower bound, or is cut after ``nodes``
+    completions or ``steps`` lengths looked at (a twentieth of those left in one
+    completion); then the best plan found stands, which may not be the least.
     """
-    counts = {k: n for k, n in counts.items() if n}
-    total = sum(k * n for k, n in counts.items())
-    least = max(-(-total // size), sum(n for k, n in counts.items() if 2 * k > size))
-    best = best_fit(counts, size)
-    bins = lambda plan: sum(n for _, n in plan)
-    state = {"best": best, "bins": bins(best), "nodes": nodes}
-
-    def search(counts: dict[int, int], lengths: list[int], plan: Plan, used: int, waste: int) -> None:
-        # completes greedily in a loop and branches by recursion only while few nodes are left to undo
-        while lengths:
-            if state["bins"] <= least or state["nodes"] <= 0 and plan is not None and used + 1 >= state["bins"]:
-                return
-            if waste > (state["bins"] - 1) * size - total:
-                return
-            state["nodes"] -= 1
-            top = lengths[-1]
-            rest = dict(counts)
-            rest[top] -= 1
-            ways = _fillings(size - top, [x for x in lengths if rest[x] and x <= size - top], rest, branches if state["nodes"] > 0 else 1)
-            for filling in ways[1:] if len(plan) < 60 else []:
-                if state["nodes"] > 0:
-                    alternatives.append((counts, lengths, list(plan), used, waste, (top, *filling)))
-            counts, lengths, plan, used, waste = applied(counts, lengths, plan, used, waste, (top, *ways[0]))
-        if used < state["bins"]:
-            state["best"], state["bins"] = plan, used
-
-    def applied(counts, lengths, plan, used, waste, pattern):
-        n = min(counts[k] // pattern.count(k) for k in set(pattern))
-        counts = dict(counts)
-        for k in pattern:
-            counts[k] -= n
-        return counts, [x for x in lengths if counts[x]], [*plan, (pattern, n)], used + n, waste + n * (size - sum(pattern))
-
-    alternatives: list = []
-    search(counts, sorted(counts), [], 0, 0)
-    while alternatives and state["nodes"] > 0 and state["bins"] > least:
-        search(*applied(*alternatives.pop()))
-    return state["best"]
+    return _Search(counts, size, nodes, steps).run()
 
 
 def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
@@ -270,5 +307,5 @@ def pack_documents(df: DataFrame, path: str, size: int = 2048, end: int = 0, id_
     empty text is the closing id alone; null ids pass through; repeated rows
     are packed each; other columns are ignored; an empty table gives no rows.
     """
-    pieces = written(tokenised_pieces(df, path, size, end, id_col, text_col, keep_ids), "pieces")
+    pieces = written(tokenised_pieces(df, path, size, end, id_col, text_col, keep_ids), "pieces", TEXTS_A_BATCH)
     return pack(pieces, size)

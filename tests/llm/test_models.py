@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from gridloom.llm.classifier import FEATURES, features, fit, quality_scores
-from gridloom.llm.packing import best_fit, bin_completion, pack_documents
+from gridloom.llm.packing import _Search, best_fit, bin_completion, pack_documents
 
 SCHEMA = "doc_id bigint, text string, quality int, length int, n_words string"
 
@@ -137,3 +137,36 @@ def test_packing(spark, size):
     total = sum(r["length"] for r in got)
     assert len(sequences) <= -(-total // size) + max(2, 0.02 * total / size)
     assert pack_documents(df.limit(0), path).count() == 0
+
+
+def test_triplets_fill_their_bins():
+    """Lengths made as 20 triples that fill a bin exactly: 20 bins are enough, best fit needs more."""
+    rng = random.Random(3)
+    best, solved = 0, 0
+    for _ in range(25):
+        items = Counter()
+        for _ in range(20):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            items.update([a, b, 1000 - a - b])
+        plan, got = bin_completion(items, 1000), Counter()
+        for pattern, n in plan:
+            assert sum(pattern) <= 1000
+            got.update(list(pattern) * n)
+        assert got == items
+        best += sum(n for _, n in best_fit(items, 1000)) > 20
+        solved += sum(n for _, n in plan) == 20
+    assert best == 25 and solved >= 24, (best, solved)
+
+
+def test_a_search_that_ends_by_itself_is_optimal():
+    rng = random.Random(11)
+    ended = 0
+    for _ in range(150):
+        size = rng.randint(10, 40)
+        items = Counter(rng.randint(1, size) for _ in range(rng.randint(1, 12)))
+        search = _Search(items, size, 100_000, 10_000_000)
+        bins = sum(n for _, n in search.run())
+        ended += not search.cut
+        assert search.cut or bins == fewest(list(items.elements()), size)
+    assert ended == 150
