@@ -125,9 +125,12 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None, most: int = 100)
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def split_components(df: DataFrame, label: str = "label") -> DataFrame:
-    """id, component (least voxel id of the face-connected part of its label); background stays out."""
+def split_components(df: DataFrame, label: str = "label", chunk: Sequence[int] | None = None) -> DataFrame:
+    """id, component (least voxel id of the face-connected part of its label); background stays out. With ``chunk`` each chunk of that size is labelled by itself."""
     kept = df.where(F.col(label) != 0)
+    if chunk is not None:  # parts that meet only across chunks have different labels
+        place = F.struct(label, *[F.floor(F.col(a) / c).alias(a) for a, c in zip(AXES, chunk, strict=True)])
+        kept = kept.withColumn(label, place)
     edges = neighbour_pairs(kept, label).where("a = b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return connected(edges, kept.select(F.col("id").alias("node"))).select(F.col("node").alias("id"), "component")
 

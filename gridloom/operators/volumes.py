@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.filters import box
+
 AXES = ("x", "y", "z")
 
 
@@ -127,21 +129,9 @@ def build_mask(configs: Sequence[tuple[Sequence[Column], bool]], invert: bool =
     return ~out if invert else out
 
 
-def neighbourhood(df: DataFrame, radius: dict[str, int], agg, value: str = "v") -> DataFrame:
-    """Aggregates each voxel's box neighbourhood, clipped at the border.
-
-    Voxels go to every centre within reach and are summed up there by partial
-    aggregation: the exchange is on coordinates and never on a whole plane.
-    """
-    spread = df.select(*AXES, value)
-    for a, r in radius.items():
-        spread = spread.withColumn("_d", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn(a, F.col(a) + F.col("_d")).drop("_d")
-    return spread.groupBy(*AXES).agg(agg.alias("_a")).join(df.select(*AXES), list(AXES), "left_semi").select(*AXES, F.col("_a").alias(value))
-
-
 def dilate(df: DataFrame, radius: dict[str, int], mask: str = "mask") -> DataFrame:
     """True where any voxel of the box neighbourhood is: the field of view of a mask."""
-    return neighbourhood(df.withColumn("v", F.col(mask).cast("int")), radius, F.max("v") > 0).withColumnRenamed("v", mask)
+    return box(df.select(*AXES, F.col(mask).cast("int").alias(mask)), radius, "max", mask).withColumn(mask, F.col(mask) > 0)
 
 
 def integral_image(df: DataFrame, value: str = "v") -> DataFrame:

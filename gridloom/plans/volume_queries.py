@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import filters as N
 from gridloom.operators import scalar as S
 from gridloom.operators import volumes as V
 from gridloom.plans.catalog import query
@@ -187,17 +188,17 @@ def box_sum(spark, sf_dir):
     return V.box_sums(V.integral_image(whole), 3, 2).withColumn("v", F.round("v", 4))
 
 
-for _name, _agg, _sql in (
-    ("moving_std", lambda: F.stddev_pop("v"), "round(stddev_pop(b.v), 6)"),
-    ("max_filter", lambda: F.max("v"), "round(max(b.v), 6)"),
-    ("min_filter", lambda: F.min("v"), "round(min(b.v), 6)"),
-    ("median_filter", lambda: F.median("v"), "round(median(b.v), 6)"),
-    ("uniform_filter", lambda: F.avg("v"), "round(avg(b.v), 6)"),
-    ("percentile_filter", lambda: F.percentile("v", 0.25), "round(quantile_cont(b.v, 0.25), 6)"),
+for _name, _filter, _sql in (
+    ("moving_std", lambda d: N.box(d, {"x": 1, "y": 1}, "std"), "round(stddev_pop(b.v), 6)"),
+    ("max_filter", lambda d: N.box(d, {"x": 1, "y": 1}, "max"), "round(max(b.v), 6)"),
+    ("min_filter", lambda d: N.box(d, {"x": 1, "y": 1}, "min"), "round(min(b.v), 6)"),
+    ("uniform_filter", lambda d: N.box(d, {"x": 1, "y": 1}, "mean"), "round(avg(b.v), 6)"),
+    ("median_filter", lambda d: N.percentile(d, 1, 1, 0.5), "round(median(b.v), 6)"),
+    ("percentile_filter", lambda d: N.percentile(d, 1, 1, 0.25), "round(quantile_cont(b.v, 0.25), 6)"),
 ):
 
-    def _near(spark, sf_dir, agg=_agg):
-        return V.neighbourhood(vox(spark, sf_dir), {"x": 1, "y": 1}, agg()).withColumn("v", F.round("v", 6))
+    def _near(spark, sf_dir, run=_filter):
+        return run(vox(spark, sf_dir)).select("x", "y", "z", F.round("v", 6).alias("v"))
 
     query(_name, f"WITH {VOX} SELECT a.x, a.y, a.z, {_sql} AS v FROM vox a JOIN vox b ON a.z = b.z AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y, a.z")(_near)
 
@@ -212,7 +213,7 @@ def laplacian(spark, sf_dir):
 FROM vox a JOIN vox b ON a.z = b.z AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y, a.z""")
 def high_pass(spark, sf_dir):
     whole = vox(spark, sf_dir).select("x", "y", "z", "v")
-    low = V.neighbourhood(whole.withColumn("v", 255 - F.col("v")), {"x": 1, "y": 1}, F.min("v")).withColumnRenamed("v", "m")
+    low = N.box(whole.withColumn("v", 255 - F.col("v")), {"x": 1, "y": 1}, "min").withColumnRenamed("v", "m")
     return whole.join(low, ["x", "y", "z"]).select("x", "y", "z", F.round(F.col("v") + F.col("m"), 4).alias("v"))
 
 
