@@ -191,3 +191,37 @@ def multi_grid(boxes: DataFrame, size: Sequence[int], overlap: Sequence[int]) ->
     return placed.select("generator", F.col("first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("idx")).select(
         (F.col("first") + F.col("idx")).cast("bigint").alias("multi_idx"), F.col("generator").cast("bigint").alias("generator"), "idx"
     )
+
+
+def relative(df: DataFrame, offset: Sequence[int]) -> DataFrame:
+    """Boxes seen from a point: both corners moved by its negative."""
+    return df.withColumns({f"{a}{e}": F.col(f"{a}{e}") - o for a, o in zip("xyz", offset, strict=True) for e in (0, 1)})
+
+
+def slices() -> Column:
+    """A box as text: x0:x1,y0:y1,z0:z1."""
+    return F.concat_ws(",", *[F.concat_ws(":", F.col(f"{a}0").cast("string"), F.col(f"{a}1").cast("string")) for a in "xyz"])
+
+
+def from_slices(df: DataFrame, column: str) -> DataFrame:
+    """Adds the corners of boxes given as text; a step or a missing bound is an error."""
+    part = F.split(column, ",")
+    out = df
+    for k, a in enumerate("xyz"):
+        bounds = F.split(F.get(part, F.lit(k)), ":")
+        for e in (0, 1):
+            good = (F.size(part) == 3) & (F.size(bounds) == 2)
+            out = out.withColumn(f"{a}{e}", F.when(good, F.get(bounds, F.lit(e)).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("no box: "), F.col(column)))))
+    return out
+
+
+def to_json() -> Column:
+    """A box as JSON: {"start": [...], "size": [...]}."""
+    corner = lambda e: [F.col(f"{a}{e}") for a in "xyz"]
+    return F.to_json(F.struct(F.array(*corner(0)).alias("start"), F.array(*[q - p for p, q in zip(corner(0), corner(1), strict=True)]).alias("size")))
+
+
+def from_json(df: DataFrame, column: str) -> DataFrame:
+    """Adds the corners of boxes given as JSON."""
+    box = F.from_json(column, "struct<start:array<bigint>,size:array<bigint>>")
+    return df.withColumn("_b", box).withColumns({f"{a}{e}": F.get("_b.start", F.lit(k)) + (F.get("_b.size", F.lit(k)) if e else 0) for k, a in enumerate("xyz") for e in (0, 1)}).drop("_b")

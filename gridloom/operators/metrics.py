@@ -110,3 +110,33 @@ def ensemble(df: DataFrame, keys: Sequence[str], error: Callable[[Column, Column
     """Mean and least error over ensemble members."""
     each = df.groupBy(*keys, member).agg(F.avg(error(F.col(pred), F.col(target))).alias("e"))
     return each.groupBy(*keys).agg(F.avg("e").alias("mean"), F.min("e").alias("least"))
+
+
+def nonzero_weight(weight: Column) -> Column:
+    """1 where a weight is above 0, else 0."""
+    return (weight > 0).cast("bigint")
+
+
+def vector_sums(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """group, k, v, n: the sum of each dimension of a group's vectors and how many there are."""
+    long = df.select(group, F.posexplode(vector).alias("k", "_x"))
+    return long.groupBy(group, "k").agg(F.sum(F.col("_x").cast("double")).alias("v"), F.count("*").alias("n"))
+
+
+def value_range(df: DataFrame, vector: str) -> DataFrame:
+    """k, low, high of each dimension over all rows."""
+    return df.select(F.posexplode(vector).alias("k", "_x")).groupBy("k").agg(F.min(F.col("_x").cast("double")).alias("low"), F.max(F.col("_x").cast("double")).alias("high"))
+
+
+def feature_regression(df: DataFrame, keys: list[str], predicted: str, target: str) -> DataFrame:
+    """Mean squared error, cosine and lengths of predicted and target vectors, averaged over a group."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    length = lambda a: F.sqrt(dot(a, a))
+    error = total(F.zip_with(predicted, target, lambda x, y: (x - y) * (x - y))) / F.size(predicted)
+    return df.groupBy(*keys).agg(
+        F.avg(error).alias("mse"),
+        F.avg(dot(predicted, target) / (length(predicted) * length(target))).alias("cosine"),
+        F.avg(length(predicted)).alias("predicted_norm"),
+        F.avg(length(target)).alias("target_norm"),
+    )

@@ -113,3 +113,23 @@ def reshape_array(values: Column, width: int) -> Column:
 def transpose_array(rows: Column) -> Column:
     """Swaps the axes of an array of equally long arrays."""
     return F.transform(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+
+
+def schedule(t: Column, name: str) -> Column:
+    """A schedule by name: linear, cosine (cosine_power, cosine_power_exponent), or linear_logsnr (linear_logsnr_low_high)."""
+    kind, *numbers = name.replace("linear_logsnr", "logsnr").split("_")
+    args = list(map(float, numbers))
+    if kind == "linear" and not args:
+        return t
+    if kind == "cosine" and len(args) < 3:
+        return cosine_ramp(t, *args, *(1.0, 1.0)[len(args) :])
+    if kind == "logsnr" and len(args) in (0, 2):
+        return linear_log_snr(t, *args)
+    raise ValueError(f"no schedule named {name!r}")
+
+
+def combine_map(point: Column, samples: int, points: int) -> Column:
+    """The sample that a point of ``samples`` concatenated ones came from; ``points`` must be a multiple of them."""
+    if points % samples:
+        raise ValueError(f"{points} points are no multiple of {samples} samples")
+    return F.floor(point / (points // samples))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.filters import box
 from gridloom.sources.shared import materialized
 
 AXES = ("x", "y", "z")
@@ -23,12 +25,16 @@ def object_properties(df: DataFrame, label: str = "label", voxel: Sequence[float
     return out.withColumn("extent", F.col("area") / F.expr("(x1 - x0) * (y1 - y0) * (z1 - z0)"))
 
 
-def ellipticity(df: DataFrame, label: str = "label") -> DataFrame:
-    """Area against that of the ellipsoid with the same sample covariance (1: an ellipsoid); null for flat objects."""
-    cov = {(a, b): F.covar_samp(a, b) for a in AXES for b in AXES if a <= b}
+def ellipticity(df: DataFrame, label: str = "label", axes: str = "xyz") -> DataFrame:
+    """Area against that of the ellipsoid, or ellipse in a plane, with the same sample covariance (1: an ellipsoid); null for flat objects."""
+    cov = {(a, b): F.covar_samp(a, b) for a in axes for b in axes if a <= b}
     out = df.where(F.col(label) != 0).groupBy(label).agg(F.count("*").alias("n"), *[c.alias(f"{a}{b}") for (a, b), c in cov.items()])
-    det = F.expr("xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)")
-    factor = 3 * 5**0.5 / (100 * 3.141592653589793)
+    if len(axes) == 2:
+        a, b = sorted(axes)
+        det, factor = F.expr(f"{a}{a} * {b}{b} - {a}{b} * {a}{b}"), 1 / (4 * math.pi)
+    else:
+        det = F.expr("xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)")
+        factor = 3 * 5**0.5 / (100 * math.pi)
     return out.withColumn("det", det).select(label, "n", F.when(F.col("det") > 1e-12, factor * F.col("n") / F.sqrt("det")).alias("ellipticity"))
 
 
@@ -97,18 +103,18 @@ def region_adjacency(df: DataFrame, label: str = "label") -> DataFrame:
     return neighbour_pairs(df, label).where("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("dim").alias("dim"))
 
 
-def connected(edges: DataFrame, nodes: DataFrame | None = None, most: int = 100) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (least node reachable) of an edge list (a, b) and further nodes (node).
 
     Least labels spread along edges and are followed to their own labels, so
     the number of rounds grows with the logarithm of the diameter in practice;
-    each round is written to the shared folder.
+    each round is written to the shared folder, until no label changes.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialized(both, "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = materialized(labels, "labels")
-    for _ in range(most):
+    while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
         near = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "component", F.least("component", "least").alias("new"))
         up = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
@@ -117,8 +123,6 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None, most: int = 100)
         if labels.where("changed").isEmpty():
             break
         labels = labels.select("node", "component")
-    else:
-        raise RuntimeError(f"components still change after {most} rounds")
     found = labels.select("node", "component")
     if nodes is None:
         return found
@@ -135,6 +139,29 @@ def split_components(df: DataFrame, label: str = "label", chunk: Sequence[int] |
     return connected(edges, kept.select(F.col("id").alias("node"))).select(F.col("node").alias("id"), "component")
 
 
+def recomputed_components(df: DataFrame, offset: int = 0, label: str = "label") -> DataFrame:
+    """Each face-connected part of a label numbered by itself: its least voxel id, plus 1 and ``offset``; background stays 0."""
+    parts = split_components(df, label).withColumnRenamed("id", "_id")
+    new = F.coalesce(F.col("component") + 1 + offset, F.lit(0)).cast("bigint")
+    return df.join(parts, df["id"] == parts["_id"], "left").withColumn(label, new).drop("_id", "component")
+
+
+def filtered_mask(df: DataFrame, having: str, reach: dict[str, int], label: str = "label") -> DataFrame:
+    """x, y, z, mask: the parts of a mask (label other than 0) whose properties satisfy ``having``, widened by ``reach``."""
+    parts = split_components(df, label).withColumnRenamed("id", "_id")
+    placed = df.join(parts, df["id"] == parts["_id"])
+    fine = object_properties(placed.withColumn("_part", F.col("component") + 1), "_part").where(having).select((F.col("_part") - 1).alias("component"))
+    kept = placed.join(fine, "component", "left_semi").select("id", F.lit(1).alias("_k"))
+    mask = df.join(kept, "id", "left").select(*AXES, F.coalesce("_k", F.lit(0)).alias("mask"))
+    return box(mask, reach, "max", "mask").select(*AXES, (F.col("mask") > 0).alias("mask"))
+
+
+def mask_to_points(df: DataFrame, voxel: Sequence[float], shape: Sequence[int] | None = None) -> DataFrame:
+    """Adds px, py, pz: the places of voxels in physical units, from the middle of a volume of ``shape`` if it is given."""
+    middle = [n * v / 2 for n, v in zip(shape, voxel, strict=True)] if shape else [0.0] * 3
+    return df.withColumns({f"p{a}": F.col(a) * v - m for a, v, m in zip(AXES, voxel, middle, strict=True)})
+
+
 def fill_holes(df: DataFrame, shape: Sequence[int], label: str = "label") -> DataFrame:
     """Voxels with background parts that touch no face and exactly one label taken by that label."""
     empty = df.where(F.col(label) == 0)

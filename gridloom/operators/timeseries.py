@@ -77,3 +77,10 @@ def to_series(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "v"
 def to_frames(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "v") -> DataFrame:
     """Series of arrays -> the long table again."""
     return df.select(*keys, F.posexplode(value).alias(t, value)).withColumn(t, F.col(t).cast("bigint"))
+
+
+def correlate_with_center(df: DataFrame, series: str) -> DataFrame:
+    """Correlation of every series with the one in the middle of the range of keys (rounded up)."""
+    low, high = df.agg(F.min(series), F.max(series)).first()
+    middle = None if low is None else (low + high + 1) // 2
+    return correlate_with(df, series, df.where(F.col(series) == F.lit(middle)))

@@ -31,13 +31,15 @@ def biconnected(edges: DataFrame, graph: str = "graph") -> DataFrame:
             if root in order:
                 continue
             order[root] = low[root] = len(order)
-            path, edges_ = [(root, None, iter(near[root]))], []
+            # the place of each tree edge in the stack of edges, so that a component is cut off without a search
+            path, edges_, place = [(root, None, iter(near[root]))], [], {}
             while path:
                 node, parent, rest = path[-1]
                 for other in rest:
                     if other == parent:
                         continue
                     if other not in order:
+                        place[other] = len(edges_)
                         edges_.append((node, other))
                         order[other] = low[other] = len(order)
                         path.append((other, node, iter(near[other])))
@@ -50,7 +52,7 @@ def biconnected(edges: DataFrame, graph: str = "graph") -> DataFrame:
                     if parent is not None:
                         low[parent] = min(low[parent], low[node])
                         if low[node] >= order[parent]:
-                            at = edges_.index((parent, node))
+                            at = place[node]
                             found.append(sorted((min(e), max(e)) for e in edges_[at:]))
                             del edges_[at:]
         rows = [(p[graph].iloc[0], k, a, b) for k, c in enumerate(sorted(found)) for a, b in c]
@@ -66,6 +68,52 @@ def articulation_points(components: DataFrame, graph: str = "graph") -> DataFram
     return ends.groupBy(graph, "node").agg(F.count("*").alias("n")).where("n > 1").select(graph, "node")
 
 
+def internal_objects(components: DataFrame, graph: str = "graph") -> DataFrame:
+    """graph, component, target: components of a region graph that lie wholly within one object, and the articulation point they merge into.
+
+    A component with a single articulation point merges into it; then those
+    merge of whose points only one still has other components, and so on. A
+    chain of merges ends at the last point. ``components`` is that of
+    :func:`biconnected`.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        nodes: dict[int, set[int]] = defaultdict(set)
+        for c, a, b in zip(p["component"].tolist(), p["a"].tolist(), p["b"].tolist(), strict=True):
+            nodes[c] |= {a, b}
+        seen = Counter(n for members in nodes.values() for n in members)
+        joints = {c: sorted(n for n in members if seen[n] > 1) for c, members in nodes.items()}
+        open_ = Counter(n for members in joints.values() for n in members)  # components a point still belongs to
+        into: dict[int, int] = {}
+        above: dict[int, int] = {}
+        waiting = sorted(c for c in joints if joints[c])
+        while waiting:
+            rest = []
+            for c in waiting:
+                live = joints[c] if len(joints[c]) == 1 else [n for n in joints[c] if open_[n] > 1]
+                if len(live) != 1:
+                    rest.append(c)
+                    continue
+                into[c] = live[0]
+                for n in joints[c]:
+                    open_[n] -= 1
+                    if n != live[0]:
+                        above[n] = live[0]
+            if len(rest) == len(waiting):
+                break
+            waiting = rest
+
+        def last(n: int) -> int:
+            while n in above:
+                n = above[n]
+            return n
+
+        return pd.DataFrame([(p[graph].iloc[0], c, last(n)) for c, n in sorted(into.items())], columns=[graph, "component", "target"])
+
+    kind = components.schema[graph].dataType.simpleString()
+    return components.select(graph, "component", "a", "b").groupBy(graph).applyInPandas(run, f"{graph} {kind}, component int, target bigint")
+
+
 def best_cut(edges: DataFrame, labels: DataFrame, graph: str = "graph") -> DataFrame:
     """The tree edge whose removal leaves the two most consistent parts: graph, a, b, consistency, initial.
 

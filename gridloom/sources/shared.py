@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as parquet and reads it back: iterative plans stay short and survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

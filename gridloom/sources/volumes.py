@@ -48,7 +48,7 @@ def to_chunks(df: DataFrame, chunk: Sequence[int], value: str = "v") -> DataFram
 
 def from_chunks(chunks: DataFrame, chunk: Sequence[int], value: str = "v") -> DataFrame:
     out = chunks.select("cx", "cy", "cz", F.explode("voxels").alias("p"))
-    return out.select(*[(F.col(f"c{a}") * c + F.col(f"p.{a}")).alias(a) for a, c in zip(AXES, chunk, strict=True)], F.col("p.v").alias(value))
+    return out.select(*[(F.col(f"c{a}").cast("bigint") * c + F.col(f"p.{a}")).alias(a) for a, c in zip(AXES, chunk, strict=True)], F.col("p.v").alias(value))
 
 
 def read_range(chunks: DataFrame, chunk: Sequence[int], start: Sequence[int], end: Sequence[int]) -> DataFrame:
