@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 from collections.abc import Callable, Mapping
@@ -15,18 +14,83 @@ from pyspark.sql import functions as F
 Op = Callable[..., DataFrame]
 
 
+_TOKEN = re.compile(r"""\s*(?:(?P<name>[A-Za-z_]\w*)|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|(?P<text>'[^']*'|"[^"]*")|(?P<mark>[()\[\],=|]))""")
+_WORDS = {"True": True, "False": False, "None": None}
+
+
+class _Chain:
+    """chain: op ("|" op)*; op: name ["(" [arg ("," arg)*] ")"]; arg: [name "="] value; value: number, text, True, False, None or a list."""
+
+    def __init__(self, spec: str):
+        self.spec, self.tokens, at = spec, [], 0
+        while spec[at:].strip():
+            m = _TOKEN.match(spec, at)
+            if not m:
+                raise ValueError(f"cannot read {spec[at:]!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+
+    def take(self, mark: str) -> bool:
+        hit = bool(self.tokens) and self.tokens[0] == ("mark", mark)
+        if hit:
+            self.tokens.pop(0)
+        return hit
+
+    def need(self, kind: str) -> str:
+        if not self.tokens or self.tokens[0][0] != kind:
+            raise ValueError(f"a {kind} is missing in {self.spec!r}")
+        return self.tokens.pop(0)[1]
+
+    def value(self) -> Any:
+        if self.take("["):
+            out = []
+            while not self.take("]"):
+                out.append(self.value())
+                if not self.take(",") and self.tokens[:1] != [("mark", "]")]:
+                    raise ValueError(f"a list is not closed in {self.spec!r}")
+            return out
+        kind = self.tokens[0][0] if self.tokens else ""
+        if kind == "name":
+            word = self.need("name")
+            if word not in _WORDS:
+                raise ValueError(f"{word!r} is no value in {self.spec!r}")
+            return _WORDS[word]
+        if kind == "text":
+            return self.need("text")[1:-1]
+        number = self.need("number")
+        return int(number) if re.fullmatch(r"[-+]?\d+", number) else float(number)
+
+    def ops(self) -> list[tuple[str, list, dict]]:
+        out: list[tuple[str, list, dict]] = []
+        while self.tokens:
+            name, args, named = self.need("name"), [], {}
+            if self.take("("):
+                while not self.take(")"):
+                    if self.tokens[:1] and self.tokens[0][0] == "name" and self.tokens[1:2] == [("mark", "=")]:
+                        key = self.need("name")
+                        self.take("=")
+                        named[key] = self.value()
+                    else:
+                        args.append(self.value())
+                    if not self.take(",") and self.tokens[:1] != [("mark", ")")]:
+                        raise ValueError(f"a bracket is not closed in {self.spec!r}")
+            out.append((name, args, named))
+            if self.tokens and not self.take("|"):
+                raise ValueError(f"a | is missing in {self.spec!r}")
+        return out
+
+
 def parse_chain(spec: str, ops: Mapping[str, Op]) -> list[tuple[Op, list, dict]]:
-    """Parses ``name(arg, key=literal) | name``; only literals and known names are accepted."""
-    out = []
-    for part in filter(None, (p.strip() for p in spec.split("|"))):
-        node = ast.parse(part, mode="eval").body
-        name = node.func if isinstance(node, ast.Call) else node
-        if not isinstance(name, ast.Name) or name.id not in ops:
-            raise ValueError(f"unknown operator in {part!r}")
-        args = [ast.literal_eval(a) for a in node.args] if isinstance(node, ast.Call) else []
-        kwargs = {k.arg: ast.literal_eval(k.value) for k in node.keywords} if isinstance(node, ast.Call) else {}
-        out.append((ops[name.id], args, kwargs))
-    return out
+    """Reads ``name(arg, key=value) | name``; only known names and plain values are accepted."""
+    found = _Chain(spec).ops()
+    if unknown := [name for name, _, _ in found if name not in ops]:
+        raise ValueError(f"unknown operators {unknown}")
+    return [(ops[name], args, named) for name, args, named in found]
+
+
+def operator_names(ops: Mapping[str, Op]) -> list[str]:
+    """The names that chains may use, in order."""
+    return sorted(ops)
 
 
 def apply_chain(df: DataFrame, spec: str, ops: Mapping[str, Op]) -> DataFrame:
@@ -43,15 +107,36 @@ def apply_configs(df: DataFrame, configs: str | list[dict], ops: Mapping[str, Op
     return df
 
 
-def parse_args(text: str, **kinds: type) -> dict[str, Any]:
-    """``a=1,flag,b=x`` with the types of ``kinds``; a bare name is True."""
-    out: dict[str, Any] = {}
-    for item in filter(None, (i.strip() for i in text.split(","))):
-        key, eq, value = item.partition("=")
-        if key not in kinds:
-            raise ValueError(f"unknown argument {key!r}")
-        out[key] = (value.lower() in ("1", "true", "yes") if kinds[key] is bool else kinds[key](value)) if eq else True
-    return out
+def _strictly(kind: Any, text: str) -> Any:
+    if kind is not bool:
+        return kind(text)
+    if text.lower() not in ("true", "false", ""):
+        raise ValueError(f"{text!r} is neither true nor false")
+    return text.lower() == "true"
+
+
+def _guessed(text: str) -> Any:
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    return typed_sequence(text, "\0")[0]
+
+
+def parse_args(text: str | None, lazy: bool = False, **spec: Any) -> dict[str, Any]:
+    """``a=1,flag,b=x`` against ``spec``: name=default, or name=(default, type); the default's type holds otherwise.
+
+    A bare name is true; true and false are strict. A single value without a
+    name goes to the first of ``spec``, unless it is a name itself or there is
+    no spec. Other names are an error or, if ``lazy``, get a guessed type.
+    """
+    kinds = {k: v if isinstance(v, tuple) else (v, type(v)) for k, v in spec.items()}
+    items = [i for i in (text or "").split(",") if i]
+    if len(items) == 1 and "=" not in items[0] and kinds and items[0] not in kinds:
+        items = [f"{next(iter(kinds))}={items[0]}"]
+    given = {key: value if eq else "True" for key, eq, value in (i.partition("=") for i in items)}
+    if (unknown := given.keys() - kinds.keys()) and not lazy:
+        raise ValueError(f"unknown arguments {sorted(unknown)}")
+    out = {k: _strictly(kind, given[k]) if k in given else default for k, (default, kind) in kinds.items()}
+    return out | {k: _guessed(v) for k, v in given.items() if k not in kinds}
 
 
 def typed_sequence(text: str, separator: str = ",") -> list[int | float | str]:

@@ -68,14 +68,21 @@ def articulation_points(components: DataFrame, graph: str = "graph") -> DataFram
     return ends.groupBy(graph, "node").agg(F.count("*").alias("n")).where("n > 1").select(graph, "node")
 
 
-def internal_objects(components: DataFrame, graph: str = "graph") -> DataFrame:
+def internal_objects(components: DataFrame, outer: DataFrame | None = None, graph: str = "graph") -> DataFrame:
     """graph, component, target: components of a region graph that lie wholly within one object, and the articulation point they merge into.
 
     A component with a single articulation point merges into it; then those
     merge of whose points only one still has other components, and so on. A
     chain of merges ends at the last point. ``components`` is that of
-    :func:`biconnected`.
+    :func:`biconnected`; those with a node of ``outer`` (graph, node), such as
+    the background or labels on the border, are never internal.
     """
+    if outer is None:
+        marked = components.withColumn("_fixed", F.lit(False))
+    else:
+        ends = components.select(graph, "component", F.explode(F.array("a", "b")).alias("node"))
+        fixed = ends.join(outer.select(graph, "node").distinct(), [graph, "node"], "left_semi").select(graph, "component").distinct().withColumn("_fixed", F.lit(True))
+        marked = components.join(fixed, [graph, "component"], "left").withColumn("_fixed", F.coalesce("_fixed", F.lit(False)))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         nodes: dict[int, set[int]] = defaultdict(set)
@@ -86,7 +93,8 @@ def internal_objects(components: DataFrame, graph: str = "graph") -> DataFrame:
         open_ = Counter(n for members in joints.values() for n in members)  # components a point still belongs to
         into: dict[int, int] = {}
         above: dict[int, int] = {}
-        waiting = sorted(c for c in joints if joints[c])
+        fixed = set(p.loc[p["_fixed"], "component"].tolist())
+        waiting = sorted(c for c in joints if joints[c] and c not in fixed)
         while waiting:
             rest = []
             for c in waiting:
@@ -111,7 +119,7 @@ def internal_objects(components: DataFrame, graph: str = "graph") -> DataFrame:
         return pd.DataFrame([(p[graph].iloc[0], c, last(n)) for c, n in sorted(into.items())], columns=[graph, "component", "target"])
 
     kind = components.schema[graph].dataType.simpleString()
-    return components.select(graph, "component", "a", "b").groupBy(graph).applyInPandas(run, f"{graph} {kind}, component int, target bigint")
+    return marked.select(graph, "component", "a", "b", "_fixed").groupBy(graph).applyInPandas(run, f"{graph} {kind}, component int, target bigint")
 
 
 def best_cut(edges: DataFrame, labels: DataFrame, graph: str = "graph") -> DataFrame:

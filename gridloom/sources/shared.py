@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of this process's own where it is unset (local runs)."""
+    """``spark.checkpoint.dir``, or a folder of this process's own where it is unset and everything runs in it (tests).
+
+    On a cluster an unset folder is an error: each machine would write to its
+    own disk. Tables written there stay until the folder is cleaned.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

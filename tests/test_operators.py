@@ -199,7 +199,19 @@ def test_splits(spark):
 
 
 def test_specs(spark):
-    assert specs.parse_args("a=1,flag,b=x", a=int, flag=bool, b=str) == {"a": 1, "flag": True, "b": "x"}
+    assert specs.parse_args("a=1,flag,b=x", a=5, flag=False, b="y", c=2.5) == {"a": 1, "flag": True, "b": "x", "c": 2.5}
+    assert specs.parse_args("128", size=(224, int), flag=False) == {"size": 128, "flag": False}
+    assert specs.parse_args("flag", size=224, flag=False) == {"size": 224, "flag": True}
+    assert specs.parse_args(None, size=224) == {"size": 224}
+    assert specs.parse_args("a=3,b=x,c=False", lazy=True, a=1.0) == {"a": 3.0, "b": "x", "c": False}
+    for wrong in ("a=1,z=2", "flag=maybe"):
+        with pytest.raises(ValueError):
+            specs.parse_args(wrong, a=1, flag=True)
+    ops = {"f": None, "g": None}
+    assert [x[1:] for x in specs.parse_chain("f(1, 'a|b', k=[1, -2.5e1, True]) | g", ops)] == [([1, "a|b"], {"k": [1, -25.0, True]}), ([], {})]
+    for wrong in ("h()", "f(", "f(1", "f(x)", "f g", "f(1,,2)", "f(__import__('os'))", "f([1"):
+        with pytest.raises(ValueError):
+            specs.parse_chain(wrong, ops)
     assert specs.typed_sequence("1, 2.5,x") == [1, 2.5, "x"]
     assert specs.kebab_name("HTTPServerName") == "http-server-name"
     ops = {"double": lambda df, by=2: df.withColumn("v", F.col("v") * by)}
