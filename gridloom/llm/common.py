@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import shared_path
+
 #: The white space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -20,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of this
-    process's own where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Rows of an Arrow batch where whole texts go to Python: a few megabytes, and not the tens that 10,000 texts take.
 TEXTS_A_BATCH = 1000
 
@@ -42,7 +28,7 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     files, never the work that made them.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     before = spark.conf.get(key)
     if batch is not None and not 0 < int(before) <= batch:
         spark.conf.set(key, str(batch))
