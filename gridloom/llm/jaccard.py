@@ -20,6 +20,8 @@ SPLIT = 200_000
 #: Leaders of a long list in its first round (four times as many in each that follows), and pairs that a list may make in a round besides.
 LEADERS = 32
 PAIRS_A_LIST = 1 << 14
+#: Probes end with the round that links at most so many pairs.
+PROBES_LINK = 100
 #: Tokens that a task counts before it sends them, and tokens that it counts at once.
 BUFFER = 1 << 21
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
@@ -528,6 +530,44 @@ def most_shared(m: int, n: int, x: bytes, y: bytes) -> int:
     return min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
 
 
+def merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further ``links`` (a, b): only the labels at their ends are joined anew."""
+    at = lambda name, label: labels.select(F.col("node").alias(name), F.col("label").alias(label))
+    ends = links.select("a", "b").join(at("a", "la"), "a", "left").join(at("b", "lb"), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
+    new = components(spark, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"))
+    nodes = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("e")).select("e.*")
+    all_ = labels.unionByName(nodes).distinct()
+    new = new.select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return written(all_.join(new, "label", "left").select("node", F.coalesce("_new", "label").alias("label")), "labels")
+
+
+def _fits(meta: str, other: str, percent: int):
+    """Whether two postings on a list may link, as :func:`_near` has it."""
+    x, y = F.col(meta).bitwiseAND(SIZE), F.col(other).bitwiseAND(SIZE)
+    often = F.least(x - F.shiftright(meta, 31).bitwiseAND(RARE), y - F.shiftright(other, 31).bitwiseAND(RARE))
+    plain = (F.shiftright(meta, 61) % 2 == 0) | (F.shiftright(other, 61) % 2 == 0)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (plain | ((100 + percent) * often >= percent * (x + y)))
+
+
+def _probes(long: DataFrame, labels: DataFrame, percent: int, turn: int, pivots: int = 8) -> DataFrame:
+    """Pairs of each set with up to ``pivots`` members of other groups on one of its lists that hold several groups.
+
+    The list and the members are drawn by hashes of the turn: at most
+    ``pivots`` pairs a set, however long its lists are. They join most of what
+    belongs together before any leader meets whole lists.
+    """
+    named = long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
+    named = written(named.join(open_, "key"), "open")
+    drawn = F.xxhash64("node", "key", F.lit(turn))
+    of_list = named.groupBy("key", F.pmod(drawn, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(drawn.alias("d"), "node", "meta", "label")).alias("p"))
+    of_list = of_list.select("key", F.col("p.node").alias("pivot"), F.col("p.meta").alias("pivot_meta"), F.col("p.label").alias("pivot_label"))
+    chosen = named.groupBy("node").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("d"), "key", "meta", "label")).alias("c")).select("node", "c.key", "c.meta", "c.label")
+    met = chosen.join(of_list, (chosen["key"] == of_list["key"]) & (F.col("label") != F.col("pivot_label")) & _fits("meta", "pivot_meta", percent))
+    return written(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "probes")
+
+
 def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
     """Of long lists that still hold several groups: pairs of leaders with members of other groups, and the lists without those leaders.
 
@@ -554,12 +594,8 @@ def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tu
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     whole = ways.where("whole").select("leader", "leader_n", F.col("label").alias("with"))
     once = whole.join(nodes, (whole["with"] == nodes["label"]) & near(F.col("n"), F.col("leader_n")))
-    x, y = F.col("meta").bitwiseAND(SIZE), F.col("leader_meta").bitwiseAND(SIZE)
-    often = F.least(x - F.shiftright("meta", 31).bitwiseAND(RARE), y - F.shiftright("leader_meta", 31).bitwiseAND(RARE))
-    plain = (F.shiftright("meta", 61) % 2 == 0) | (F.shiftright("leader_meta", 61) % 2 == 0)
-    fits = near(x, y) & (plain | ((100 + percent) * often >= percent * (x + y)))
     few = reached.join(ways.where("NOT whole").select("leader", "label"), ["leader", "label"], "left_semi").select("key", "leader", "leader_meta", F.col("label").alias("with"))
-    listed = met.join(few, (met["key"] == few["key"]) & (met["label"] == few["with"]) & fits)
+    listed = met.join(few, (met["key"] == few["key"]) & (met["label"] == few["with"]) & _fits("meta", "leader_meta", percent))
     both = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
     return written(once.select(*both).unionByName(listed.select(*both)).distinct(), "pairs"), met.where("NOT leads").select("key", "node", "meta")
 
@@ -600,17 +636,29 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = components(spark, links)
     long = written(found.where("kind = 1").groupBy(F.col("a").alias("key"), F.col("b").alias("node")).agg(F.min("meta").alias("meta")), "lists")
     if not long.isEmpty():
-        settled, turn = pairs, 0
-        while (more := _residual(long, labels, percent, turn)) is not None:
-            (pairs, long), turn = more, turn + 1
+        settled = pairs
+
+        def tested(pairs: DataFrame) -> int:
+            """Verifies the pairs that are not settled yet; returns how many of them link."""
+            nonlocal settled, labels
             fresh = written(pairs.join(settled, ["a", "b"], "left_anti"), "fresh")
             settled = written(settled.unionByName(fresh), "settled")
             if fresh.isEmpty():
-                continue
+                return 0
             new = verifier.links(fresh)
-            if not new.isEmpty():
-                links = written(links.unionByName(new), "all-links")
-                labels = components(spark, links)
+            found = new.count()
+            if found:
+                labels = merged(spark, labels, new)
+            return found
+
+        # as long as probes link many sets, they do so with fewer pairs than leaders would
+        turn = 0
+        while tested(_probes(long, labels, percent, turn)) > PROBES_LINK:
+            turn += 1
+        turn = 0
+        while (more := _residual(long, labels, percent, turn)) is not None:
+            (pairs, long), turn = more, turn + 1
+            tested(pairs)
 
     named = reps.join(labels, reps["d1"] == labels["node"], "left").select("d1", "rep", "copies", F.coalesce("label", "d1").alias("label"))
     named = written(named, "named")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import jaccard
-from gridloom.llm.jaccard import Shingles, _near, bitmap, components, jaccard_groups, least_shared, most_shared, prefix_keys, token_counts
+from gridloom.llm.jaccard import Shingles, _near, bitmap, components, jaccard_groups, least_shared, merged, most_shared, prefix_keys, token_counts
 
 SCHEMA = "doc_id bigint, text string, key string, node int, n int"
 
@@ -94,6 +94,17 @@ def test_prefixes_meet():
         assert any(_near(np.array([keys[0][k]]), np.array([keys[1][k]]), 75)[0] for k in both), trial
 
 
+def test_labels_are_merged(spark):
+    rng = random.Random(8)
+    old = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(25)]
+    new = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(15)]
+    links = lambda e: spark.createDataFrame([p for p in e if p[0] != p[1]], "a bigint, b bigint")
+    pairs = lambda d: {r["node"]: r["label"] for r in d.collect()}
+    got = pairs(merged(spark, components(spark, links(old)), links(new)))
+    want = pairs(components(spark, links(old + new)))
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
@@ -135,6 +146,7 @@ def test_counts_of_tokens(spark, monkeypatch):
 def test_split_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SPLIT", 5)
     monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "PROBES_LINK", 0)
     monkeypatch.setattr(jaccard, "PAIRS_A_LIST", 4)
     docs = corpus(6)
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], SCHEMA).repartition(3)
