@@ -56,7 +56,12 @@ SEGMENTS = "array<struct<text:string,loss:boolean>>"
 
 
 class Formatter:
-    """Writes conversations by a template and reads them back."""
+    """Writes conversations by a template and reads them back.
+
+    Templates that cannot be read back are refused: control strings need two
+    characters and no backslash, no opening may begin another, and no closing
+    may overlap itself.
+    """
 
     def __init__(self, template: ChatTemplate = DEFAULT):
         self.template = template
@@ -67,7 +72,15 @@ class Formatter:
             rest.setdefault(c[0], []).append(re.escape(c[1:]))
         self._control = re.compile("|".join(f"{re.escape(a)}(?={'|'.join(b)})" for a, b in rest.items()))
         closers = [(r, t.before, t.after) for r, t in template.turns.items()] + [(None, template.other[0], template.other[2])]
-        self._openers = sorted(closers, key=lambda x: -len(x[1]))
+        self._openers = closers
+        openers = [x[1] for x in closers]
+        for k, a in enumerate(openers):
+            if any(b.startswith(a) for b in openers[:k] + openers[k + 1 :]):
+                raise ValueError(f"{a!r} begins another role's opening, so it cannot be read back")
+        for c in [x[2] for x in closers] + [template.other[1]]:
+            # a text that ends in the closing's beginning would close early
+            if any(c.endswith(c[:k]) for k in range(1, len(c))):
+                raise ValueError(f"{c!r} overlaps itself, so it cannot be read back")
 
     def escape(self, text: str) -> str:
         """Doubles backslashes and puts one after a control string's first character."""

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridloom.llm.bpe import ByteBPE, bpe_round_trip
-from gridloom.llm.chat import DEFAULT, Formatter, chat_digests, format_chats
+from gridloom.llm.chat import DEFAULT, ChatTemplate, Formatter, Turn, chat_digests, format_chats
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,3 +83,13 @@ def test_bpe_tables(spark):
     assert len(got) == 4 and {r["doc_id"]: r["n_tokens"] for r in got} == {1: 0, None: 1, 2: 2}
     assert all(r["decoded_sha256"] == hashlib.sha256({1: b"", None: b"abc", 2: b"a b"}[r["doc_id"]]).hexdigest() for r in got)
     assert bpe_round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for turns in ({"user": Turn("<u>", "###")}, {"user": Turn("<u", "</u>"), "assistant": Turn("<ut", "</a>")}, {"user": Turn("<u>", "</u>"), "assistant": Turn("<u>", "</a>")}, {"user": Turn("<", "</u>")}):
+        with pytest.raises(ValueError):
+            Formatter(ChatTemplate(turns=turns))
+    for hostile in ("##", "<", "</", "</s", "\\", "\\\\<", "<\\/s>"):
+        turns = [("user", hostile), ("assistant", hostile), (hostile, hostile)]
+        fmt = Formatter(ChatTemplate(turns={"user": Turn("<u>", "##!"), "assistant": Turn("<s>", "</s>", loss=True)}))
+        assert fmt.read_back("".join(t for t, _ in fmt.segments(turns)[0])) == turns
