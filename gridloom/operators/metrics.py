@@ -67,13 +67,23 @@ def macro(df: DataFrame, pred: str, truth: str) -> DataFrame:
 def score_curve(df: DataFrame, score: str, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Counts at each distinct score, best first, with running sums; ties count together.
 
-    The running sums need an order over distinct scores: round scores before
-    if there are very many.
+    Without keys the scores are dealt into ranges, summed within each and
+    shifted by the sums of the ranges before, so that no task orders them all.
     """
     steps = df.groupBy(*keys, score).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run)})
+    if keys:
+        run = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return steps.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run)})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.agg(F.percentile_approx(score, [k / n for k in range(1, n)], 1000)).first()[0] or []))
+    part = sum(((F.col(score) < c).cast("int") for c in cuts), F.lit(0))
+    placed = steps.withColumn("_p", part)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = placed.groupBy("_p").agg(F.sum("pos").alias("_a"), F.sum("neg").alias("_b"))
+    shifts = sums.select("_p", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_fp"))
+    run = Window.partitionBy("_p").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run)}).join(F.broadcast(shifts), "_p")
+    return out.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")}).drop("_p", "_tp", "_fp")
 
 
 def ranking_metrics(df: DataFrame, score: str, truth: Column, keys: Sequence[str] = ()) -> DataFrame:

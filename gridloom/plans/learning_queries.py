@@ -181,7 +181,7 @@ def md5_shard(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", A.md5_shard(F.col("o_orderkey"), 97).alias("shard"))
 
 
-@query("split_signature", "WITH r AS (SELECT md5(doc_id || ':' || quality) AS h FROM labels), b AS (SELECT md5(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY substr(r.h, 1, 2)) SELECT md5(string_agg(h, '' ORDER BY h)) AS signature FROM b")
+@query("split_signature", "WITH r AS (SELECT md5(doc_id || ':' || quality) AS h FROM labels), l AS (SELECT substr(any_value(r.h), 1, 2) AS b, md5(string_agg(r.h, '' ORDER BY r.h)) AS h FROM r GROUP BY substr(r.h, 1, 4)), b AS (SELECT md5(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY l.b) SELECT md5(string_agg(h, '' ORDER BY h)) AS signature FROM b")
 def split_signature(spark, sf_dir):
     return A.signature(table(spark, sf_dir, "labels"), "doc_id", "quality")
 
