@@ -79,11 +79,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(rows: DataFrame, order: str, columns: list[str], ties: list[str]) -> DataFrame:
     """Adds struct ``next`` of ``columns`` of the row that follows by ``order`` (then ``ties``); the first follows the last.
 
-    Rows are dealt into quantile ranges of ``order`` and each range is one
-    window group; the first rows of a range also go, as ghosts, to the end of
-    the range before. The driver holds one number a range.
+    Rows are dealt into quantile ranges of ``order``, about one a task, and each
+    range is one window group; the first rows of a range also go, as ghosts, to
+    the end of the range before. The driver holds one number a range.
     """
-    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(order).cast("bigint"), F.lit(LOWEST))
     keyed = rows.withColumn("_key", key)
     bounds = keyed.agg(F.percentile_approx("_key", [k / n for k in range(1, n)], 10_000)).first()[0] or []
@@ -101,8 +101,9 @@ def with_next(rows: DataFrame, order: str, columns: list[str], ties: list[str])
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost"))
     ahead = F.struct(F.get(F.array(*map(F.lit, before)), F.col("_bucket")).alias("b"), F.lit(1).alias("ghost"))
     spread = keyed.withColumn("_at", F.explode(F.when(F.col("_key") == F.get(lows, F.col("_bucket")), F.array(own, ahead)).otherwise(F.array(own))))
-    w = Window.partitionBy("_at.b").orderBy("_at.ghost", "_key", *ties)
-    return spread.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("_at.ghost = 0").drop("_at", "_bucket", "_key")
+    placed = spread.withColumns({"_r": F.col("_at.b"), "_g": F.col("_at.ghost")}).drop("_at", "_bucket").repartitionByRange(n, "_r")
+    w = Window.partitionBy("_r").orderBy("_g", "_key", *ties)
+    return placed.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("_g = 0").drop("_r", "_g", "_key")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,11 +115,12 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal ids follow one another by text; a null id comes before all others.
     """
     rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    rows = rows.withColumn("canon", canonical(F.col("text")))
     h1, h2 = wide_hash(F.col("canon"))
-    rows = rows.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
-    clash = colliding(rows)
-    both = with_next(rows, "doc_id", ["text", "h1", "h2"], ["text"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    clash = colliding(rows.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", h1.alias("h1"), h2.alias("h2")))
+    # texts alone move; hashes are taken beside each other afterwards
+    both = with_next(rows, "doc_id", ["text"], ["text"]).withColumn("canon", canonical(F.col("text")))
+    both = both.select("doc_id", "text", "next", h1.alias("h1"), h2.alias("h2")).withColumn("canon", canonical(F.col("next.text")))
+    both = both.select("doc_id", "text", "next", "h1", "h2", h1.alias("n1"), h2.alias("n2")).withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
     both = both.withColumn("edited", edited)
@@ -134,5 +136,5 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         "fingerprint",
         "edited_fingerprint",
         same(F.col("e1"), F.col("e2"), F.col("text"), F.col("edited")).alias("near_edited"),
-        same(F.col("next.h1"), F.col("next.h2"), F.col("text"), F.col("next.text")).alias("near_next"),
+        same(F.col("n1"), F.col("n2"), F.col("text"), F.col("next.text")).alias("near_next"),
     )
