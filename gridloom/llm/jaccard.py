@@ -129,7 +129,9 @@ class Frequent:
 def prefix_keys(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Index keys of a set, which of them are of frequent tokens, the most sets that each of those may be in, and the number of rare tokens.
 
-    Tokens are ordered rare ones first, then by hash. Let ``least`` be the least
+    Tokens are ordered rare ones first, by hash, then frequent ones by the power
+    of two of their count and by hash, so that very common ones are seldom in a
+    prefix. Let ``least`` be the least
     overlap of linked sets. They share one of the first p = n - least + 1 tokens
     of each, and g + 1 of the first p + g. If one of the tokens that they share
     is rare, the first such is in both prefixes, and rare tokens of a prefix are
@@ -146,6 +148,8 @@ def prefix_keys(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
     p = n - least + 1
     common = counts > 0
     rare, often, counts = s[~common], s[common], counts[common]
+    rising = np.argsort(np.frexp(counts)[1], kind="stable")
+    often, counts = often[rising], counts[rising]
     first = rare[:p]
     keys, most = [first], [np.zeros(len(first), dtype=np.int64)]
     if len(rare) < p:
@@ -654,7 +658,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # as long as probes link many sets, they do so with fewer pairs than leaders would
         turn = 0
         while tested(_probes(long, labels, percent, turn)) > PROBES_LINK:
-            turn += 1
+            turn += 1  # each such round leaves fewer sets alone
         turn = 0
         while (more := _residual(long, labels, percent, turn)) is not None:
             (pairs, long), turn = more, turn + 1
