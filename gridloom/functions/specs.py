@@ -107,6 +107,43 @@ def apply_configs(df: DataFrame, configs: str | list[dict], ops: Mapping[str, Op
     return df
 
 
+#: Marks in overrides: leave a setting out, or take the input's own.
+CLEAR, FROM_INPUT = "CLEAR", "CLOBBER_WITH_INPUT_SPEC"
+
+
+def merged_spec(base: dict[str, Any], overrides: Mapping[str, Any], given: Mapping[str, Any]) -> dict[str, Any]:
+    """``base`` with ``overrides`` merged into it, nested objects key by key; CLEAR drops a key, FROM_INPUT takes that of ``given`` if it has one."""
+    out = dict(base)
+    for key, value in overrides.items():
+        if isinstance(value, Mapping):
+            inner, other = out.get(key), given.get(key)
+            out[key] = merged_spec(inner if isinstance(inner, Mapping) else {}, value, other if isinstance(other, Mapping) else {})
+        elif value == CLEAR:
+            out.pop(key, None)
+        elif value == FROM_INPUT:
+            if key in given:
+                out[key] = given[key]
+        else:
+            out[key] = value
+    return out
+
+
+def object_bounds(bounds: list[list[int | str | slice]]) -> list[tuple[slice, ...]]:
+    """Objects given by a place, an interval (``"1:3"``) or a slice for each axis, as slices."""
+
+    def one(v: int | str | slice) -> slice:
+        if isinstance(v, slice):
+            return v
+        if isinstance(v, bool) or not isinstance(v, int | str):
+            raise ValueError(f"{v!r} is no bound")
+        if isinstance(v, int):
+            return slice(v, v + 1)
+        parts = [int(p) if p.strip() else None for p in v.split(":")]
+        return slice(None, parts[0]) if len(parts) == 1 else slice(*parts)
+
+    return [tuple(map(one, o)) for o in bounds]
+
+
 def _strictly(kind: Any, text: str) -> Any:
     if kind is not bool:
         return kind(text)

@@ -1,5 +1,7 @@
 """Neighbourhood filters over lines and planes of a gapless volume.
 
+``keys`` of a filter name further columns that part the volume: channels, times, or pieces that do not touch.
+
 A line of voxels along one axis is gathered as an array (bounded by that
 axis's length); filters along an axis then need one exchange, and filters of a
 plane exchange whole lines with the few lines beside them. No voxel is copied
@@ -45,7 +47,7 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / total for x in w]
 
 
-def gaussian(df: DataFrame, sigma: dict[str, float], value: str = "v", truncate: float = 4.0) -> DataFrame:
+def gaussian(df: DataFrame, sigma: dict[str, float], value: str = "v", truncate: float = 4.0, keys: Sequence[str] = ()) -> DataFrame:
     """Separable Gaussian filter, mirrored at the border; axes that are not named stay as they are."""
     for axis, s in sigma.items():
         if s <= 0:
@@ -61,49 +63,49 @@ def gaussian(df: DataFrame, sigma: dict[str, float], value: str = "v", truncate:
 
             return F.transform(v, lambda _, i: at(i))
 
-        df = along(df, axis, smooth, value)
-    return df.select(*AXES, value)
+        df = along(df, axis, smooth, value, (*keys, *AXES))
+    return df.select(*keys, *AXES, value)
 
 
-def unsharp_mask(df: DataFrame, sigma: dict[str, float], amount: float = 1.0, rounds: int = 1, value: str = "v") -> DataFrame:
+def unsharp_mask(df: DataFrame, sigma: dict[str, float], amount: float = 1.0, rounds: int = 1, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """v + amount * (v - its Gaussian), ``rounds`` times."""
     for _ in range(rounds):
-        smooth = gaussian(df.select(*AXES, value), sigma, value).withColumnRenamed(value, "_s")
-        df = df.join(smooth, list(AXES)).withColumn(value, F.col(value) + amount * (F.col(value) - F.col("_s"))).drop("_s")
+        smooth = gaussian(df.select(*keys, *AXES, value), sigma, value, keys=keys).withColumnRenamed(value, "_s")
+        df = df.join(smooth, [*keys, *AXES]).withColumn(value, F.col(value) + amount * (F.col(value) - F.col("_s"))).drop("_s")
     return df
 
 
-def _reach(axis: str, r: int) -> Window:
-    return Window.partitionBy(*[a for a in AXES if a != axis]).orderBy(axis).rangeBetween(-r, r)
+def _reach(axis: str, r: int, keys: Sequence[str] = ()) -> Window:
+    return Window.partitionBy(*keys, *[a for a in AXES if a != axis]).orderBy(axis).rangeBetween(-r, r)
 
 
-def box(df: DataFrame, radius: dict[str, int], how: str, value: str = "v") -> DataFrame:
+def box(df: DataFrame, radius: dict[str, int], how: str, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """max, min, mean, sum or std (population) of each voxel's box, clipped at the border: running windows, one axis after the other."""
     if how in ("max", "min"):
         for axis, r in radius.items():
-            df = df.withColumn(value, (F.max if how == "max" else F.min)(value).over(_reach(axis, r)))
-        return df.select(*AXES, value)
-    out = df.select(*AXES, F.col(value).cast("double").alias("_1"), (F.col(value).cast("double") * F.col(value)).alias("_2"), F.lit(1).cast("bigint").alias("_n"))
+            df = df.withColumn(value, (F.max if how == "max" else F.min)(value).over(_reach(axis, r, keys)))
+        return df.select(*keys, *AXES, value)
+    out = df.select(*keys, *AXES, F.col(value).cast("double").alias("_1"), (F.col(value).cast("double") * F.col(value)).alias("_2"), F.lit(1).cast("bigint").alias("_n"))
     for axis, r in radius.items():
-        w = _reach(axis, r)
-        out = out.select(*AXES, *[F.sum(c).over(w).alias(c) for c in ("_1", "_2", "_n")])
+        w = _reach(axis, r, keys)
+        out = out.select(*keys, *AXES, *[F.sum(c).over(w).alias(c) for c in ("_1", "_2", "_n")])
     mean = F.col("_1") / F.col("_n")
     result = {"sum": F.col("_1"), "mean": mean, "std": F.sqrt(F.greatest(F.col("_2") / F.col("_n") - mean * mean, F.lit(0.0)))}[how]
-    return out.select(*AXES, result.alias(value))
+    return out.select(*keys, *AXES, result.alias(value))
 
 
-def plane(df: DataFrame, reach: dict[int, int], body: Callable[[Column, Column], Column], value: str = "v") -> DataFrame:
+def plane(df: DataFrame, reach: dict[int, int], body: Callable[[Column, Column], Column], value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """``body(values within reach, own value)`` of each voxel in its plane of x and y.
 
     ``reach`` gives, for each distance along y, how far the shape goes along x;
     it is clipped at the border. Each line goes once to every line that it is
     in reach of.
     """
-    lines = df.groupBy("y", "z").agg(F.sort_array(F.collect_list(F.struct("x", value))).alias("_l"))
-    lines = lines.select("y", "z", F.get("_l", F.lit(0))["x"].alias("_0"), F.transform("_l", lambda s: s[value]).alias("_v"))
+    lines = df.groupBy(*keys, "y", "z").agg(F.sort_array(F.collect_list(F.struct("x", value))).alias("_l"))
+    lines = lines.select(*keys, "y", "z", F.get("_l", F.lit(0))["x"].alias("_0"), F.transform("_l", lambda s: s[value]).alias("_v"))
     pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(r).alias("r")) for d, r in sorted(reach.items())])
-    sent = lines.withColumn("_p", F.explode(pairs)).select((F.col("y") + F.col("_p.d")).alias("y"), "z", F.struct(F.col("_0").alias("x"), F.col("_p.r").alias("r"), F.col("_p.d").alias("d"), F.col("_v").alias("v")).alias("_s"))
-    stacks = sent.groupBy("y", "z").agg(F.collect_list("_s").alias("_s"), F.max(F.when(F.col("_s.d") == 0, F.struct("_s.x", "_s.v"))).alias("_own")).where("_own IS NOT NULL")
+    sent = lines.withColumn("_p", F.explode(pairs)).select(*keys, (F.col("y") + F.col("_p.d")).alias("y"), "z", F.struct(F.col("_0").alias("x"), F.col("_p.r").alias("r"), F.col("_p.d").alias("d"), F.col("_v").alias("v")).alias("_s"))
+    stacks = sent.groupBy(*keys, "y", "z").agg(F.collect_list("_s").alias("_s"), F.max(F.when(F.col("_s.d") == 0, F.struct("_s.x", "_s.v"))).alias("_own")).where("_own IS NOT NULL")
 
     def near(x: Column) -> Column:
         def cut(s: Column) -> Column:
@@ -114,11 +116,11 @@ def plane(df: DataFrame, reach: dict[int, int], body: Callable[[Column, Column],
         return F.flatten(F.transform("_s", cut))
 
     done = F.transform("_own.v", lambda v, i: body(near(F.col("_own.x") + i), v))
-    out = stacks.select("y", "z", F.col("_own.x").alias("_0"), F.posexplode(done).alias("_i", value))
-    return out.select((F.col("_0") + F.col("_i")).alias("x"), "y", "z", value)
+    out = stacks.select(*keys, "y", "z", F.col("_own.x").alias("_0"), F.posexplode(done).alias("_i", value))
+    return out.select(*keys, (F.col("_0") + F.col("_i")).alias("x"), "y", "z", value)
 
 
-def percentile(df: DataFrame, rx: int, ry: int, q: float, value: str = "v") -> DataFrame:
+def percentile(df: DataFrame, rx: int, ry: int, q: float, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """The ``q`` quantile (linear between ranks) of each voxel's box in the plane; 0.5 is the median."""
 
     def body(values: Column, _: Column) -> Column:
@@ -129,7 +131,7 @@ def percentile(df: DataFrame, rx: int, ry: int, q: float, value: str = "v") -> D
 
         return _let(F.sort_array(values), pick)
 
-    return plane(df, dict.fromkeys(range(-ry, ry + 1), rx), body, value)
+    return plane(df, dict.fromkeys(range(-ry, ry + 1), rx), body, value, keys)
 
 
 def disk(radius: int) -> dict[int, int]:
@@ -137,9 +139,9 @@ def disk(radius: int) -> dict[int, int]:
     return {d: math.isqrt(radius * radius - d * d) for d in range(-radius, radius + 1)}
 
 
-def local_rank(df: DataFrame, radius: int, value: str = "v") -> DataFrame:
+def local_rank(df: DataFrame, radius: int, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """Local contrast by rank: 255 times the share of a disk's voxels that are at most the voxel itself."""
-    return plane(df, disk(radius), lambda values, v: 255.0 * F.size(F.filter(values, lambda o: o <= v)) / F.size(values), value)
+    return plane(df, disk(radius), lambda values, v: 255.0 * F.size(F.filter(values, lambda o: o <= v)) / F.size(values), value, keys)
 
 
 def peaks(df: DataFrame, distance: int, least: float, border: int = 0, shape: Sequence[int] | None = None, value: str = "v") -> DataFrame:

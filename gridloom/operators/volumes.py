@@ -35,18 +35,18 @@ def zscore(df: DataFrame, dim: str | None, value: str = "v", axes: Sequence[str]
     return df.withColumn(value, (F.col(value) - F.avg(value).over(w)) / F.stddev_pop(value).over(w))
 
 
-def downsample(df: DataFrame, factors: dict[str, int], how: str, value: str = "v") -> DataFrame:
+def downsample(df: DataFrame, factors: dict[str, int], how: str, value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """Reduces blocks: mean, min, max, median, mode (least of equals) or stride (the first voxel)."""
     if how == "stride":
         kept = reduce(lambda a, b: a & b, [F.col(a) % f == 0 for a, f in factors.items()])
-        return df.where(kept).select(*[F.floor(F.col(a) / factors[a]).alias(a) if a in factors else F.col(a) for a in AXES], value)
-    keys = [F.floor(F.col(a) / factors.get(a, 1)).alias(a) for a in AXES]
-    coarse = df.select(*keys, value)
+        return df.where(kept).select(*keys, *[F.floor(F.col(a) / factors[a]).alias(a) if a in factors else F.col(a) for a in AXES], value)
+    blocks = [F.floor(F.col(a) / factors.get(a, 1)).alias(a) for a in AXES]
+    coarse = df.select(*keys, *blocks, value)
     if how == "mode":
-        counts = coarse.groupBy(*AXES, value).agg(F.count("*").alias("_n"))
-        return counts.groupBy(*AXES).agg(F.max(F.struct("_n", (-F.col(value)).alias("_neg"))).alias("_b")).select(*AXES, (-F.col("_b._neg")).alias(value))
+        counts = coarse.groupBy(*keys, *AXES, value).agg(F.count("*").alias("_n"))
+        return counts.groupBy(*keys, *AXES).agg(F.max(F.struct("_n", (-F.col(value)).alias("_neg"))).alias("_b")).select(*keys, *AXES, (-F.col("_b._neg")).alias(value))
     fn = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}[how]
-    return coarse.groupBy(*AXES).agg(fn(value).alias(value))
+    return coarse.groupBy(*keys, *AXES).agg(fn(value).alias(value))
 
 
 def downsample_area(df: DataFrame, start: Sequence[int], scale: Sequence[int], masked: Column | None = None, value: str = "v") -> DataFrame:
