@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import materialized
+
 XYZ = ("x", "y", "z")
 
 
@@ -24,10 +26,59 @@ def pair_distances(df: DataFrame, cloud: str = "cloud") -> DataFrame:
     return a.join(b, cloud).select(cloud, "i", "j", d2.alias("d2"))
 
 
+def _cells(size: Column, suffix: str = "") -> list[Column]:
+    return [F.floor(F.col(f"{c}{suffix}") / size).cast("bigint").alias(f"c{c}") for c in XYZ]
+
+
+def _spread_cells(df: DataFrame) -> DataFrame:
+    """Every row in its cell (cx, cy, cz) and the 26 around it."""
+    for c in XYZ:
+        df = df.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + d for d in (-1, 0, 1)])))
+    return df
+
+
 def knn(df: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
-    """The k nearest points of each (itself among them), ties by index: cloud, i, rank, j, d2. The aggregate keeps k pairs a point."""
-    w = Window.partitionBy(cloud, "i").orderBy("d2", "j")
-    return pair_distances(df, cloud).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(cloud, "i", F.col("rank").cast("int").alias("rank"), "j", "d2")
+    """The k nearest points of each (itself among them), ties by index: cloud, i, rank, j, d2.
+
+    Points at one place count as one place with its k least indices, so copies
+    make no pairs. Places look for others in their cell and those around it;
+    those whose k-th neighbour is nearer than a cell is wide are settled, the
+    others look again in cells twice as wide. Cells begin at a size that holds
+    k places on average, so the rounds grow with the logarithm of the number
+    of points, and only sparse places take part in late ones. Points with a
+    null or NaN coordinate or a null cloud are left out.
+    """
+    usable = F.lit(True)
+    for c in XYZ:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    points = df.where(usable & F.col(cloud).isNotNull()).select(F.col(cloud).alias("_c"), "idx", *[(F.col(c).cast("double") + 0.0).alias(c) for c in XYZ])
+    place = ["_c", *XYZ]
+    first = points.withColumn("_r", F.row_number().over(Window.partitionBy(*place).orderBy("idx"))).where(F.col("_r") <= k)
+    places = materialized(first.groupBy(*place).agg(F.array_sort(F.collect_list("idx")).alias("ids")), "places")
+    wide = F.greatest(*[F.max(c) - F.min(c) for c in XYZ])
+    clouds = places.groupBy("_c").agg(wide.alias("_w"), F.count("*").alias("_n"))
+    size = F.when(F.col("_w") > 0, F.col("_w") / F.greatest(F.cbrt(F.col("_n") / k), F.lit(1.0)) * 1.0001).otherwise(1.0)
+    clouds = materialized(clouds.select("_c", size.alias("_size"), "_w"), "clouds")
+    waiting, found, factor = places.select(*place), None, 1.0
+    while not waiting.isEmpty():
+        sized = places.join(clouds, "_c")
+        s = F.col("_size") * factor
+        near = sized.select("_c", F.col("ids"), *[F.col(c).alias(f"b{c}") for c in XYZ], *_cells(s))
+        asking = _spread_cells(waiting.join(clouds, "_c").select(*place, s.alias("_s"), (F.col("_w") < s).alias("_all"), *_cells(s)))
+        met = asking.join(near, ["_c", "cx", "cy", "cz"]).withColumn("d2", squared_distance([F.col(c) for c in XYZ], [F.col(f"b{c}") for c in XYZ]))
+        w = Window.partitionBy(*place)
+        best = met.withColumn("_r", F.row_number().over(w.orderBy("d2", F.get("ids", F.lit(0))))).where(F.col("_r") <= k)
+        each = best.select(*place, "_s", "_all", "d2", F.explode("ids").alias("j")).withColumn("rank", F.row_number().over(w.orderBy("d2", "j"))).where(F.col("rank") <= k)
+        lists = each.groupBy(*place, "_s", "_all").agg(F.sort_array(F.collect_list(F.struct("rank", "j", "d2"))).alias("near"))
+        done = F.col("_all") | ((F.size("near") == k) & (F.get("near", F.lit(k - 1))["d2"] < F.col("_s") * F.col("_s")))
+        lists = materialized(lists.select(*place, "near", done.alias("done")), "near")
+        settled = lists.where("done").select(*place, "near")
+        found = settled if found is None else found.unionByName(settled)
+        waiting, factor = lists.where("NOT done").select(*place), factor * 2
+    if found is None:
+        found = places.select(*place, F.expr("cast(null as array<struct<rank:int,j:bigint,d2:double>>)").alias("near"))
+    out = points.join(found, place).select(F.col("_c").alias(cloud), F.col("idx").alias("i"), F.explode("near").alias("_n"))
+    return out.select(cloud, "i", F.col("_n.rank").cast("int").alias("rank"), F.col("_n.j").alias("j"), F.col("_n.d2").alias("d2"))
 
 
 def ball_query(df: DataFrame, radius: float, most: int, cloud: str = "cloud") -> DataFrame:
@@ -77,14 +128,6 @@ def moments(df: DataFrame, n: int = 4, cloud: str = "cloud") -> DataFrame:
     return centred.groupBy(cloud).agg(*aggs)
 
 
-def neighbour_statistics(df: DataFrame, cloud: str = "cloud") -> DataFrame:
-    """Distance of the centroid from the origin, and mean and deviation of nearest and farthest distances."""
-    d = pair_distances(df, cloud).where("i <> j").groupBy(cloud, "i").agg(F.sqrt(F.min("d2")).alias("near"), F.sqrt(F.max("d2")).alias("far"))
-    stats = d.groupBy(cloud).agg(F.avg("near").alias("near_mean"), F.stddev_pop("near").alias("near_std"), F.avg("far").alias("far_mean"), F.stddev_pop("far").alias("far_std"))
-    origin = df.groupBy(cloud).agg(F.sqrt(F.avg("x") * F.avg("x") + F.avg("y") * F.avg("y") + F.avg("z") * F.avg("z")).alias("origin"))
-    return origin.join(stats, cloud)
-
-
 def _by_cloud(df: DataFrame, fn, schema: str, cloud: str) -> DataFrame:
     return df.groupBy(cloud).applyInPandas(fn, schema)
 

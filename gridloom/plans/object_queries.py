@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import graphs as G
 from gridloom.operators import points as P
+from gridloom.operators import proximity as N
 from gridloom.operators import segmentation as S
 from gridloom.plans.catalog import query
 from gridloom.plans.views import CLOUD, VOX, cloud, extent, table, vox
@@ -250,7 +251,7 @@ def moment_embedding(spark, sf_dir):
 o AS (SELECT cloud, round(sqrt(pow(avg(x), 2) + pow(avg(y), 2) + pow(avg(z), 2)), 6) AS origin FROM cloud GROUP BY cloud)
 SELECT cloud, any_value(origin) AS origin, round(avg(n), 6) AS near_mean, round(stddev_pop(n), 6) AS near_std, round(avg(f), 6) AS far_mean, round(stddev_pop(f), 6) AS far_std FROM d JOIN o USING (cloud) GROUP BY cloud""")
 def near_far_statistics(spark, sf_dir):
-    return _rounded(P.neighbour_statistics(cloud(spark, sf_dir)), "origin", "near_mean", "near_std", "far_mean", "far_std")
+    return _rounded(N.neighbour_statistics(cloud(spark, sf_dir)), "origin", "near_mean", "near_std", "far_mean", "far_std")
 
 
 for _how, _sql in (("max", "max(v)"), ("mean", "avg(v)"), ("lp", "pow(avg(pow(abs(v), 3.0)), 1 / 3.0)")):

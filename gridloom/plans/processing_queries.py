@@ -98,7 +98,17 @@ def closest_segment_points(spark, sf_dir):
     return P.closest_pairs(_segments(spark, sf_dir), 0.1).withColumn("d2", F.round("d2", 9))
 
 
-query("segment_graph")(lambda s, d: P.segment_graph(_segments(s, d), 0.1))
+@query("segment_graph", """WITH RECURSIVE p AS (SELECT vec_id % 40 AS segment, vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+d AS (SELECT a.segment AS a, b.segment AS b, a.idx AS ia, b.idx AS ib, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2 FROM p a JOIN p b ON a.segment < b.segment),
+e AS (SELECT *, row_number() OVER (ORDER BY d2, ia, ib) AS k FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d2, ia, ib) AS r FROM d) WHERE r = 1),
+both_ways AS (SELECT a, b, k FROM e UNION ALL SELECT b, a, k FROM e),
+grown AS (SELECT 1 AS n, [0] AS inside, CAST(NULL AS BIGINT) AS k UNION ALL
+  SELECT n + 1, list_append(inside, arg_min(b, c)), min(c) FROM (SELECT g.n, g.inside, w.b, w.k AS c FROM grown g, both_ways w WHERE list_contains(g.inside, w.a) AND NOT list_contains(g.inside, w.b)) GROUP BY n, inside)
+SELECT e.a, e.b, round(e.d2, 9) AS d2, e.ia, e.ib FROM grown JOIN e ON e.k = grown.k""")
+def segment_graph(spark, sf_dir):
+    return P.segment_graph(_segments(spark, sf_dir), 0.1).withColumn("d2", F.round("d2", 9))
+
+
 query("internal_objects")(lambda s, d: G.internal_objects(G.biconnected(_regions(s, d))))
 
 
