@@ -24,6 +24,8 @@ PAIRS_A_LIST = 1 << 14
 PROBES_LINK = 100
 #: Tokens that a task counts before it sends them, and tokens that it counts at once.
 BUFFER = 1 << 21
+#: Leaders of a block that meets a block of twice as many members in one task.
+BLOCK = 1 << 10
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -449,24 +451,36 @@ class _Verifier:
     def __init__(self, rows: DataFrame, reps: DataFrame, k: int, seed: int, percent: int):
         self.rows, self.reps, self.k, self.seed, self.percent = rows, reps, k, seed, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        k, seed, percent = self.k, self.seed, self.percent
-        nodes = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """node, text of the sets named in column ``d1`` of ``nodes``."""
         wanted = written(nodes.join(self.reps, "d1").select(F.col("rep").alias("doc_id"), F.col("d1").alias("node")), "wanted")
         few = wanted.count() <= BROADCAST_ROWS
         # whole texts move, not sets of hashes, which do not compress
-        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
+        return self.rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
+
+    def bitmaps(self, nodes: DataFrame) -> DataFrame:
+        """node, small (size and bitmap) of the sets named in column ``d1``."""
+        k, seed = self.k, self.seed
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles = Shingles(k, seed)
             for batch in batches:
+                named = batch.column("node").to_pylist()
                 for lo, block in blocks(batch.column("text")):
                     sets = shingles.sets(block)
-                    small = [len(s).to_bytes(8, "little") + bitmap(s) for s in sets]
-                    yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, len(block)), "small": pa.array(small, pa.binary())})
+                    # rows that repeat an id may have another text than the set's
+                    right = [i for i, s in enumerate(sets) if _digest(s, seed)[0] == named[lo + i]]
+                    small = [len(sets[i]).to_bytes(8, "little") + bitmap(sets[i]) for i in right]
+                    yield pa.RecordBatch.from_pydict({"node": pa.array([named[lo + i] for i in right], pa.int64()), "small": pa.array(small, pa.binary())})
 
-        small = written(texts.mapInArrow(build, "node bigint, small binary"), "bitmaps", TEXTS_A_BATCH)
+        return written(self._texts(nodes).mapInArrow(build, "node bigint, small binary"), "bitmaps", TEXTS_A_BATCH)
+
+    def links(self, pairs: DataFrame, small: DataFrame | None = None, tested: bool = False) -> DataFrame:
+        """The pairs (a, b) that link. ``small``: bitmaps of the sets if there are any yet; ``tested``: the pairs have passed them."""
+        k, seed, percent = self.k, self.seed, self.percent
+        nodes = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
+        if small is None and not tested:
+            small = self.bitmaps(nodes)
 
         def checked(pairs: DataFrame, sides: DataFrame, column: str, test) -> DataFrame:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,12 +527,15 @@ class _Verifier:
 
             return judge
 
-        return checked(checked(pairs, small, "small", may_link), texts, "text", do_link)
+        if not tested:
+            pairs = checked(pairs, small, "small", may_link)
+            nodes = pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct()
+        return checked(pairs, self._texts(nodes), "text", do_link)
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit for each token, by its hash; four bits of room a token or more, a power of two."""
-    bits = 1 << max(6, (4 * max(len(s), 1) - 1).bit_length())
+    """One bit for each token, by its hash; four bits of room a token or more, a power of two, 4 kB at most."""
+    bits = 1 << min(15, max(6, (4 * max(len(s), 1) - 1).bit_length()))
     out = np.zeros(bits, dtype=bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out).tobytes()
@@ -534,6 +551,82 @@ def most_shared(m: int, n: int, x: bytes, y: bytes) -> int:
     return min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
 
 
+def _stacked(small: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, sizes and bitmaps (as words) by the number of words of a bitmap."""
+    words = np.array([(len(x) - 8) // 8 for x in small])
+    return {int(w): (at, np.array([int.from_bytes(small[i][:8], "little") for i in at]), np.frombuffer(b"".join(small[i][8:] for i in at), np.uint64).reshape(len(at), w)) for w in np.unique(words) for at in [np.flatnonzero(words == w)]}
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def possible(first: list[bytes], second: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two lists of sized bitmaps that may link, by :func:`most_shared`."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    right = _stacked(second)
+    for v, (at, n, bits) in _stacked(first).items():
+        for w, (to, m, other) in right.items():
+            mine, theirs = _folded(bits, min(v, w)), _folded(other, min(v, w))
+            for i in range(len(at)):
+                fits = np.flatnonzero(100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m))
+                if not len(fits):
+                    continue
+                t = theirs[fits]
+                most = np.minimum(n[i] - np.bitwise_count(mine[i] & ~t).sum(axis=1, dtype=np.int64), m[fits] - np.bitwise_count(t & ~mine[i]).sum(axis=1, dtype=np.int64))
+                ok = fits[100 * most >= percent * (n[i] + m[fits] - most)]
+                a.append(np.full(len(ok), at[i]))
+                b.append(to[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def met_in_blocks(leaders: DataFrame, members: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of ``leaders`` (group, node) and ``members`` (group, node) of a group that may link by their bitmaps.
+
+    Both are dealt into blocks of some thousands; a block of leaders meets a
+    block of members in one task, as arrays, and only pairs that pass become
+    rows. A row is sent once for each block that it meets.
+    """
+    n_leaders = leaders.groupBy("group").agg(F.count("*").alias("leaders"))
+    n_members = members.groupBy("group").agg(F.count("*").alias("members"))
+    sizes = n_leaders.join(n_members, "group").select("group", F.ceil(F.col("leaders") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("members") / (2 * BLOCK)).cast("int").alias("nm"))
+    sizes = written(sizes, "blocks")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lead = leaders.join(sizes, "group").select("group", own(F.col("nl")).alias("l"), every(F.col("nm")).alias("m"), F.lit(0).alias("side"), "node")
+    rest = members.join(sizes, "group").select("group", every(F.col("nl")).alias("l"), own(F.col("nm")).alias("m"), F.lit(1).alias("side"), "node")
+    rows = lead.unionByName(rest).join(small, "node").select("group", "l", "m", "side", "node", "small")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "group", "l", "m").sortWithinPartitions("group", "l", "m", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, ([], [], [], [])  # of leaders, then of members: nodes and bitmaps
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[2]:
+                x, y = possible(held[1], held[3], percent)
+                p, q = np.array(held[0], np.int64)[x], np.array(held[2], np.int64)[y]
+                fine = p != q
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q)[fine], "b": np.maximum(p, q)[fine]})
+
+        for batch in batches:
+            for g, left, m, side, node, bits in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "m", "side", "node", "small")), strict=True):
+                if (g, left, m) != block:
+                    yield from flush()
+                    block, held = (g, left, m), ([], [], [], [])
+                elif side and len(held[2]) >= 4 * BLOCK:  # hashes deal unevenly, and a block may be larger than meant
+                    yield from flush()
+                    held = (held[0], held[1], [], [])
+                held[2 * side].append(node)
+                held[2 * side + 1].append(bits)
+        yield from flush()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after further ``links`` (a, b): only the labels at their ends are joined anew."""
     at = lambda name, label: labels.select(F.col("node").alias(name), F.col("label").alias(label))
@@ -572,7 +665,7 @@ def _probes(long: DataFrame, labels: DataFrame, percent: int, turn: int, pivots:
     return written(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "probes")
 
 
-def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
+def _residual(long: DataFrame, labels: DataFrame, small: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame] | None:
     """Of long lists that still hold several groups: pairs of leaders with members of other groups, and the lists without those leaders.
 
     Members outside a list's largest group lead, LEADERS of a list in the first
@@ -588,20 +681,23 @@ def _residual(long: DataFrame, labels: DataFrame, percent: int, turn: int) -> tu
     share = F.ceil(F.col("others") / F.greatest(F.lit(LEADERS << 2 * min(turn, 12)), F.lit(PAIRS_A_LIST) / F.col("m")))
     met = named.join(open_, "key").withColumn("leads", (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0))
     met = written(met.select("key", "node", "meta", "label", "leads"), "met")
-    lead = met.where("leads").select("key", F.col("node").alias("leader"), F.col("meta").alias("leader_meta"), F.col("label").alias("leader_label"))
+    lead = met.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
     reached = written(lead.join(groups, "key").where("label <> leader_label"), "reached")
     # a leader that would meet a group more often on its lists than the group has members meets each of them once instead
-    nodes = written(met.groupBy("node", "label").agg(F.min(F.col("meta").bitwiseAND(SIZE)).alias("n")), "nodes")
+    nodes = written(met.select("node", "label").distinct(), "nodes")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
-    ways = reached.groupBy("leader", "label").agg(F.sum("members").alias("rows"), F.min(F.col("leader_meta").bitwiseAND(SIZE)).alias("leader_n"))
+    ways = reached.groupBy("leader", "label").agg(F.sum("members").alias("rows"))
     ways = written(ways.join(sizes, "label").withColumn("whole", F.col("rows") > F.col("size")), "ways")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    whole = ways.where("whole").select("leader", "leader_n", F.col("label").alias("with"))
-    once = whole.join(nodes, (whole["with"] == nodes["label"]) & near(F.col("n"), F.col("leader_n")))
-    few = reached.join(ways.where("NOT whole").select("leader", "label"), ["leader", "label"], "left_semi").select("key", "leader", "leader_meta", F.col("label").alias("with"))
-    listed = met.join(few, (met["key"] == few["key"]) & (met["label"] == few["with"]) & _fits("meta", "leader_meta", percent))
-    both = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
-    return written(once.select(*both).unionByName(listed.select(*both)).distinct(), "pairs"), met.where("NOT leads").select("key", "node", "meta")
+    whole = ways.where("whole").select(F.struct(F.lit(0).cast("bigint").alias("key"), F.col("label").alias("with")).alias("group"), F.col("leader").alias("node"))
+    few = reached.join(ways.where("NOT whole").select("leader", "label"), ["leader", "label"], "left_semi").select("key", "leader", F.col("label").alias("with"))
+    few = few.select(F.struct("key", "with").alias("group"), F.col("leader").alias("node"))
+    all_ = nodes.select(F.struct(F.lit(0).cast("bigint").alias("key"), F.col("label").alias("with")).alias("group"), "node")
+    listed = met.select(F.struct("key", F.col("label").alias("with")).alias("group"), "node")
+    leaders = [written(x.withColumn("group", F.xxhash64("group", F.lit(k))), "leaders") for k, x in enumerate((whole, few))]
+    members = [x.withColumn("group", F.xxhash64("group", F.lit(k))) for k, x in enumerate((all_, listed))]
+    members = [x.join(y.select("group").distinct(), "group", "left_semi") for x, y in zip(members, leaders, strict=True)]
+    pairs = met_in_blocks(leaders[0].unionByName(leaders[1]), written(members[0].unionByName(members[1]), "members"), small, percent)
+    return written(pairs.distinct(), "pairs"), met.where("NOT leads").select("key", "node", "meta")
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, frequent_from: int = 8, short: int = 16) -> DataFrame:
@@ -636,20 +732,22 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(_candidates(_postings(rows, frequent, k, seed, percent), percent, short), "candidates", TEXTS_A_BATCH)
     verifier = _Verifier(rows, reps, k, seed, percent)
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = verifier.links(pairs)
-    labels = components(spark, links)
     long = written(found.where("kind = 1").groupBy(F.col("a").alias("key"), F.col("b").alias("node")).agg(F.min("meta").alias("meta")), "lists")
+    ends = [pairs.select(F.col(c).alias("d1")) for c in ("a", "b")]
+    small = verifier.bitmaps(ends[0].unionByName(ends[1]).unionByName(long.select(F.col("node").alias("d1"))).distinct())
+    links = verifier.links(pairs, small)
+    labels = components(spark, links)
     if not long.isEmpty():
         settled = pairs
 
-        def tested(pairs: DataFrame) -> int:
-            """Verifies the pairs that are not settled yet; returns how many of them link."""
+        def tested(pairs: DataFrame, passed: bool = False) -> int:
+            """Verifies the pairs that are not settled yet; returns how many of them link. ``passed``: their bitmaps let them."""
             nonlocal settled, labels
             fresh = written(pairs.join(settled, ["a", "b"], "left_anti"), "fresh")
             settled = written(settled.unionByName(fresh), "settled")
             if fresh.isEmpty():
                 return 0
-            new = verifier.links(fresh)
+            new = verifier.links(fresh, small, passed)
             found = new.count()
             if found:
                 labels = merged(spark, labels, new)
@@ -660,9 +758,9 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         while tested(_probes(long, labels, percent, turn)) > PROBES_LINK:
             turn += 1  # each such round leaves fewer sets alone
         turn = 0
-        while (more := _residual(long, labels, percent, turn)) is not None:
+        while (more := _residual(long, labels, small, percent, turn)) is not None:
             (pairs, long), turn = more, turn + 1
-            tested(pairs)
+            tested(pairs, True)
 
     named = reps.join(labels, reps["d1"] == labels["node"], "left").select("d1", "rep", "copies", F.coalesce("label", "d1").alias("label"))
     named = written(named, "named")
