@@ -43,8 +43,8 @@ def knn(df: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
     Points at one place count as one place with its k least indices, so copies
     make no pairs. Places look for others in their cell and those around it;
     those whose k-th neighbour is nearer than a cell is wide are settled, the
-    others look again in cells twice as wide. Cells begin at a size that holds
-    k places on average, so the rounds grow with the logarithm of the number
+    others look again in cells four times as wide. Cells begin at a size that
+    holds a few times k places on average, so the rounds grow with the logarithm of the number
     of points, and only sparse places take part in late ones. Points with a
     null or NaN coordinate or a null cloud are left out.
     """
@@ -57,8 +57,8 @@ def knn(df: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
     places = materialized(first.groupBy(*place).agg(F.array_sort(F.collect_list("idx")).alias("ids")), "places")
     wide = F.greatest(*[F.max(c) - F.min(c) for c in XYZ])
     clouds = places.groupBy("_c").agg(wide.alias("_w"), F.count("*").alias("_n"))
-    size = F.when(F.col("_w") > 0, F.col("_w") / F.greatest(F.cbrt(F.col("_n") / k), F.lit(1.0)) * 1.0001).otherwise(1.0)
-    clouds = materialized(clouds.select("_c", size.alias("_size"), "_w"), "clouds")
+    size = F.when(F.col("_w") > 0, F.col("_w") / F.greatest(F.cbrt(F.col("_n") / (4 * k)), F.lit(1.0)) * 1.0001).otherwise(1.0)
+    clouds = clouds.select("_c", size.alias("_size"), "_w")
     waiting, found, factor = places.select(*place), None, 1.0
     while not waiting.isEmpty():
         sized = places.join(clouds, "_c")
@@ -74,7 +74,7 @@ def knn(df: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
         lists = materialized(lists.select(*place, "near", done.alias("done")), "near")
         settled = lists.where("done").select(*place, "near")
         found = settled if found is None else found.unionByName(settled)
-        waiting, factor = lists.where("NOT done").select(*place), factor * 2
+        waiting, factor = lists.where("NOT done").select(*place), factor * 4
     if found is None:
         found = places.select(*place, F.expr("cast(null as array<struct<rank:int,j:bigint,d2:double>>)").alias("near"))
     out = points.join(found, place).select(F.col("_c").alias(cloud), F.col("idx").alias("i"), F.explode("near").alias("_n"))
