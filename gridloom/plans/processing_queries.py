@@ -14,10 +14,8 @@ from gridloom.operators import scalar as C
 from gridloom.operators import segmentation as S
 from gridloom.operators import subvolumes as U
 from gridloom.operators import timeseries as T
-from gridloom.operators import trees as G
 from gridloom.operators import volumes as V
 from gridloom.plans.catalog import query
-from gridloom.plans.structure_queries import _regions
 from gridloom.plans.views import BOXES, SERIES, VOX, boxes, extent, series, table, vox
 from gridloom.sources import volumes as store
 from gridloom.sources.shared import shared_path
@@ -109,7 +107,6 @@ def segment_graph(spark, sf_dir):
     return P.segment_graph(_segments(spark, sf_dir), 0.1).withColumn("d2", F.round("d2", 9))
 
 
-query("internal_objects")(lambda s, d: G.internal_objects(G.biconnected(_regions(s, d))))
 
 
 @query("filtered_mask", f"""WITH RECURSIVE {VOX}, m AS (SELECT id, x, y, z FROM vox WHERE v > 90), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 AND b.id BETWEEN a.id - 400 AND a.id + 400),

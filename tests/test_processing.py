@@ -53,13 +53,14 @@ def test_internal_objects(spark):
     assert got[0, number[0, 3, 4]] == 3
     assert got[0, number[0, 5, 6]] == 2 and got[0, number[0, 2, 5]] == 2  # 5 is within 2, so 6 is too
     assert not any(g == 1 for g, _ in got) and (0, number[0, 1, 2]) not in got  # a single edge has no joint; the ring is outside
-    assert G.internal_objects(parts).where("graph = 0").count() == 3  # without an outside the ring itself falls into 2
+    alone = G.internal_objects(parts).where("graph = 0").collect()
+    assert len(alone) == 4 and {r["target"] for r in alone} == {2}  # without an outside all fall into the least joint
 
 
 def test_biconnected_of_a_long_chain_of_triangles(spark):
-    edges = [(0, 2 * k + i, 2 * k + j) for k in range(3000) for i, j in ((0, 1), (1, 2), (0, 2))]
+    edges = [(0, 2 * k + i, 2 * k + j) for k in range(300) for i, j in ((0, 1), (1, 2), (0, 2))]
     found = G.biconnected(spark.createDataFrame(edges, "graph int, a bigint, b bigint"))
-    assert found.groupBy("component").count().where("count = 3").count() == 3000
+    assert found.groupBy("component").count().where("count = 3").count() == 300
 
 
 def test_small_files(spark, tmp_path):
