@@ -132,10 +132,14 @@ def corpus_examples(rows: DataFrame, most: int) -> list[tuple[str, str, str, str
     """(kind, before, value, after) of base spans, and of numbers that are surely none (kind ""), in at most ``most`` texts of ``rows``.
 
     The texts are those of the least hashes among all that hold a digit or an
-    at sign, so the sample does not depend on how rows are dealt. At most four
-    spans and four numbers of a text, and 10 * ``most`` rows, reach the driver.
+    at sign, so the sample does not depend on how rows are dealt or how often
+    a text is there. Hashes alone are shuffled to find the largest of them;
+    then each task sends one text a hash up to that one. At most four spans
+    and four numbers of a text, and 10 * ``most`` rows, reach the driver.
     """
-    some = rows.where(F.col("text").rlike("[0-9@]")).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(most)
+    held = rows.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    last = held.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    some = held.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text"))
     found = base_spans(F.col("text"))
     named = lambda c, kind: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     base = F.concat(*[named(found[k], k) for k in KINDS])

@@ -213,3 +213,14 @@ def test_trigram_queries():
 
 def trigrams_hold(query, text):
     return all(any(all(t in text for t in branch) for branch in group) for group in query)
+
+
+def test_corpus_sample_moves_no_texts_but_its_own(spark):
+    from gridloom.llm.pii import corpus_examples
+
+    rows = [(f"call 555{i:04d} at {i}.{i % 256}.3.4 or mail a{i}@b.org",) for i in range(400)] + [("mail x@y.org now",)] * 500 + [("none",)] * 9
+    df = spark.createDataFrame(rows, "text string").repartition(7)
+    got = corpus_examples(df, 50)
+    assert got == corpus_examples(df.distinct().repartition(2), 50)
+    assert 50 <= sum(k == "email" for k, *_ in got) <= 60
+    assert corpus_examples(df.where("text = 'none'"), 50) == [] and corpus_examples(df.limit(0), 50) == []
