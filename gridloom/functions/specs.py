@@ -152,10 +152,16 @@ def _strictly(kind: Any, text: str) -> Any:
     return text.lower() == "true"
 
 
-def _guessed(text: str) -> Any:
-    if text.lower() in ("true", "false"):
-        return text.lower() == "true"
-    return typed_sequence(text, "\0")[0]
+def _typed(text: str) -> bool | int | float | str:
+    """A value written as text: true or false in any case, else the first of int and float that reads it, else the text."""
+    if (word := text.strip()).lower() in ("true", "false"):
+        return word.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(word)
+        except ValueError:
+            pass
+    return text
 
 
 def parse_args(text: str | None, lazy: bool = False, **spec: Any) -> dict[str, Any]:
@@ -173,29 +179,36 @@ def parse_args(text: str | None, lazy: bool = False, **spec: Any) -> dict[str, A
     if (unknown := given.keys() - kinds.keys()) and not lazy:
         raise ValueError(f"unknown arguments {sorted(unknown)}")
     out = {k: _strictly(kind, given[k]) if k in given else default for k, (default, kind) in kinds.items()}
-    return out | {k: _guessed(v) for k, v in given.items() if k not in kinds}
-
-
-def typed_sequence(text: str, separator: str = ",") -> list[int | float | str]:
-    """Splits and converts each item to int or float if it is one."""
-    out: list[int | float | str] = []
-    for item in text.split(separator):
-        for kind in (int, float, str):
-            try:
-                out.append(kind(item.strip()))
-                break
-            except ValueError:
-                continue
-    return out
+    return out | {k: _typed(v) for k, v in given.items() if k not in kinds}
+
+
+def typed_sequence(text: str, separator: str = ",") -> list[bool | int | float | str]:
+    """Splits and reads each item as a boolean, an int or a float if it is one."""
+    return [v.strip() if isinstance(v, str) else v for v in map(_typed, text.split(separator))]
 
 
 def kebab(c: Column) -> Column:
-    """PascalCase to kebab-case."""
-    return F.lower(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "-"))
+    """PascalCase to kebab-case: a word begins at a capital after a small letter, and at the last of several capitals before one. Letters are a-z and A-Z."""
+    small, capital = (lambda x: F.coalesce(x.between("a", "z"), F.lit(False))), (lambda x: F.coalesce(x.between("A", "Z"), F.lit(False)))
+
+    def spelt(chars: Column) -> Column:
+        at = lambda i: F.get(chars, i)
+        begins = lambda x, i: capital(x) & (small(at(i - 1)) | (capital(at(i - 1)) & small(at(i + 1))))
+        return F.array_join(F.transform(chars, lambda x, i: F.when(begins(x, i), F.concat(F.lit("-"), x)).otherwise(x)), "")
+
+    return F.lower(spelt(F.split(c, "")))
 
 
 def kebab_name(name: str) -> str:
-    return re.sub("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "-", name).lower()
+    """:func:`kebab` of a string."""
+    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    out = []
+    for i, ch in enumerate(name):
+        before, after = name[i - 1] if i else " ", name[i + 1] if i + 1 < len(name) else " "
+        if ch in capital and (before in small or (before in capital and after in small)):
+            out.append("-")
+        out.append(ch)
+    return "".join(out).lower()
 
 
 def json_pointer(c: Column, pointer: str) -> Column:

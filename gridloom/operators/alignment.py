@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import materialized
+
 
 def unit(v: Column) -> Column:
     """An array divided by its length."""
@@ -36,12 +42,46 @@ def sharpened(relative: DataFrame, exponent: float) -> DataFrame:
     return relative.join(F.broadcast(stats), "anchor").select("id", "anchor", (F.signum(z) * F.pow(F.abs(z), exponent)).alias("e"))
 
 
+def _vectors(encoded: DataFrame) -> DataFrame:
+    """id, vector of encodings (id, anchor, e), by anchor, at length one."""
+    rows = encoded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("anchor", "e"))).alias("_l"))
+    return rows.select("id", unit(F.transform("_l", lambda s: s["e"])).alias("vector"))
+
+
+#: Rows of the caller's side that go to all tasks at once.
+BLOCK = 10_000
+
+
+def blocks_of(df: DataFrame, key: str, most: int = BLOCK) -> Iterator[DataFrame]:
+    """``df`` in blocks of about ``most`` rows by a hash of ``key``, however many rows it has."""
+    n = -(-df.count() // most)
+    for k in range(n):
+        yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)
+
+
 def cross_distance(first: DataFrame, second: DataFrame) -> DataFrame:
-    """a, b, cosine distance of sharpened encodings (id, anchor, e) of the rows of ``first`` and a caller's ``second``: a join on the anchor."""
-    length = lambda d, n: d.groupBy("id").agg(F.sqrt(F.sum(F.col("e") * F.col("e"))).alias(n))
-    a = first.join(length(first, "_n"), "id").select(F.col("id").alias("a"), "anchor", (F.col("e") / F.col("_n")).alias("_x"))
-    b = second.join(length(second, "_n"), "id").select(F.col("id").alias("b"), "anchor", (F.col("e") / F.col("_n")).alias("_y"))
-    return a.join(b, "anchor").groupBy("a", "b").agg((1 - F.sum(F.col("_x") * F.col("_y"))).alias("distance"))
+    """a, b, cosine distance of sharpened encodings (id, anchor, e) of the rows of ``first`` and a caller's ``second``.
+
+    Each side becomes one vector a row; those of ``second`` go to all tasks of
+    ``first`` in counted blocks, so no anchor gathers the rows of both. All ids
+    must have the same anchors.
+    """
+    left, right, out = materialized(_vectors(first), "first"), materialized(_vectors(second), "second"), None
+    kinds = f"a {left.schema['id'].dataType.simpleString()}, b {right.schema['id'].dataType.simpleString()}, distance double"
+    for block in blocks_of(right, "id"):
+        rows = block.toArrow()
+        ids, m = rows.column("id").combine_chunks(), np.array(rows.column("vector").to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, m=m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(batch.column("vector").to_pylist())
+                    near = 1 - x @ m.T
+                    yield pa.RecordBatch.from_pydict({"a": batch.column("id").take(pa.array(np.repeat(np.arange(len(x)), len(m)))), "b": ids.take(pa.array(np.tile(np.arange(len(m)), len(x)))), "distance": pa.array(near.ravel())})
+
+        found = left.mapInArrow(run, kinds)
+        out = found if out is None else out.unionByName(found)
+    return first.sparkSession.createDataFrame([], kinds) if out is None else out
 
 
 def backprojected(relative: DataFrame, anchors: DataFrame, exponent: float = 4.0, vector: str = "vector") -> DataFrame:
@@ -58,6 +98,32 @@ def backprojected(relative: DataFrame, anchors: DataFrame, exponent: float = 4.0
 
 
 def product_matrix(df: DataFrame, vector: str) -> DataFrame:
-    """i, j, c: the correlation of the dimensions of ``vector`` over all rows."""
-    pairs = df.select(F.posexplode(vector).alias("i", "_x"), F.col(vector).alias("_v")).select("i", "_x", F.posexplode("_v").alias("j", "_y"))
-    return pairs.groupBy("i", "j").agg(F.corr("_x", "_y").alias("c"))
+    """i, j, c: the correlation (population; null without variance) of the dimensions of ``vector`` over all rows.
+
+    Tasks add up products about their own means, a row for two dimensions
+    each, and the means are brought together afterwards. Null vectors and those
+    with a null or of another length than the longest are left out.
+    """
+    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    d = rows.agg(F.max(F.size("v"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, about = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            if len(x):
+                own = x.mean(axis=0)
+                about += (x - own).T @ (x - own) + n * len(x) / (n + len(x)) * np.outer(own - mean, own - mean)
+                mean = mean + (own - mean) * len(x) / (n + len(x))
+                n += len(x)
+        if n:
+            i, j = np.divmod(np.arange(d * d), d)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "n": pa.array(np.full(d * d, n)), "mi": pa.array(mean[i]), "mj": pa.array(mean[j]), "p": pa.array(about.ravel())})
+
+    parts = materialized(rows.where(F.size("v") == d).mapInArrow(run, "i int, j int, n bigint, mi double, mj double, p double"), "products")
+    means = parts.where("i = j").groupBy(F.col("i").alias("k")).agg((F.sum(F.col("n") * F.col("mi")) / F.sum("n")).alias("m"))
+    mean = lambda c: F.broadcast(means.select(F.col("k").alias(c), F.col("m").alias(f"_{c}")))  # noqa: E731  a row a dimension
+    whole = parts.join(mean("i"), "i").join(mean("j"), "j").groupBy("i", "j").agg(F.sum(F.col("p") + F.col("n") * (F.col("mi") - F.col("_i")) * (F.col("mj") - F.col("_j"))).alias("p"))
+    own = materialized(whole, "whole")
+    var = lambda c: F.broadcast(own.where("i = j").select(F.col("i").alias(c), F.col("p").alias(f"_{c}")))
+    return own.join(var("i"), "i").join(var("j"), "j").select("i", "j", F.when((F.col("_i") > 0) & (F.col("_j") > 0), F.col("p") / F.sqrt(F.col("_i") * F.col("_j"))).alias("c"))

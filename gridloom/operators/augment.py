@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.tours import numbered
+
 
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the first 32 bits of a digest of ``seed`` and ``key``."""
@@ -61,7 +63,13 @@ def key_channels(v: Column, mask: Column, kinds: Sequence[str]) -> Column:
 
 
 def padded_batches(df: DataFrame, order: str, size: int, value: str = "v", fill: float = 0.0) -> DataFrame:
-    """batch, place, value: rows numbered from 0 in ``order``, ``size`` a batch, the last one filled up."""
-    batches = df.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(F.map_from_entries(F.collect_list(F.struct((F.col(order) % size).cast("int"), value))).alias("_m"))
+    """batch, place, value: rows numbered from 0 in ``order`` (nulls first, equal ones by value), ``size`` a batch, the last one filled up.
+
+    Numbers come from sorted ranges, so gaps, repeats and hot values of
+    ``order`` matter neither to the batches nor to the work. An empty table
+    has no batches.
+    """
+    rows = numbered(df.select(F.col(order).alias("_o"), F.col(value).alias("_v")), "_o", "_v")
+    batches = rows.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("n") % size).cast("int"), "_v"))).alias("_m"))
     places = batches.select("batch", "_m", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("place"))
-    return places.select("batch", "place", F.coalesce(F.try_element_at("_m", "place"), F.lit(fill)).alias(value))
+    return places.select("batch", "place", F.when(F.map_contains_key("_m", F.col("place")), F.try_element_at("_m", "place")).otherwise(F.lit(fill)).alias(value))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.alignment import blocks_of
 from gridloom.sources.shared import materialized
 
 XYZ = ("x", "y", "z")
@@ -220,25 +221,28 @@ def normalized(vector: Column) -> Column:
 def top_matches(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """The k most alike vectors (cosine) of ``base`` for each query (id, vector): id, rank, other, cosine.
 
-    For a stated set of queries: they go to every task of ``base`` in one
-    broadcast and each task keeps its best k before the exchange.
+    For a stated set of queries: they go to every task of ``base`` in counted
+    blocks, and each task keeps its best k of a query before the exchange.
     """
-    q = [(r["id"], list(r["vector"])) for r in queries.select("id", "vector").toLocalIterator()]
-    if not q:
+    found = None
+    for block in blocks_of(queries.select("id", "vector"), "id"):
+        rows = block.toArrow()
+        ids, m = rows.column("id").to_numpy(), np.array(rows.column("vector").to_pylist(), dtype=float)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.array(b["vector"].tolist(), dtype=float)
+                s = m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                own = b["id"].to_numpy()
+                order = np.lexsort((np.broadcast_to(own, s.shape), -s))[:, :k]
+                yield pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": own[order].ravel(), "cosine": np.take_along_axis(s, order, 1).ravel()})
+
+        part = base.select("id", "vector").mapInPandas(best, "id bigint, other bigint, cosine double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return queries.limit(0).select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
-    ids, m = np.array([i for i, _ in q]), np.array([v for _, v in q], dtype=float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b["vector"].tolist(), dtype=float)
-            s = m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            own = b["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s))[:, :k]
-            yield pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": own[order].ravel(), "cosine": np.take_along_axis(s, order, 1).ravel()})
-
-    found = base.select("id", "vector").mapInPandas(best, "id bigint, other bigint, cosine double")
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", F.col("rank").cast("int").alias("rank"), "other", "cosine")

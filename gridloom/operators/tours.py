@@ -61,6 +61,12 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (links.select("a", "b") if chosen is None else materialized(chosen, "forest")), labels
 
 
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Each arc's ``next`` and distance ``d`` by steps twice as long."""
+    ahead = steps.select(F.col("n").alias("_n"), F.col("next").alias("_next"), F.col("d").alias("_d"))
+    return steps.join(ahead, F.col("next") == F.col("_n"), "left").select("n", F.col("_next").alias("next"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"))
+
+
 def rooted(forest: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root, parent, pre, size of each of ``nodes`` (node, root), with ``forest`` (a, b) as their trees.
 
@@ -81,9 +87,7 @@ def rooted(forest: DataFrame, nodes: DataFrame) -> DataFrame:
     arcs = materialized(arcs.select("n", "u", "v", "rev", "root", F.when(F.col("next") != F.col("start"), F.col("next")).alias("next")), "arcs")
     steps = materialized(arcs.select("n", "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("bigint").alias("d")), "steps")
     while not steps.where("next IS NOT NULL").isEmpty():
-        ahead = steps.select(F.col("n").alias("_n"), F.col("next").alias("_next"), F.col("d").alias("_d"))
-        moved = steps.join(ahead, F.col("next") == F.col("_n"), "left").select("n", F.col("_next").alias("next"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"))
-        steps = materialized(moved, "steps")
+        steps = materialized(_doubled(_doubled(steps)), "steps")
     left = steps.select("n", "d")  # arcs that follow in the tour
     placed = arcs.select("n", "u", "v", "rev", "root").join(left, "n").join(left.select(F.col("n").alias("rev"), F.col("d").alias("d_rev")), "rev")
     down = placed.where("d > d_rev").select(F.col("v").alias("node"), F.col("u").alias("parent"), (-F.col("d")).alias("at"), ((F.col("d") - F.col("d_rev") + 1) / 2).cast("bigint").alias("size"))

@@ -19,33 +19,42 @@ _GRID = f"""grid AS (SELECT i AS idx, i % {_SHAPE[0]} AS cx, (i // {_SHAPE[0]})
 g AS (SELECT idx, cx, cy, cz, {", ".join(f"{s} + c{a} * {t} AS {a}0, least({s} + c{a} * {t} + {n}, {e}) AS {a}1" for a, s, t, n, e in zip("xyz", _START, GRID.stride, GRID.size, _END, strict=True))} FROM grid)"""
 
 
-@query("box_grid", f"WITH {_GRID} SELECT idx, {', '.join(_COLS)}, cx = 0 OR cy = 0 OR cz = 0 OR cx = {_SHAPE[0] - 1} OR cy = {_SHAPE[1] - 1} OR cz = {_SHAPE[2] - 1} AS border FROM g")
+#: Each part picks a box of the grid.
+_PICKED = f"{_GRID}, p AS (SELECT p_partkey AS id, (p_partkey * 31) % {GRID.count} AS idx FROM part)"
+
+
+def _picked(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 31 % GRID.count).cast("bigint").alias("idx"))
+
+
+@query("box_grid", f"WITH {_PICKED} SELECT id, idx, {', '.join(_COLS)}, cx = 0 OR cy = 0 OR cz = 0 OR cx = {_SHAPE[0] - 1} OR cy = {_SHAPE[1] - 1} OR cz = {_SHAPE[2] - 1} AS border FROM p JOIN g USING (idx)")
 def box_grid(spark, sf_dir):
     border = " OR ".join(f"first_{a} OR last_{a}" for a in "xyz")
-    return GRID.boxes(spark).select("idx", *_COLS, F.expr(border).alias("border"))
+    return GRID.with_boxes(_picked(spark, sf_dir)).select("id", "idx", *_COLS, F.expr(border).alias("border"))
 
 
-@query("box_grid_back_shift", f"WITH {_GRID} SELECT idx, {', '.join(f'greatest({s}, {a}1 - {n}) AS {a}0, {a}1' for a, s, n in zip('xyz', _START, GRID.size, strict=True))} FROM g")
+@query("box_grid_back_shift", f"WITH {_PICKED} SELECT id, idx, {', '.join(f'greatest({s}, {a}1 - {n}) AS {a}0, {a}1' for a, s, n in zip('xyz', _START, GRID.size, strict=True))} FROM p JOIN g USING (idx)")
 def box_grid_back_shift(spark, sf_dir):
-    return B.Grid(GRID.outer_start, GRID.outer_size, GRID.size, GRID.overlap, back_shift=True).boxes(spark).select("idx", *_COLS)
+    shifted = B.Grid(GRID.outer_start, GRID.outer_size, GRID.size, GRID.overlap, back_shift=True)
+    return shifted.with_boxes(_picked(spark, sf_dir)).select("id", "idx", *_COLS)
 
 
 @query(
     "box_cropped",
-    f"WITH {_GRID} SELECT idx, {', '.join(f'CASE WHEN c{a} = 0 THEN {a}0 ELSE {a}0 + {o // 2} END AS {a}0, CASE WHEN c{a} = {n - 1} THEN {a}1 ELSE {a}1 - {o - o // 2} END AS {a}1' for a, o, n in zip('xyz', GRID.overlap, _SHAPE, strict=True))} FROM g",
+    f"WITH {_PICKED} SELECT id, idx, {', '.join(f'CASE WHEN c{a} = 0 THEN {a}0 ELSE {a}0 + {o // 2} END AS {a}0, CASE WHEN c{a} = {n - 1} THEN {a}1 ELSE {a}1 - {o - o // 2} END AS {a}1' for a, o, n in zip('xyz', GRID.overlap, _SHAPE, strict=True))} FROM p JOIN g USING (idx)",
 )
 def box_cropped(spark, sf_dir):
-    return GRID.cropped(spark).select("idx", *_COLS)
+    return _picked(spark, sf_dir).join(GRID.cropped(spark), "idx").select("id", "idx", *_COLS)
 
 
-@query("box_neighbours", f"WITH {_GRID} SELECT a.idx, b.idx AS neighbour FROM g a LEFT JOIN g b ON b.cx = a.cx + 1 AND b.cy = a.cy - 1 AND b.cz = a.cz")
+@query("box_neighbours", f"WITH {_PICKED} SELECT p.id, a.idx, b.idx AS neighbour FROM p JOIN g a USING (idx) LEFT JOIN g b ON b.cx = a.cx + 1 AND b.cy = a.cy - 1 AND b.cz = a.cz")
 def box_neighbours(spark, sf_dir):
-    return GRID.neighbours(spark, (1, -1, 0)).withColumn("neighbour", F.col("neighbour").cast("bigint"))
+    return _picked(spark, sf_dir).join(GRID.neighbours(spark, (1, -1, 0)), "idx").select("id", "idx", F.col("neighbour").cast("bigint").alias("neighbour"))
 
 
-@query("box_batches", f"SELECT i // 7 AS batch, count(*) AS n, min(i) AS first, max(i) AS last FROM range({GRID.count}) r(i) GROUP BY 1")
+@query("box_batches", f"WITH {_PICKED} SELECT idx // 7 AS batch, count(*) AS n, min(x0) AS x0, max(x1) AS x1 FROM p JOIN g USING (idx) GROUP BY 1")
 def box_batches(spark, sf_dir):
-    return GRID.boxes(spark).groupBy(F.floor(F.col("idx") / 7).alias("batch")).agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    return GRID.with_boxes(_picked(spark, sf_dir)).groupBy(F.floor(F.col("idx") / 7).alias("batch")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
 @query("point_in_boxes", f"WITH {_GRID}, p AS (SELECT p_partkey AS id, p_partkey % 210 AS x, (p_partkey * 7) % 160 AS y, (p_partkey * 3) % 100 AS z FROM part) SELECT p.id, g.idx FROM p JOIN g ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1")

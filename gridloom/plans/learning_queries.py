@@ -212,7 +212,7 @@ def operator_configs(spark, sf_dir):
     return specs.apply_configs(vox(spark, sf_dir).select("x", "y", "z", "v"), '[{"name": "scale", "args": {"factor": 2.0}}, {"name": "threshold", "args": {"t": 90.0}}]', OPS)
 
 
-@query("kebab_names", "SELECT c_custkey, lower(regexp_replace(regexp_replace(replace(initcap_name, ' ', ''), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1-\\2', 'g')) AS name FROM (SELECT c_custkey, c_name || 'HTTPServer' || c_mktsegment AS initcap_name FROM customer)")
+@query("kebab_names", "SELECT c_custkey, lower(regexp_replace(regexp_replace(replace(initcap_name, ' ', ''), '([a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1-\\2', 'g')) AS name FROM (SELECT c_custkey, c_name || 'HTTPServer' || c_mktsegment AS initcap_name FROM customer)")
 def kebab_names(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", specs.kebab(F.replace(F.concat("c_name", F.lit("HTTPServer"), "c_mktsegment"), F.lit(" "), F.lit(""))).alias("name"))

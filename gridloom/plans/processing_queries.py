@@ -171,11 +171,11 @@ def backprojection(spark, sf_dir):
     return A.backprojected(relative, original).withColumn("v", F.round("v", 6))
 
 
-@query("dimension_correlation", """WITH e AS (SELECT vec_id, generate_subscripts(embedding[1:8], 1) - 1 AS k, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings)
+@query("dimension_correlation", """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
 SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(corr(a.x, b.x), 6) AS c FROM e a JOIN e b USING (vec_id) GROUP BY a.k, b.k""")
 def dimension_correlation(spark, sf_dir):
-    first = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    return A.product_matrix(first, "v").withColumn("c", F.round("c", 6))
+    vectors = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return A.product_matrix(vectors, "v").withColumn("c", F.round("c", 6))
 
 
 def _u(seed: str, key: str = "user_id") -> str:
@@ -269,9 +269,9 @@ def joined_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("_", "o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")).alias("name"))
 
 
-@query("combine_map", "SELECT vec_id, vec_id // 25 AS sample FROM embeddings WHERE vec_id < 500")
+@query("combine_map", "SELECT vec_id, vec_id % 500 // 25 AS sample FROM embeddings")
 def combine_map(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", C.combine_map(F.col("vec_id"), 20, 500).alias("sample"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", C.combine_map(F.col("vec_id") % 500, 20, 500).alias("sample"))
 
 
 @query("counted_weights", "SELECT user_id, count(*) FILTER (WHERE value > 60) AS n, CAST(count(*) FILTER (WHERE value > 60 AND event_type = 'view') AS BIGINT) AS hits FROM events GROUP BY user_id")
@@ -299,6 +299,6 @@ def feature_regression(spark, sf_dir):
     return out.select("label", *[F.round(c, 6).alias(c) for c in ("mse", "cosine", "predicted_norm", "target_norm")])
 
 
-@query("expanded_dims", "SELECT vec_id, [list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE))] AS v FROM embeddings")
+@query("expanded_dims", "SELECT vec_id, [list_transform(embedding, lambda x: CAST(x AS DOUBLE))] AS v FROM embeddings")
 def expanded_dims(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
