@@ -1,12 +1,16 @@
-"""Queries of distance transforms, growing and erosion."""
+"""Queries of distance transforms, growing, erosion, resampling and stored arrays."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from gridloom.operators import distance as D
+from gridloom.operators import runs
+from gridloom.operators import warp as W
 from gridloom.plans.catalog import query
-from gridloom.plans.views import VOX, vox
+from gridloom.plans.views import VOX, extent, vox
+from gridloom.sources import arrays
+from gridloom.sources.shared import shared_path
 
 #: Sparse seeds: users whose id divides by 40 leave their label, all else is empty.
 _SPARSE = f"{VOX.replace('vox AS', 'raw AS')}, vox AS (SELECT x, y, z, CASE WHEN user_id % 40 = 0 THEN user_id + 1 ELSE 0 END AS label FROM raw)"
@@ -77,3 +81,46 @@ deep AS (SELECT *, d + 1 AS steps FROM near WHERE label <> 0), left_ AS (SELECT
 SELECT n.x, n.y, n.z, CASE WHEN n.label = 0 THEN 0 WHEN n.d + 1 > CASE WHEN one < 20 THEN 0 WHEN two < 20 THEN 1 ELSE 2 END THEN n.label ELSE 0 END AS label FROM near n LEFT JOIN left_ l ON l.label = n.label""")
 def erode_objects(spark, sf_dir):
     return D.eroded_objects(_blocks(spark, sf_dir), 2, 20)
+
+
+#: Each plane turned by 30 degrees about (9, 9) and shifted, as a map from output to source.
+_TURN = ((0.8660254037844387, 0.5, -2.25), (-0.5, 0.8660254037844387, 6.75))
+
+
+@query("warp_linear", f"""WITH {VOX}, p AS (SELECT x, y, z, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[0], ('x', 'y', '1'), strict=True))} AS u, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[1], ('x', 'y', '1'), strict=True))} AS w FROM vox),
+f AS (SELECT x, y, z, CAST(floor(round(u, 9)) AS BIGINT) AS i, CAST(floor(round(w, 9)) AS BIGINT) AS j, round(u, 9) - floor(round(u, 9)) AS s, round(w, 9) - floor(round(w, 9)) AS t FROM p),
+c AS (SELECT f.*, i + dx AS sx, j + dy AS sy, (CASE dx WHEN 0 THEN 1 - s ELSE s END) * (CASE dy WHEN 0 THEN 1 - t ELSE t END) AS q FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dx, dy))
+SELECT c.x, c.y, c.z, round(sum(q * coalesce(b.v, -1.0::DOUBLE)), 5) AS v FROM c LEFT JOIN vox b ON b.x = sx AND b.y = sy AND b.z = c.z GROUP BY ALL""")
+def warp_linear(spark, sf_dir):
+    voxels = vox(spark, sf_dir).select("x", "y", "z", "v")
+    return W.warp(voxels, extent(voxels), _TURN, "linear", "constant", -1.0, inverted=True).withColumn("v", F.round("v", 5))
+
+
+@query("stored_chain", f"WITH {VOX} SELECT x // 2 AS x, y // 2 AS y, z, round(max(least(greatest(v, 10.0), 90.0)), 6) AS v FROM vox GROUP BY 1, 2, 3")
+def stored_chain(spark, sf_dir):
+    """The volume as a stored array, a chain over it to another one of which a part is there already, and that read again."""
+    voxels = vox(spark, sf_dir).select("z", "y", "x", "v")
+    nx, ny, nz = extent(voxels)
+    root = shared_path(spark, "arrays")
+    root = root if "://" in root else f"file://{root}"
+    source = arrays.create_array(arrays.array_spec(f"{root}/in|zarr:", ("z", "y", "x"), (nz, ny, nx), (4, 8, 8), "f8"))
+    arrays.write_array(voxels, source.path)
+    chain, target = "clip(10.0, high=90.0) | down('max', x=2, y=2)", f"{root}/out|zarr:"
+    runs.run_chain(spark, source.path, chain, target)
+    spec = arrays.open_array(target)
+    lost = spark.range(int(spec.grid[0] * spec.grid[1] * spec.grid[2])).where("id % 3 = 0").select(F.col("id").alias("chunk"))
+    arrays.write_blocks(lost, target, lambda index: spec.empty(index))  # as if these had never been made
+    runs.run_chain(spark, source.path, chain, target, nonzero=True)
+    return arrays.read_array(spark, target).select("x", "y", "z", F.round("v", 6).alias("v"))
+
+
+@query("stored_box_read", f"WITH {VOX} SELECT x, y, z, v FROM vox WHERE x BETWEEN 3 AND 10 AND y >= 6 AND z < 9")
+def stored_box_read(spark, sf_dir):
+    """A stored array read through its data source, comparisons of coordinates pruning chunks."""
+    voxels = vox(spark, sf_dir).select("z", "y", "x", "v")
+    nx, ny, nz = extent(voxels)
+    root = shared_path(spark, "arrays")
+    root = root if "://" in root else f"file://{root}"
+    spec = arrays.create_array(arrays.array_spec(f"{root}/n5|n5:", ("z", "y", "x"), (nz, ny, nx), (4, 8, 8), "f8", codec="gzip"))
+    arrays.write_array(voxels, spec.path)
+    return arrays.read_array(spark, spec.path).where("x BETWEEN 3 AND 10 AND y >= 6 AND z < 9").select("x", "y", "z", "v")

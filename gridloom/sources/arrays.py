@@ -683,23 +683,14 @@ def read_points(spark: SparkSession, path: str, points: DataFrame, value: str =
     return points.join(read_chunks(spec, held, value=value), list(spec.axes), "left")
 
 
-def write_array(df: DataFrame, path: str, value: str = "v") -> int:
-    """Writes voxel rows into a stored array; returns the number of chunks written.
+def _committed(spec: ArraySpec, staging: DataFrame, job: str) -> int:
+    """Runs ``staging`` (attempt, chunk of what tasks stage under ``job``) and renames the chunks into place; returns their number.
 
-    Rows meet by chunk in one shuffle; each task stages its chunks, one at a
-    time. When all are staged the job is marked as committed, and only then
-    tasks rename the chunks into their places: readers see a chunk before or
-    after, and a write that is broken off is finished by :func:`recover` or
-    leaves no trace. Nothing but marks passes the driver.
+    When all are staged the job is marked as committed, and only then tasks
+    rename: readers see a chunk before or after, and a write that is broken
+    off is finished by :func:`recover` or leaves no trace. Nothing but marks
+    passes the driver.
     """
-    spec, spark, job = open_array(path), df.sparkSession, uuid.uuid4().hex
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(*spec.axes, value, chunk_of(spec).alias("chunk")).repartition(parts, "chunk").sortWithinPartitions("chunk").drop("chunk")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, chunks = stage(spec, batches, job, value)
-        if chunks:
-            yield pa.RecordBatch.from_pydict({"attempt": pa.array([attempt] * len(chunks)), "chunk": pa.array(chunks, pa.int64())})
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -711,17 +702,64 @@ def write_array(df: DataFrame, path: str, value: str = "v") -> int:
 
     files = Files(spec.root)
     try:
-        staged = materialized(rows.mapInArrow(run, "attempt string, chunk bigint"), "staged")
+        staged = materialized(staging, "staged")
     except Exception:
         files.drop(f"{PENDING}/{job}")
         raise
     attempts = [r["attempt"] for r in staged.select("attempt").distinct().collect()]  # one a task
     files.put_whole(f"{PENDING}/{job}/committed", json.dumps(attempts).encode())
+    parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done = staged.repartition(parts).mapInArrow(moved, "n bigint").agg(F.sum("n")).first()[0]
     files.drop(f"{PENDING}/{job}")
     return done or 0
 
 
+def write_array(df: DataFrame, path: str, value: str = "v") -> int:
+    """Writes voxel rows into a stored array, all together at the end; returns the number of chunks written.
+
+    Rows meet by chunk in one shuffle; each task stages its chunks, one at a time.
+    """
+    spec, job = open_array(path), uuid.uuid4().hex
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*spec.axes, value, chunk_of(spec).alias("chunk")).repartition(parts, "chunk").sortWithinPartitions("chunk").drop("chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, chunks = stage(spec, batches, job, value)
+        if chunks:
+            yield pa.RecordBatch.from_pydict({"attempt": pa.array([attempt] * len(chunks)), "chunk": pa.array(chunks, pa.int64())})
+
+    return _committed(spec, rows.mapInArrow(run, "attempt string, chunk bigint"), job)
+
+
+def write_blocks(chunks: DataFrame, path: str, make) -> int:
+    """Writes the chunks numbered in column ``chunk``, each as ``make(index)`` makes it in a task; returns their number. No row is shuffled."""
+    spec, job = open_array(path), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, attempt = Files(spec.root), uuid.uuid4().hex
+        for batch in batches:
+            for k in batch.column("chunk").to_pylist():
+                index = spec.index(k)
+                block = make(index)
+                if list(block.shape) != [hi - lo for lo, hi in spec.extent(index)]:
+                    raise ValueError(f"a block of {block.shape} for chunk {index}")
+                files.put(f"{PENDING}/{job}/{attempt}/{k}", spec.pack(index, block))
+            yield pa.RecordBatch.from_pydict({"attempt": pa.array([attempt] * batch.num_rows), "chunk": batch.column("chunk").cast(pa.int64())})
+
+    return _committed(spec, chunks.select("chunk").mapInArrow(run, "attempt string, chunk bigint"), job)
+
+
+def read_block(spec: ArraySpec, files: Files | ZipFiles, low: Sequence[int], high: Sequence[int]) -> np.ndarray:
+    """The values of a half-open box (counted without the origin) as one array, from the chunks that it touches."""
+    out = np.full([max(0, hi - lo) for lo, hi in zip(low, high, strict=True)], spec.fill, dtype=spec.dtype)
+    for index in itertools.product(*(range(lo // c, -(-hi // c)) for lo, hi, c in zip(low, high, spec.chunks, strict=True))):
+        data = spec.load(files, index)
+        if data is not None:
+            spans = [(max(a, lo), min(b, hi), a, lo) for (a, b), lo, hi in zip(spec.extent(index), low, high, strict=True)]
+            out[tuple(slice(f - lo, e - lo) for f, e, _, lo in spans)] = data[tuple(slice(f - a, e - a) for f, e, a, _ in spans)]
+    return out
+
+
 def from_numpy(spark: SparkSession, data: np.ndarray, axes: Sequence[str] = ("c", "z", "y", "x"), value: str = "v") -> DataFrame:
     """Voxel rows of an array in the driver's memory: for small inputs and tests."""
     at = np.unravel_index(np.arange(data.size), data.shape)
