@@ -24,8 +24,8 @@ PAIRS_A_LIST = 1 << 14
 PROBES_LINK = 100
 #: Tokens that a task counts before it sends them, and tokens that it counts at once.
 BUFFER = 1 << 21
-#: Leaders of a block that meets a block of twice as many members in one task.
-BLOCK = 1 << 10
+#: Leaders of a block that meets a block of four times as many members in one task: 4 MB of bitmaps where sets have hundreds of tokens, 64 MB at most.
+BLOCK = 1 << 12
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -586,13 +586,13 @@ def possible(first: list[bytes], second: list[bytes], percent: int) -> tuple[np.
 def met_in_blocks(leaders: DataFrame, members: DataFrame, small: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of ``leaders`` (group, node) and ``members`` (group, node) of a group that may link by their bitmaps.
 
-    Both are dealt into blocks of some thousands; a block of leaders meets a
+    Both are dealt into blocks (BLOCK); a block of leaders meets a
     block of members in one task, as arrays, and only pairs that pass become
     rows. A row is sent once for each block that it meets.
     """
     n_leaders = leaders.groupBy("group").agg(F.count("*").alias("leaders"))
     n_members = members.groupBy("group").agg(F.count("*").alias("members"))
-    sizes = n_leaders.join(n_members, "group").select("group", F.ceil(F.col("leaders") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("members") / (2 * BLOCK)).cast("int").alias("nm"))
+    sizes = n_leaders.join(n_members, "group").select("group", F.ceil(F.col("leaders") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("members") / (4 * BLOCK)).cast("int").alias("nm"))
     sizes = written(sizes, "blocks")
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -617,7 +617,7 @@ def met_in_blocks(leaders: DataFrame, members: DataFrame, small: DataFrame, perc
                 if (g, left, m) != block:
                     yield from flush()
                     block, held = (g, left, m), ([], [], [], [])
-                elif side and len(held[2]) >= 4 * BLOCK:  # hashes deal unevenly, and a block may be larger than meant
+                elif side and len(held[2]) >= 8 * BLOCK:  # hashes deal unevenly, and a block may be larger than meant
                     yield from flush()
                     held = (held[0], held[1], [], [])
                 held[2 * side].append(node)
