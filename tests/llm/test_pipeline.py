@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+
 from gridloom.llm.classifier import quality_scores
 from tests.llm.test_jaccard import plain as plain_groups
 from tests.llm.test_native import plain_lines
@@ -57,3 +59,38 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] < len(docs) and kept[2] < kept[1]
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in pieces} == set(after)
+
+
+CLASHES = ("row", "node", "h", "text_hash", "component_id", "kept_text", "label", "x")
+
+
+def edge_table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(7,) * len(CLASHES)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in CLASHES))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_repeats_empty_tables_and_clashing_columns(spark, tmp_path, name):
+    stage, rng = dict(corpus_pipeline.STAGES)[name], random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(30))
+    rows = [(i, text()) for i in range(12)]
+    rows += [rows[0], rows[0], (None, text()), (None, None), (20, None), (21, ""), (21, ""), (None, rows[1][1]), (22, text() + " 10.1.2.3"), (23, text() * 200)]
+    spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(None, 0, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = edge_table(spark, rows)
+    none = stage(spark, df.where("doc_id = -1"), str(tmp_path))
+    assert none.count() == 0
+    out = stage(spark, df, str(tmp_path))
+    if name == "best_fit_packing":
+        assert {r["doc_id"] for r in out.collect()} == {i for i, _ in rows}
+        return
+    assert out.columns == df.columns == none.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    got = Counter((r["doc_id"], r["text"], r["node"]) for r in out.collect())
+    want = Counter((i, t, 7) for i, t in rows)
+    if name == "quality_classifier":
+        assert got == want  # one class alone is the score of all
+    elif name == "line_dedup":
+        assert sum(got.values()) == len(rows) and got[rows[0][0], rows[0][1], 7] == 3 and got[None, rows[1][1], 7] == 1
+    elif name == "ngram_jaccard":
+        want[rows[0][0], rows[0][1], 7] = 1
+        assert got == want
+    else:
+        assert sum(got.values()) == len(rows) and any("[" in t and i == 22 for i, t, _ in got) and got[20, "", 7] == 1
