@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import graphs as G
@@ -9,7 +11,7 @@ from gridloom.operators import points as P
 from gridloom.operators import proximity as N
 from gridloom.operators import segmentation as S
 from gridloom.plans.catalog import query
-from gridloom.plans.views import CLOUD, VOX, cloud, extent, table, vox
+from gridloom.plans.views import CLOUD, SERIES, VOX, cloud, extent, series, table, vox
 
 _PROPS = "count(*) AS area, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, round(avg(z), 6) AS centroid_z, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) + 1 AS x1, max(y) + 1 AS y1, max(z) + 1 AS z1"
 _ORDER = ["label", "area", "centroid_x", "centroid_y", "centroid_z", "x0", "y0", "z0", "x1", "y1", "z1", "extent"]
@@ -278,13 +280,36 @@ def top_matches(spark, sf_dir):
     return _rounded(P.top_matches(e.where("id % 100 = 0"), e, 6), "cosine")
 
 
-query("farthest_point_sampling")(lambda s, d: P.farthest_points(cloud(s, d), 12))
-query("spanning_tree")(lambda s, d: P.spanning_tree(cloud(s, d)))
+@query("farthest_point_sampling", f"""WITH RECURSIVE {CLOUD}, sampled AS (SELECT cloud, 0 AS rank, min(idx) AS idx, [min(idx)] AS picked FROM cloud GROUP BY cloud
+  UNION ALL SELECT cloud, rank + 1, -max({{'m': m, 'k': -idx}}).k, list_append(picked, -max({{'m': m, 'k': -idx}}).k) FROM (
+    SELECT s.cloud, s.rank, s.picked, a.idx, min({_D2}) AS m FROM sampled s JOIN cloud a ON a.cloud = s.cloud JOIN cloud b ON b.cloud = s.cloud AND list_contains(s.picked, b.idx)
+    WHERE s.rank < 11 AND NOT list_contains(s.picked, a.idx) GROUP BY ALL) GROUP BY cloud, rank, picked)
+SELECT cloud, CAST(rank AS INTEGER) AS rank, idx FROM sampled""")
+def farthest_point_sampling(spark, sf_dir):
+    return P.farthest_points(cloud(spark, sf_dir), 12)
+
+
+@query("spanning_tree", f"""WITH RECURSIVE {CLOUD}, d AS (SELECT a.cloud, a.idx AS i, b.idx AS j, sqrt({_D2}) AS d FROM cloud a JOIN cloud b USING (cloud) WHERE a.idx <> b.idx),
+grown AS (SELECT cloud, [min(idx)] AS inside, CAST(NULL AS STRUCT(d DOUBLE, j BIGINT, i BIGINT)) AS e FROM cloud GROUP BY cloud
+  UNION ALL SELECT cloud, list_append(inside, min(e).j), min(e) FROM (
+    SELECT g.cloud, g.inside, {{'d': d.d, 'j': d.j, 'i': d.i}} AS e FROM grown g JOIN d ON d.cloud = g.cloud AND list_contains(g.inside, d.i) AND NOT list_contains(g.inside, d.j)) GROUP BY cloud, inside)
+SELECT cloud, e.i AS i, e.j AS j, round(e.d, 6) AS d FROM grown WHERE e IS NOT NULL""")
+def spanning_tree(spark, sf_dir):
+    return _rounded(P.spanning_tree(cloud(spark, sf_dir)), "d")
+
+
 query("principal_axes")(lambda s, d: P.principal_axes(cloud(s, d)))
 
+_K = math.tan(math.pi * 0.2 / 2)
+_N = 1 / (1 + math.sqrt(2) * _K + _K * _K)
+_PASS = f"{_K * _K * _N!r} * s.v + {2 * _K * _K * _N!r} * f.x1 + {_K * _K * _N!r} * f.x2 - {2 * (_K * _K - 1) * _N!r} * f.y1 - {(1 - math.sqrt(2) * _K + _K * _K) * _N!r} * f.y2"
 
-@query("lowpass")
-def lowpass(spark, sf_dir):
-    from gridloom.plans.views import series
 
-    return P.lowpass(series(spark, sf_dir), "user_id", 0.2)
+def _once(source: str, name: str) -> str:
+    return f"{name} AS (SELECT user_id, CAST(-1 AS BIGINT) AS t, v AS x1, v AS x2, v AS y1, v AS y2, n FROM {source} WHERE t = 0 UNION ALL SELECT f.user_id, s.t, s.v, f.x1, {_PASS}, f.y1, f.n FROM {name} f JOIN {source} s ON s.user_id = f.user_id AND s.t = f.t + 1)"
+
+
+@query("lowpass", f"""WITH RECURSIVE {SERIES}, {_once('series', 'ahead')}, turned AS (SELECT user_id, n - 1 - t AS t, y1 AS v, n FROM ahead WHERE t >= 0), {_once('turned', 'back')}
+SELECT user_id, n - 1 - t AS t, round(y1, 6) AS v FROM back WHERE t >= 0""")
+def lowpass(spark, sf_dir):
+    return _rounded(P.lowpass(series(spark, sf_dir), "user_id", 0.2), "v")

@@ -29,7 +29,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["seg_props", "box_intersections", "clamped_percentile", "evoked_left", "rag_edges", "graph_block_edges", "knn", "per_class_scores", "stratified_split", "operator_chain", "downsample_mode", "multi_grid_index", "gaussian_filter", "clahe", "local_rank", "percentile_filter", "interpolate_axis", "peak_filter", "label_chunks", "stored_range_read", "materialized_run", "subvolume_process", "closest_segment_points", "cross_modal_distance", "gray_augment", "padded_batches", "box_from_json", "ranking_metrics", "balanced_classes"])
+@pytest.mark.parametrize("name", ["seg_props", "box_intersections", "clamped_percentile", "evoked_left", "rag_edges", "graph_block_edges", "knn", "per_class_scores", "stratified_split", "operator_chain", "downsample_mode", "multi_grid_index", "gaussian_filter", "clahe", "local_rank", "percentile_filter", "interpolate_axis", "peak_filter", "label_chunks", "stored_range_read", "materialized_run", "subvolume_process", "closest_segment_points", "cross_modal_distance", "gray_augment", "padded_batches", "box_from_json", "ranking_metrics", "balanced_classes", "distance_map", "watershed_expand", "erode_radius", "warp_linear", "stored_box_read", "box_neighbours", "dimension_correlation", "kebab_names", "spanning_tree", "farthest_point_sampling", "lowpass"])
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
