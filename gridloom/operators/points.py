@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +120,41 @@ def median_split_order(df: DataFrame, depth: int, cloud: str = "cloud") -> DataF
     return out.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).drop(*keys[1:])
 
 
+def with_reverse(df: DataFrame, cloud: str = "cloud") -> DataFrame:
+    """Adds ``place``, each point's place by index in its cloud: the point at ``place`` goes to ``rank``, and the one at ``rank`` came from ``place``."""
+    w = Window.partitionBy(cloud).orderBy("idx")
+    return df.withColumn("place", (F.row_number().over(w) - 1).cast("int"))
+
+
+def orientation(df: DataFrame, cloud: str = "cloud") -> DataFrame:
+    """cloud, axes, spread, rotation: directions of falling variance (rows), their variances (sample), and the rotation that turns the first to z and the second to y.
+
+    The covariance is one aggregation; only six numbers a cloud go to Python.
+    The largest component of each of the first two axes is positive, the third
+    makes a right-handed system. Clouds of one point have no row.
+    """
+    names = [f"{a}{b}" for i, a in enumerate(XYZ) for b in XYZ[: i + 1]]
+    covariance = df.groupBy(cloud).agg(F.count("*").alias("_n"), *[F.covar_samp(n[0], n[1]).alias(n) for n in names]).where("_n > 1").drop("_n")
+    kind = df.schema[cloud].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.zeros((batch.num_rows, 3, 3))
+            for n in names:
+                i, j = XYZ.index(n[0]), XYZ.index(n[1])
+                m[:, i, j] = m[:, j, i] = batch.column(n).to_numpy(zero_copy_only=False)
+            values, vectors = np.linalg.eigh(m)
+            axes = vectors.transpose(0, 2, 1)[:, ::-1]
+            lead = np.take_along_axis(axes, np.abs(axes).argmax(axis=2)[..., None], 2)
+            axes = axes * np.where(lead < 0, -1, 1)
+            axes[:, 2] = np.cross(axes[:, 0], axes[:, 1])
+            turn = np.stack([np.cross(axes[:, 1], axes[:, 0]), axes[:, 1], axes[:, 0]], axis=1)
+            yield pa.RecordBatch.from_pydict({cloud: batch.column(cloud), "axes": pa.array(axes.tolist()), "spread": pa.array(values[:, ::-1].tolist()), "rotation": pa.array(turn.tolist())}, schema=pa.schema([(cloud, batch.column(cloud).type), *((c, t) for c, t in types.items())]))
+
+    types = {"axes": pa.list_(pa.list_(pa.float64())), "spread": pa.list_(pa.float64()), "rotation": pa.list_(pa.list_(pa.float64()))}
+    return covariance.mapInArrow(run, f"{cloud} {kind}, axes array<array<double>>, spread array<double>, rotation array<array<double>>")
+
+
 def moments(df: DataFrame, n: int = 4, cloud: str = "cloud") -> DataFrame:
     """Means, covariances (population) and standardised moments 3..n of each axis of a cloud: one aggregation over centred points."""
     w = Window.partitionBy(cloud)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import contours as C
 from gridloom.operators import distance as D
+from gridloom.operators import points as P
 from gridloom.operators import runs
 from gridloom.operators import warp as W
 from gridloom.plans.catalog import query
-from gridloom.plans.views import VOX, extent, vox
+from gridloom.plans.views import CLOUD, VOX, cloud, extent, vox
 from gridloom.sources import arrays
 from gridloom.sources.shared import shared_path
 
@@ -124,3 +126,22 @@ def stored_box_read(spark, sf_dir):
     spec = arrays.create_array(arrays.array_spec(f"{root}/n5|n5:", ("z", "y", "x"), (nz, ny, nx), (4, 8, 8), "f8", codec="gzip"))
     arrays.write_array(voxels, spec.path)
     return arrays.read_array(spark, spec.path).where("x BETWEEN 3 AND 10 AND y >= 6 AND z < 9").select("x", "y", "z", "v")
+
+
+@query("contour_mask")
+def contour_mask(spark, sf_dir):
+    voxels = vox(spark, sf_dir).select("x", "y", "z", "v")
+    return C.contour_mask(voxels, extent(voxels), (0, 0), 2, 1, 1)
+
+
+@query("curve_order_and_back", f"WITH {CLOUD} SELECT cloud, idx, CAST(row_number() OVER (PARTITION BY cloud ORDER BY x, idx) - 1 AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY cloud ORDER BY idx) - 1 AS INTEGER) AS place FROM cloud")
+def curve_order_and_back(spark, sf_dir):
+    return P.with_reverse(P.reorder(cloud(spark, sf_dir), F.col("x"))).select("cloud", "idx", "rank", "place")
+
+
+@query("orientation_spread", f"WITH {CLOUD} SELECT cloud, round(var_samp(x) + var_samp(y) + var_samp(z), 6) AS total, round(2 * (var_samp(x) * var_samp(y) + var_samp(y) * var_samp(z) + var_samp(x) * var_samp(z) - pow(covar_samp(x, y), 2) - pow(covar_samp(y, z), 2) - pow(covar_samp(x, z), 2)), 6) AS pairs FROM cloud GROUP BY cloud")
+def orientation_spread(spark, sf_dir):
+    """The sums of variances along the axes found, and of their products: what no rotation changes."""
+    s = [F.get("spread", F.lit(k)) for k in range(3)]
+    found = P.orientation(cloud(spark, sf_dir))
+    return found.select("cloud", F.round(s[0] + s[1] + s[2], 6).alias("total"), F.round(2 * (s[0] * s[1] + s[1] * s[2] + s[0] * s[2]), 6).alias("pairs"))
