@@ -8,9 +8,10 @@ from gridloom.operators import contours as C
 from gridloom.operators import distance as D
 from gridloom.operators import points as P
 from gridloom.operators import runs
+from gridloom.operators import transport as T
 from gridloom.operators import warp as W
 from gridloom.plans.catalog import query
-from gridloom.plans.views import CLOUD, VOX, cloud, extent, vox
+from gridloom.plans.views import CLOUD, VOX, cloud, extent, table, vox
 from gridloom.sources import arrays
 from gridloom.sources.shared import shared_path
 
@@ -145,3 +146,11 @@ def orientation_spread(spark, sf_dir):
     s = [F.get("spread", F.lit(k)) for k in range(3)]
     found = P.orientation(cloud(spark, sf_dir))
     return found.select("cloud", F.round(s[0] + s[1] + s[2], 6).alias("total"), F.round(2 * (s[0] * s[1] + s[1] * s[2] + s[0] * s[2]), 6).alias("pairs"))
+
+
+@query("transport_order")
+def transport_order(spark, sf_dir):
+    """Two clouds of each label, from the first and the next three dimensions, in an order of belonging together."""
+    e = table(spark, sf_dir, "embeddings")
+    part = lambda k: e.select(F.col("label").alias("cloud"), F.col("vec_id").alias("idx"), *[F.get("embedding", F.lit(k + i)).cast("double").alias(a) for i, a in enumerate("xyz")])
+    return T.transport_order(part(0), part(3), 0.01, 4)

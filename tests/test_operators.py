@@ -213,7 +213,8 @@ def test_specs(spark):
         with pytest.raises(ValueError):
             specs.parse_chain(wrong, ops)
     assert specs.typed_sequence("1, 2.5,x") == [1, 2.5, "x"]
-    assert specs.kebab_name("HTTPServerName") == "http-server-name"
+    assert specs.kebab_name("HTTPServerName") == "http-server-name" and specs.kebab_name("Foo2Bar") == "foo2bar"
+    assert specs.typed_sequence("true,FALSE,1e3") == [True, False, 1000.0]
     ops = {"double": lambda df, by=2: df.withColumn("v", F.col("v") * by)}
     df = spark.createDataFrame([(3,)], "v int")
     assert specs.apply_chain(df, "double | double(by=5)", ops).first()[0] == 30
