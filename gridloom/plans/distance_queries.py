@@ -86,11 +86,13 @@ def erode_objects(spark, sf_dir):
     return D.eroded_objects(_blocks(spark, sf_dir), 2, 20)
 
 
+#: All places of the volume's extent: a stored array, or a resampled one, has a value at each.
+_ALL = "g AS (SELECT a.x, b.y, c.z FROM range(20) a(x), range(20) b(y), range((SELECT max(z) + 1 FROM vox)) c(z))"
 #: Each plane turned by 30 degrees about (9, 9) and shifted, as a map from output to source.
 _TURN = ((0.8660254037844387, 0.5, -2.25), (-0.5, 0.8660254037844387, 6.75))
 
 
-@query("warp_linear", f"""WITH {VOX}, p AS (SELECT x, y, z, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[0], ('x', 'y', '1'), strict=True))} AS u, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[1], ('x', 'y', '1'), strict=True))} AS w FROM vox),
+@query("warp_linear", f"""WITH {VOX}, {_ALL}, p AS (SELECT x, y, z, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[0], ('x', 'y', '1'), strict=True))} AS u, {' + '.join(f'({m} * {a})' for m, a in zip(_TURN[1], ('x', 'y', '1'), strict=True))} AS w FROM g),
 f AS (SELECT x, y, z, CAST(floor(round(u, 9)) AS BIGINT) AS i, CAST(floor(round(w, 9)) AS BIGINT) AS j, round(u, 9) - floor(round(u, 9)) AS s, round(w, 9) - floor(round(w, 9)) AS t FROM p),
 c AS (SELECT f.*, i + dx AS sx, j + dy AS sy, (CASE dx WHEN 0 THEN 1 - s ELSE s END) * (CASE dy WHEN 0 THEN 1 - t ELSE t END) AS q FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dx, dy))
 SELECT c.x, c.y, c.z, round(sum(q * coalesce(b.v, -1.0::DOUBLE)), 5) AS v FROM c LEFT JOIN vox b ON b.x = sx AND b.y = sy AND b.z = c.z GROUP BY ALL""")
@@ -99,7 +101,7 @@ def warp_linear(spark, sf_dir):
     return W.warp(voxels, extent(voxels), _TURN, "linear", "constant", -1.0, inverted=True).withColumn("v", F.round("v", 5))
 
 
-@query("stored_chain", f"WITH {VOX} SELECT x // 2 AS x, y // 2 AS y, z, round(max(least(greatest(v, 10.0), 90.0)), 6) AS v FROM vox GROUP BY 1, 2, 3")
+@query("stored_chain", f"WITH {VOX}, {_ALL} SELECT x // 2 AS x, y // 2 AS y, z, round(max(least(greatest(coalesce(v, 0), 10.0), 90.0)), 6) AS v FROM g LEFT JOIN vox USING (x, y, z) GROUP BY 1, 2, 3")
 def stored_chain(spark, sf_dir):
     """The volume as a stored array, a chain over it to another one of which a part is there already, and that read again."""
     voxels = vox(spark, sf_dir).select("z", "y", "x", "v")
@@ -117,7 +119,7 @@ def stored_chain(spark, sf_dir):
     return arrays.read_array(spark, target).select("x", "y", "z", F.round("v", 6).alias("v"))
 
 
-@query("stored_box_read", f"WITH {VOX} SELECT x, y, z, v FROM vox WHERE x BETWEEN 3 AND 10 AND y >= 6 AND z < 9")
+@query("stored_box_read", f"WITH {VOX}, {_ALL} SELECT x, y, z, coalesce(v, 0) AS v FROM g LEFT JOIN vox USING (x, y, z) WHERE x BETWEEN 3 AND 10 AND y >= 6 AND z < 9")
 def stored_box_read(spark, sf_dir):
     """A stored array read through its data source, comparisons of coordinates pruning chunks."""
     voxels = vox(spark, sf_dir).select("z", "y", "x", "v")
