@@ -6,9 +6,21 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import contrastive as C
 from gridloom.operators import points as P
+from gridloom.operators import segmentation as S
 from gridloom.operators import trees as T
 from gridloom.plans.catalog import query
-from gridloom.plans.views import cloud, table
+from gridloom.plans.views import cloud, table, vox
+
+
+def _regions(spark, sf_dir):
+    touching = S.region_adjacency(vox(spark, sf_dir).withColumn("label", F.col("user_id"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    parts = S.connected(touching).select(F.col("node").alias("a"), F.col("component").alias("graph"))
+    return touching.join(parts, "a").select("graph", "a", "b")
+
+
+query("biconnected_components")(lambda s, d: T.biconnected(_regions(s, d)))
+query("articulation_points")(lambda s, d: T.articulation_points(T.biconnected(_regions(s, d))))
+query("internal_objects")(lambda s, d: T.internal_objects(T.biconnected(_regions(s, d))))
 
 
 def _links(spark, sf_dir):
@@ -25,22 +37,22 @@ reach AS (SELECT graph, a AS r, b AS s, b AS node FROM n UNION SELECT x.graph, x
 side AS (SELECT graph, r, s, min(node) AS c FROM reach GROUP BY ALL)"""
 
 
-@query("articulation_points", f"WITH RECURSIVE {_LINKS} SELECT graph, r AS node FROM side GROUP BY graph, r HAVING count(DISTINCT c) > 1")
-def articulation_points(spark, sf_dir):
+@query("link_articulation_points", f"WITH RECURSIVE {_LINKS} SELECT graph, r AS node FROM side GROUP BY graph, r HAVING count(DISTINCT c) > 1")
+def link_articulation_points(spark, sf_dir):
     return T.articulation_points(T.biconnected(_links(spark, sf_dir)))
 
 
-@query("biconnected_components", f"""WITH RECURSIVE {_LINKS},
+@query("link_components", f"""WITH RECURSIVE {_LINKS},
 k AS (SELECT graph, least(r, s) * 1000000 + greatest(r, s) AS edge, r, c FROM side),
 met AS (SELECT graph, edge, edge AS other FROM k UNION SELECT m.graph, m.edge, k2.edge FROM met m JOIN k k1 ON k1.graph = m.graph AND k1.edge = m.other JOIN k k2 ON k2.graph = k1.graph AND k2.r = k1.r AND k2.c = k1.c),
 least_ AS (SELECT graph, edge, min(other) AS m FROM met GROUP BY ALL)
 SELECT graph, CAST(dense_rank() OVER (PARTITION BY graph ORDER BY m) - 1 AS INTEGER) AS component, edge // 1000000 AS a, edge % 1000000 AS b FROM least_""")
-def biconnected_components(spark, sf_dir):
+def link_components(spark, sf_dir):
     return T.biconnected(_links(spark, sf_dir))
 
 
-@query("internal_objects")
-def internal_objects(spark, sf_dir):
+@query("link_internal_objects")
+def link_internal_objects(spark, sf_dir):
     links = _links(spark, sf_dir)
     outside = links.where("b % 24 = 0").select("graph", F.col("b").alias("node"))
     return T.internal_objects(T.biconnected(links), outside)
