@@ -29,20 +29,29 @@ def _hex(h1: Column, h2: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
+def repeated(hashes: DataFrame) -> DataFrame:
+    """(h1, h2) of more than one row of ``hashes``, marked for a broadcast if they are few."""
+    counts = written(hashes.select("h1", "h2").groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "buckets")
+    return F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+
+
+def differing(texts: DataFrame) -> DataFrame | None:
+    """(h1, h2) of the buckets of ``texts`` (h1, h2, canon) whose canonical texts differ in their bytes; None if there are none.
+
+    Equal texts of a task move once: the partial aggregate groups by their bytes.
+    """
+    kinds = texts.groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one"))
+    found = written(kinds.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "collisions")
+    return None if found.isEmpty() else found
+
+
 def colliding(rows: DataFrame) -> DataFrame | None:
-    """(h1, h2) of buckets whose canonical texts differ, found by comparing their bytes; None if there are none.
+    """(h1, h2) of buckets of ``rows`` (text, h1, h2) whose canonical texts differ; None if there are none.
 
-    ``rows``: text, h1, h2. Buckets of one row need no comparison, so only the
-    texts of repeated hashes move, and equal texts of a task move once (the
-    partial aggregate groups by their bytes).
+    Buckets of one row need no comparison, so only the texts of repeated hashes move.
     """
-    counts = rows.select("h1", "h2").groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    counts = written(counts, "buckets")
-    many = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     # the canonical text is taken before the join, so that it is made once a row
-    texts = rows.join(many, ["h1", "h2"], "left_semi").select("h1", "h2", canonical(F.col("text")).alias("canon"))
-    found = written(texts.groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one")).groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "collisions")
-    return None if found.isEmpty() else found
+    return differing(rows.join(repeated(rows), ["h1", "h2"], "left_semi").select("h1", "h2", canonical(F.col("text")).alias("canon")))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,35 +115,65 @@ def with_next(rows: DataFrame, order: str, columns: list[str], ties: list[str])
     return placed.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("_g = 0").drop("_r", "_g", "_key")
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with h1, h2 of their canonical texts."""
+    h1, h2 = wide_hash(F.col("canon"))
+    return rows.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
+
+
+def _with_edited(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text and others) with the struct ``next`` of the row that follows, n_chars and the edited text."""
+    both = with_next(rows, "doc_id", rows.columns, ["text"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    return both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half)))
+
+
+def _edited_hashed(rows: DataFrame) -> DataFrame:
+    """:func:`_with_edited` with e1, e2 of the edited text's canonical form, which stays as ``canon``."""
+    e1, e2 = wide_hash(F.col("canon"))
+    return _with_edited(rows).withColumn("canon", canonical(F.col("edited"))).withColumns({"e1": e1, "e2": e2})
+
+
+def _clashes(rows: DataFrame, hashes: DataFrame) -> DataFrame | None:
+    """Buckets of ``hashes`` (of ``rows`` and of their edited texts) whose texts differ in their bytes; None if there are none.
+
+    Of the edited texts only those of repeated hashes are made again: their
+    rows and the rows that follow these are taken by their ids, so each still
+    meets its own successor.
+    """
+    many = repeated(hashes.select("h1", "h2").unionByName(hashes.select(F.col("e1").alias("h1"), F.col("e2").alias("h2"))))
+    met = hashes.join(many, (hashes["e1"] == many["h1"]) & (hashes["e2"] == many["h2"]), "left_semi")
+    wanted = written(met.select(F.explode(F.array("doc_id", "next_id")).alias("_wanted")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    some = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(F.col("_wanted")), "left_semi")
+    own = _hashed(rows).join(many, ["h1", "h2"], "left_semi").select("h1", "h2", canonical(F.col("text")).alias("canon"))
+    edited = _edited_hashed(some).select(F.col("e1").alias("h1"), F.col("e2").alias("h2"), "canon").join(many, ["h1", "h2"], "left_semi")
+    return differing(own.unionByName(edited))
+
+
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, and of the text with its latter half exchanged.
 
     The last floor(n_chars / 2) code points give way to the first as many (or
     all) of the next document's by ascending id; after the last comes the
-    first. Likeness is 1 if the canonical texts are equal, else 0. Rows with
+    first. Fingerprints of texts and of edited texts are equal exactly if the
+    canonical texts are: their bytes are compared wherever hashes are equal.
+    Likeness is 1 if the canonical texts are equal, else 0. Rows with
     equal ids follow one another by text; a null id comes before all others.
     """
-    rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    h1, h2 = wide_hash(F.col("canon"))
-    clash = colliding(rows.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", h1.alias("h1"), h2.alias("h2")))
-    # texts alone move; hashes are taken beside each other afterwards
-    both = with_next(rows, "doc_id", ["text"], ["text"]).withColumn("canon", canonical(F.col("text")))
-    both = both.select("doc_id", "text", "next", h1.alias("h1"), h2.alias("h2")).withColumn("canon", canonical(F.col("next.text")))
-    both = both.select("doc_id", "text", "next", "h1", "h2", h1.alias("n1"), h2.alias("n2")).withColumn("n_chars", F.char_length("text").cast("bigint"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
-    both = both.withColumn("edited", edited)
-    both = both.withColumn("canon", canonical(F.col("edited")))
-    e1, e2 = wide_hash(F.col("canon"))
-    both = both.withColumns({"e1": e1, "e2": e2}).drop("canon")
-    both = named(named(both, "h1", "h2", F.col("text"), "fingerprint", clash), "e1", "e2", F.col("edited"), "edited_fingerprint", clash)
-    same = lambda a, b, x, y: F.when((F.col("h1") == a) & (F.col("h2") == b), F.when(canonical(x) == canonical(y), 1.0).otherwise(0.0)).otherwise(0.0)
-    return both.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        same(F.col("e1"), F.col("e2"), F.col("text"), F.col("edited")).alias("near_edited"),
-        same(F.col("n1"), F.col("n2"), F.col("text"), F.col("next.text")).alias("near_next"),
-    )
+    rows = df.select(df[id_col].cast("bigint").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    # each text is folded once, before it moves; the row before gets its hashes with it
+    both = _edited_hashed(_hashed(rows)).drop("canon").withColumns({"next_id": F.col("next.doc_id"), "n1": F.col("next.h1"), "n2": F.col("next.h2")})
+    fixed = ["doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")]
+    hashes = written(both.select(*fixed, "next_id", "h1", "h2", "e1", "e2", "n1", "n2"), "hashes")
+    clash = _clashes(rows, hashes)
+    edited_equal, next_equal = ((F.col("h1") == F.col(f"{x}1")) & (F.col("h2") == F.col(f"{x}2")) for x in "en")
+    if clash is None:  # equal hashes are equal texts
+        done = hashes.withColumns({"fingerprint": _hex(F.col("h1"), F.col("h2")), "edited_fingerprint": _hex(F.col("e1"), F.col("e2"))})
+    else:
+        edited_equal &= canonical(F.col("text")) == canonical(F.col("edited"))
+        next_equal &= canonical(F.col("text")) == canonical(F.col("next.text"))
+        done = named(named(both, "h1", "h2", F.col("text"), "fingerprint", clash), "e1", "e2", F.col("edited"), "edited_fingerprint", clash)
+        done = done.withColumn("edited_sha256", F.sha2("edited", 256))
+    like = lambda same: F.when(same, 1.0).otherwise(0.0)
+    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like(edited_equal).alias("near_edited"), like(next_equal).alias("near_next"))

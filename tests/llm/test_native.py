@@ -102,6 +102,24 @@ def test_edited_texts(spark):
     assert edited_fingerprints(frame(spark, sample())).count() == len(sample())
 
 
+def test_edited_texts_that_collide_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr("gridloom.llm.fingerprint.wide_hash", lambda c: (F.char_length(c).cast("bigint"), F.lit(1).cast("bigint")))
+    docs = [(1, "abcd"), (2, "xyzw"), (3, "abxy"), (4, "pqrstu"), (5, "pqrstu"), (None, "nothing"), (None, None), (6, "lone text here")]
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    want = {}
+    for k, (_, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want[k] = (t, e, float(e == t), float(after == t))
+    got = edited_fingerprints(frame(spark, docs)).collect()
+    sha = lambda e: hashlib.sha256(e.encode()).hexdigest()
+    assert Counter((r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == Counter((sha(e), a, b) for _, e, a, b in want.values())
+    own = {r["doc_id"]: r["fingerprint"] for r in got}
+    edited = {r["doc_id"]: r["edited_fingerprint"] for r in got}
+    assert edited[1] == own[3] != own[1] and own[4] == own[5] != own[6] and edited[4] != own[4] and len({own[k] for k in (1, 2, 3)}) == 3
+    assert len({*own.values(), *edited.values()} - {own[None], edited[None]}) == len({x for (i, _), (t, e, _, _) in zip(order, want.values(), strict=True) if i is not None for x in (t, e)})
+
+
 def plain_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     tri = Counter(zip(w, w[1:], w[2:]))
