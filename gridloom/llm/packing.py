@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,6 +274,21 @@ def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def _blocked(places: list[tuple[int, int, int, int, int, int]]) -> tuple[dict[int, int], list[tuple[int, ...]]]:
+    """Width of a block of ranks for each length, and each place once for each block (after its length) that it reaches into.
+
+    A length has about as many blocks as places, so there are at most twice as
+    many rows as places, and a piece meets two of them on average, however
+    many patterns hold its length.
+    """
+    total, number = Counter(), Counter()
+    for length, low, high, *_ in places:
+        total[length] += high - low
+        number[length] += 1
+    width = {length: -(-n // number[length]) for length, n in total.items()}
+    return width, [(p[0], block, *p[1:]) for p in places for block in range(p[1] // width[p[0]], (p[2] - 1) // width[p[0]] + 1)]
+
+
 def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ids_crc32, ...).
 
@@ -287,13 +303,16 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     plan = bin_completion({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
-    places = spark.createDataFrame(_places(plan), "length bigint, _low bigint, _high bigint, _seq bigint, _copies bigint, _at bigint")
+    width, blocked = _blocked(_places(plan))
+    places = spark.createDataFrame(blocked, "length bigint, _block bigint, _low bigint, _high bigint, _seq bigint, _copies bigint, _at bigint")
+    widths = spark.createDataFrame(list(width.items()), "length bigint, _width bigint")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
+    shifts = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift")).join(F.broadcast(widths), "length")
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(shifts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_shift"))
-    met = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))).drop(places["length"])
+    ranked = ranked.withColumn("_block", F.expr("_rank DIV _width"))
+    met = ranked.join(F.broadcast(places), ["length", "_block"]).where("_rank >= _low AND _rank < _high")
     nth = F.col("_rank") - F.col("_low")
     met = met.withColumn("sequence_id", F.col("_seq") + F.floor(nth / F.col("_copies"))).withColumn("offset", F.col("_at") + nth % F.col("_copies") * F.col("length"))
     return met.select(*pieces.columns, "sequence_id", "offset")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from gridloom.llm.classifier import FEATURES, features, fit, quality_scores
-from gridloom.llm.packing import _Search, best_fit, bin_completion, pack_documents
+from gridloom.llm.packing import _blocked, _places, _Search, best_fit, bin_completion, pack_documents
 
 SCHEMA = "doc_id bigint, text string, quality int, length int, n_words string"
 
@@ -106,6 +106,22 @@ def test_plan_of_many():
     assert sum(n for _, n in plan) <= 1.001 * lengths.sum() / 2048 and len(plan) < 10_000
 
 
+def test_places_by_blocks_of_ranks():
+    rng = random.Random(9)
+    plan = [((100, *[7] * rng.randint(1, 5)), rng.choice([1, 1, 1, 400])) for _ in range(300)]
+    places = _places(plan)
+    width, blocked = _blocked(places)
+    for length in (100, 7):
+        n = max(p[2] for p in places if p[0] == length)
+        compared, of = 0, [b for b in blocked if b[0] == length]
+        for rank in range(0, n, 97):
+            assert sum(b[1] == rank // width[length] and b[2] <= rank < b[3] for b in of) == 1
+        for block in {b[1] for b in of}:
+            compared += sum(b[1] == block for b in of) * min(width[length], n - block * width[length])
+        assert compared <= 3 * n and len(of) <= 2 * sum(p[0] == length for p in places)
+    assert _blocked([]) == ({}, [])
+
+
 @pytest.mark.parametrize("size", [64, 2048])
 def test_packing(spark, size):
     from tokenizers import Tokenizer
