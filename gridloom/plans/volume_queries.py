@@ -147,7 +147,7 @@ def index_dim(spark, sf_dir):
     return V.index_dim(vox(spark, sf_dir).select("x", "y", "z", "v"), "z", [4, 0, 4, 2])
 
 
-@query("boundary_mask", f"WITH {VOX} SELECT x, y, z, x >= 2 AND x < 19 AND y >= 0 AND y < 17 AND z >= 1 AND z < 24 AS mask FROM vox")
+@query("boundary_mask", f"WITH {VOX}, n AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM vox) SELECT x, y, z, x >= 2 AND x < nx - 1 AND y >= 0 AND y < ny - 3 AND z >= 1 AND z < nz - 1 AS mask FROM vox, n")
 def boundary_mask(spark, sf_dir):
     whole = vox(spark, sf_dir)
     return V.boundary_mask(whole, extent(whole), (2, 0, 1), (1, 3, 1)).select("x", "y", "z", "mask")
