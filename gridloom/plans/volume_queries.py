@@ -134,8 +134,8 @@ def subvolume_split(spark, sf_dir):
     return V.split(vox(spark, sf_dir), (7, 7, 4), (3, 3, 0)).select("cx", "cy", "cz", "rx", "ry", "rz", "v")
 
 
-@query("merge_where_empty", f"""WITH {VOX} SELECT a.x, a.y, a.z, CASE WHEN a.label = 0 AND b.v IS NOT NULL THEN b.v ELSE CASE WHEN a.label = 0 THEN 0 ELSE a.v END END AS v
-FROM vox a LEFT JOIN vox b ON a.x = b.x + 3 AND a.y = b.y AND a.z = b.z""")
+@query("merge_where_empty", f"""WITH {VOX}, holed AS (SELECT x, y, z, CASE WHEN label = 0 THEN 0 ELSE v END AS v FROM vox) SELECT a.x, a.y, a.z, CASE WHEN a.v = 0 AND b.v IS NOT NULL THEN b.v ELSE a.v END AS v
+FROM holed a LEFT JOIN vox b ON a.x = b.x + 3 AND a.y = b.y AND a.z = b.z""")
 def merge_where_empty(spark, sf_dir):
     whole = vox(spark, sf_dir)
     holed = whole.select("x", "y", "z", F.when(F.col("label") == 0, 0.0).otherwise(F.col("v")).alias("v"))

@@ -31,3 +31,8 @@ EVENTS = "SELECT i AS event_id, ['error', 'click', 'view'][i % 3 + 1] AS event_t
 def test_volume_queries_hold_on_more_planes(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, {"events": EVENTS})
     assert got == want
+
+
+def test_a_voxel_of_value_0_is_empty_whatever_its_label(spark, tmp_path):
+    got, want = both(spark, tmp_path, "merge_where_empty", {"events": EVENTS})
+    assert got == want
