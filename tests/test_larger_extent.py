@@ -27,6 +27,10 @@ def both(spark, tmp_path, name, tables):
 EVENTS = "SELECT i AS event_id, ['error', 'click', 'view'][i % 3 + 1] AS event_type, (i * 7 % 50) / 2.0::DOUBLE AS value, (i * 31) % 23 AS user_id FROM range(18000) r(i)"
 
 
+#: Few edges, most of them between users of one block.
+LINES = "SELECT i % 40 AS l_partkey, i % 7 AS l_suppkey, CAST(i % 50 AS DOUBLE) AS l_quantity FROM range(200) r(i)"
+
+
 @pytest.mark.parametrize("name", ["boundary_mask"])
 def test_volume_queries_hold_on_more_planes(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, {"events": EVENTS})
@@ -36,3 +40,9 @@ def test_volume_queries_hold_on_more_planes(spark, tmp_path, name):
 def test_a_voxel_of_value_0_is_empty_whatever_its_label(spark, tmp_path):
     got, want = both(spark, tmp_path, "merge_where_empty", {"events": EVENTS})
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["graph_pcg_ids", "graph_block_neighbours", "graph_block_edges", "graph_dropped", "graph_components"])
+def test_graph_queries_hold_on_more_planes(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, name, {"events": EVENTS, "lineitem": LINES})
+    assert got == want
