@@ -46,3 +46,9 @@ def test_a_voxel_of_value_0_is_empty_whatever_its_label(spark, tmp_path):
 def test_graph_queries_hold_on_more_planes(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, {"events": EVENTS, "lineitem": LINES})
     assert got == want
+
+
+def test_a_value_that_rounds_to_0_has_no_sign(spark, tmp_path):
+    vectors = "SELECT 1 AS vec_id, [-0.5, 0.5, -1e-7, 1e-7]::FLOAT[] AS embedding"
+    got, want = both(spark, tmp_path, "instance_norm", {"embeddings": vectors})
+    assert got == want
