@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import points as P
 
-SEARCHES = {"sq_distances": lambda df, **q: P.pair_distances(df, **q), "knn": lambda df, **q: P.knn(df, 3, **q)}
+SEARCHES = {"sq_distances": lambda df, **q: P.pair_distances(df, **q), "knn": lambda df, **q: P.knn(df, 3, **q), "ball_query": lambda df, **q: P.ball_query(df, 0.3, 4, **q)}
 
 
 @pytest.mark.parametrize("name", SEARCHES)
