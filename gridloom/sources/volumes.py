@@ -62,7 +62,10 @@ def read_range(chunks: DataFrame, chunk: Sequence[int], start: Sequence[int], en
 
 
 def write_chunks(chunks: DataFrame, path: str, resume: bool = False) -> None:
-    """Writes a chunk table by cz; with ``resume`` only chunks that are not there yet."""
+    """Writes a chunk table in ranges of (cz, cy, cx), so that readers skip files and row groups by their bounds; with ``resume`` only chunks that are not there yet.
+
+    There is no folder a cz: their number would grow with the volume, and that of files with its square.
+    """
     spark = chunks.sparkSession
     if resume:
         try:
@@ -72,7 +75,8 @@ def write_chunks(chunks: DataFrame, path: str, resume: bool = False) -> None:
                 raise
         else:
             chunks = chunks.join(there, ["cx", "cy", "cz"], "left_anti")
-    chunks.write.mode("append" if resume else "overwrite").partitionBy("cz").parquet(path)
+    order = ["cz", "cy", "cx"]
+    chunks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append" if resume else "overwrite").parquet(path)
 
 
 def read_equivalences(spark: SparkSession, path: str) -> DataFrame:
