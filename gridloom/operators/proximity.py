@@ -10,22 +10,61 @@ from gridloom.operators.segmentation import connected
 from gridloom.sources.shared import materialized
 
 
+#: Places in a cell, seen from one of them, with which :func:`closest_pairs` begins.
+FEW = 4
+
+
+def _cells_around(df: DataFrame) -> DataFrame:
+    for c in XYZ:
+        df = df.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + d for d in (-1, 0, 1)])))
+    return df
+
+
 def closest_pairs(points: DataFrame, radius: float, group: str = "segment") -> DataFrame:
     """The closest two points (segment, idx, x, y, z) of any two segments within ``radius``: a < b, d2, ia, ib.
 
-    Points meet in cells of the radius, never all with all; of equal distances
-    the least indices are taken.
+    Points of a segment at one place are one. Points meet in cells, at first so
+    small that a cell holds a few places on average; two segments with points
+    nearer than a cell is wide are settled there, and the others meet again in
+    cells of twice the size, up to the radius. Settled segments meet no more,
+    so dense regions make no pairs in wide cells. Of equal distances the least
+    indices are taken.
     """
     r = float(radius)
-    cells = [F.floor(F.col(c) / r).alias(f"c{c}") for c in XYZ]
-    left = points.select(F.col(group).alias("a"), F.col("idx").alias("ia"), *[F.col(c).alias(f"a{c}") for c in XYZ], *cells)
-    right = points.select(F.col(group).alias("b"), F.col("idx").alias("ib"), *[F.col(c).alias(f"b{c}") for c in XYZ], *cells)
-    for c in XYZ:
-        left = left.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + d for d in (-1, 0, 1)])))
-    near = left.join(right, ["cx", "cy", "cz"]).where("a < b")
-    d2 = squared_distance([F.col(f"a{c}") for c in XYZ], [F.col(f"b{c}") for c in XYZ])
-    best = near.withColumn("d2", d2).where(F.col("d2") <= r * r).groupBy("a", "b").agg(F.min(F.struct("d2", "ia", "ib")).alias("m"))
-    return best.select("a", "b", "m.d2", "m.ia", "m.ib")
+    usable = points.dropna(subset=[group, *XYZ])
+    places = materialized(usable.groupBy(F.col(group).alias("segment"), *[F.col(c).cast("double").alias(c) for c in XYZ]).agg(F.min("idx").alias("idx")), "places")
+    size, spots = r, places.select(*XYZ).distinct()
+    for _ in range(20):
+        cells = spots.groupBy(*[F.floor(F.col(c) / size) for c in XYZ]).agg(F.count("*").alias("n"))
+        # the mean number of places that a place finds in its own cell
+        full = cells.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()[0]
+        if full is None or full <= FEW:
+            break
+        size /= 2
+    found = None
+    while True:
+        size = min(size, r)
+        at = [F.floor(F.col(c) / size).alias(f"c{c}") for c in XYZ]
+        left = places.select(F.col("segment").alias("a"), F.col("idx").alias("ia"), *[F.col(c).alias(f"a{c}") for c in XYZ], *at)
+        right = places.select(F.col("segment").alias("b"), F.col("idx").alias("ib"), *[F.col(c).alias(f"b{c}") for c in XYZ], *at)
+        left = _cells_around(left)
+        near = left.join(right, ["cx", "cy", "cz"]).where("a < b")
+        if found is not None:  # segments that share a cell's surroundings and are not settled, first by the cells that they lie in
+            lone = left.select("a", "cx", "cy", "cz").distinct().join(right.select("b", "cx", "cy", "cz").distinct(), ["cx", "cy", "cz"]).where("a < b")
+            lone = materialized(lone.join(found.select("a", "b"), ["a", "b"], "left_anti"), "open")
+            if lone.isEmpty():
+                if size >= r:
+                    return found
+                size *= 2
+                continue
+            near = left.join(lone, ["a", "cx", "cy", "cz"]).join(right, ["b", "cx", "cy", "cz"])
+        d2 = squared_distance([F.col(f"a{c}") for c in XYZ], [F.col(f"b{c}") for c in XYZ])
+        met = near.select("a", "b", "ia", "ib", d2.alias("d2")).where(F.col("d2") <= size * size)
+        best = materialized(met.groupBy("a", "b").agg(F.min(F.struct("d2", "ia", "ib")).alias("m")).select("a", "b", "m.d2", "m.ia", "m.ib"), "closest")
+        found = best if found is None else found.unionByName(best)
+        if size >= r:
+            return found
+        size *= 2
 
 
 def shortest_forest(pairs: DataFrame) -> DataFrame:
