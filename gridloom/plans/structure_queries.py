@@ -10,10 +10,12 @@ from gridloom.operators import segmentation as S
 from gridloom.operators import trees as T
 from gridloom.plans.catalog import query
 from gridloom.plans.views import cloud, table, vox
+from gridloom.sources.shared import materialized
 
 
 def _regions(spark, sf_dir):
     touching = S.region_adjacency(vox(spark, sf_dir).withColumn("label", F.col("user_id"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    touching = materialized(touching, "touching")  # the voxels meet once; what follows is as large as the labels' pairs
     parts = S.connected(touching).select(F.col("node").alias("a"), F.col("component").alias("graph"))
     return touching.join(parts, "a").select("graph", "a", "b")
 
