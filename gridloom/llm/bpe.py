@@ -80,6 +80,9 @@ class ByteBPE:
         self._keys, self._ranks = keys[order], order.astype(np.int32)
         self._merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self._pair = {int(k): int(r) for k, r in zip(self._keys, self._ranks, strict=True)}
+        # some vocabularies mark the last byte of a word
+        end = model.get("end_of_word_suffix")
+        self.last_id = np.array([vocab[c + end] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], dtype=np.int32) if end else None
         both = np.arange(256)
         self._first = self._rank(np.repeat(self.byte_id[both], 256), np.tile(self.byte_id[both], 256))
         self._decimal, self._decimal_in = self._padded([b"%d," % k for k in range(size)], 8)
@@ -111,6 +114,11 @@ class ByteBPE:
         ranks = self._first[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]
         col = np.arange(width, dtype=np.int32)[None, :]
         ranks[col[:, :-1] >= (size - 1)[:, None]] = NONE
+        if self.last_id is not None:
+            at = np.arange(n)
+            parts[at, size - 1] = self.last_id[raw[at, size - 1]]
+            two = at[size > 1]
+            ranks[two, size[two] - 2] = self._rank(parts[two, size[two] - 2], parts[two, size[two] - 1])
         done, sizes, live = np.zeros_like(parts), size.copy(), np.arange(n)
         while True:
             at = ranks.argmin(1).astype(np.int32)
@@ -138,6 +146,8 @@ class ByteBPE:
 
     def _long(self, word: bytes) -> list[int]:
         ids = [int(self.byte_id[b]) for b in word]
+        if self.last_id is not None:
+            ids[-1] = int(self.last_id[word[-1]])
         n = len(ids)
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         get = self._pair.get

@@ -2,44 +2,79 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import Numbers, blocks
+from gridloom.llm.bpe import ByteBPE, Numbers, blocks
 from gridloom.llm.common import TEXTS_A_BATCH, written
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+#: Chunks of these characters alone (lower-cased) are no other text by normalisation, and their letters and digits are ranges.
+_PLAIN = re.compile("[!-~\xdf-\xf6\xf8-\xff]+")
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
 class WordEncoder:
     """Ids by a tokenizers file, a white-space separated chunk at a time.
 
-    Chunks between ASCII white space are encoded by the library once and
-    remembered (at most ``cache`` of them between blocks). It suits
-    tokenizers that fold case, drop white space and look at nothing across it.
+    Chunks between ASCII white space are encoded once and remembered (at most
+    ``cache`` of them between blocks). It suits tokenizers that fold case, drop
+    white space and look at nothing across it. Where the file's own rules are
+    those of ``word_bpe_49k.json``, chunks of plain letters, digits and signs
+    are cut into its pieces, which are merged many at a time
+    (:class:`gridloom.llm.bpe.ByteBPE`); all others go to the library.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
         self._model.no_truncation()
         self._model.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._merges = ByteBPE(path) if _known(spec) else None
         self._cache = cache
         self._forget()
 
     def _forget(self) -> None:
-        self._number = Numbers()
-        self._flat, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._number, self._piece = Numbers(), Numbers()
+        self._flat, self._starts, self._sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._parts, self._part_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _merged(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks one after the other, and the number of each."""
+        pieces = [_WORD.findall(c) for c in chunks]
+        each = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ks = np.fromiter(map(self._piece.__getitem__, chain.from_iterable(pieces)), np.int64, int(each.sum()))
+        if self._piece.new:
+            flat, sizes = self._merges.encode_words([p.encode() for p in self._piece.new])
+            self._parts, self._part_sizes = np.append(self._parts, flat), np.append(self._part_sizes, sizes)
+            self._piece.new = []
+        n = self._part_sizes[ks]
+        return _gathered(self._parts, (np.cumsum(self._part_sizes) - self._part_sizes)[ks], n), np.add.reduceat(n, np.cumsum(each) - each)
+
+    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [np.zeros(0, np.int32)], []
+        for lo in range(0, len(chunks), 20_000):
+            ids = [e.ids for e in self._model.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)]
+            sizes += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        return np.concatenate(flat), np.array(sizes, np.int64)
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self._number) > self._cache:
@@ -51,17 +86,38 @@ class WordEncoder:
             used.append(np.fromiter(map(number, found), np.int64, len(found)))
         new = [c.decode("utf-8", errors="replace") for c in self._number.new]
         self._number.new = []
-        for lo in range(0, len(new), 20_000):
-            ids = [e.ids for e in self._model.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
-            self._sizes = np.append(self._sizes, [len(x) for x in ids])
-            self._flat = np.append(self._flat, np.fromiter((t for x in ids for t in x), np.int64))
-        starts, out = np.cumsum(self._sizes) - self._sizes, []
-        for ks in used:
-            n = self._sizes[ks].astype(np.int64)
-            ends = np.cumsum(n)
-            at = np.repeat((starts[ks] - (ends - n)).astype(np.int64), n) + np.arange(int(n.sum()))
-            out.append(self._flat[at])
-        return out
+        plain, other = [], []
+        for k, c in enumerate(new):
+            if self._merges is not None and _PLAIN.fullmatch(low := c.lower()) and "<|" not in c:
+                plain.append((k, low))
+            else:
+                other.append((k, c))
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        for chunks, encode in ((plain, self._merged), (other, self._library)):
+            if chunks:
+                at = [k for k, _ in chunks]
+                flat, n = encode([c for _, c in chunks])
+                starts[at], sizes[at] = len(self._flat) + np.cumsum(n) - n, n
+                self._flat = np.append(self._flat, flat)
+        self._starts, self._sizes = np.append(self._starts, starts), np.append(self._sizes, sizes)
+        return [_gathered(self._flat, self._starts[ks], self._sizes[ks]) for ks in used]
+
+
+def _known(spec: dict) -> bool:
+    """Whether a tokenizers file is of the kind whose plain chunks :class:`WordEncoder` cuts by itself."""
+    model, steps = spec["model"], spec.get("pre_tokenizer") or {}
+    rules = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [(p.get("type"), (p.get("pattern") or {}).get("Regex"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in steps.get("pretokenizers", [])]
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    plain_model = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+    special = all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    return plain_model and special and rules == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", pattern, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``n`` from ``starts``, one after the other."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def tokenised_pieces(df: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from gridloom.llm.classifier import FEATURES, features, fit, quality_scores
-from gridloom.llm.packing import _blocked, _places, _Search, best_fit, bin_completion, pack_documents
+from gridloom.llm.packing import WordEncoder, _blocked, _places, _Search, best_fit, bin_completion, pack_documents
 
 SCHEMA = "doc_id bigint, text string, quality int, length int, n_words string"
 
@@ -186,3 +187,19 @@ def test_a_search_that_ends_by_itself_is_optimal():
         ended += not search.cut
         assert search.cut or bins == fewest(list(items.elements()), size)
     assert ended == 150
+
+
+def test_word_encoder_merges_plain_chunks_as_the_library_does(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(7)
+    signs = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x250), 0x301, 0x3B1, 0x660, 0x2028, 0x212A, 0]] + ["'s", "'ll", "<|endoftext|>", "<|", "</w>"]
+    plain = ["".join(rng.choice("abcdeinorst\xe9\xdf") for _ in range(rng.randint(1, 60))) + rng.choice(["", ".", ",&&", "7", "'s"]) for _ in range(400)]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(x[k::20]) for x in (plain, odd) for k in range(20)]
+    ours, library, asked = WordEncoder(path), Tokenizer.from_file(path), []
+    known = ours._library
+    monkeypatch.setattr(ours, "_library", lambda chunks: asked.extend(chunks) or known(chunks))
+    for _ in range(2):
+        got = ours.encode_batch([t.encode() for t in texts])
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 2000 and not set(plain) & set(asked)
