@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ PROBES_LINK = 100
 BUFFER = 1 << 21
 #: Leaders of a block that meets a block of four times as many members in one task: 4 MB of bitmaps where sets have hundreds of tokens, 64 MB at most.
 BLOCK = 1 << 12
+#: Pairs of leaders and members that a task lists before it tests them.
+PAIRS_AT_ONCE = 1 << 19
 #: Above so many ids, texts to verify are found by a shuffle and not a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -551,12 +554,6 @@ def most_shared(m: int, n: int, x: bytes, y: bytes) -> int:
     return min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
 
 
-def _stacked(small: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, sizes and bitmaps (as words) by the number of words of a bitmap."""
-    words = np.array([(len(x) - 8) // 8 for x in small])
-    return {int(w): (at, np.array([int.from_bytes(small[i][:8], "little") for i in at]), np.frombuffer(b"".join(small[i][8:] for i in at), np.uint64).reshape(len(at), w)) for w in np.unique(words) for at in [np.flatnonzero(words == w)]}
-
-
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     while bits.shape[1] > words:
         half = bits.shape[1] // 2
@@ -564,31 +561,75 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def possible(first: list[bytes], second: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two lists of sized bitmaps that may link, by :func:`most_shared`."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    right = _stacked(second)
-    for v, (at, n, bits) in _stacked(first).items():
-        for w, (to, m, other) in right.items():
-            mine, theirs = _folded(bits, min(v, w)), _folded(other, min(v, w))
-            for i in range(len(at)):
-                fits = np.flatnonzero(100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m))
-                if not len(fits):
-                    continue
-                t = theirs[fits]
-                most = np.minimum(n[i] - np.bitwise_count(mine[i] & ~t).sum(axis=1, dtype=np.int64), m[fits] - np.bitwise_count(t & ~mine[i]).sum(axis=1, dtype=np.int64))
-                ok = fits[100 * most >= percent * (n[i] + m[fits] - most)]
-                a.append(np.full(len(ok), at[i]))
-                b.append(to[ok])
-    return np.concatenate(a), np.concatenate(b)
+class _Bitmaps:
+    """Sized bitmaps by their sets' names, and the tests of their pairs many at a time."""
+
+    #: Pairs that are tested at once, by words of their bitmaps.
+    WORDS = 1 << 20
+
+    def __init__(self, percent: int):
+        self.percent, self.place, self.small, self.stack = percent, {}, [], None
+
+    def __len__(self) -> int:
+        return len(self.small)
+
+    def add(self, nodes: list[int], small: list[bytes]) -> np.ndarray:
+        """Where the bitmaps of ``nodes`` stand."""
+        out = np.empty(len(nodes), np.int64)
+        for k, node in enumerate(nodes):
+            at = self.place.setdefault(node, len(self.small))
+            if at == len(self.small):
+                self.small.append(small[k])
+                self.stack = None
+            out[k] = at
+        return out
+
+    def _stacked(self) -> None:
+        words = np.array([(len(x) - 8) // 8 for x in self.small])
+        self.words, self.row, self.stack = words, np.empty(len(words), np.int64), {}
+        self.n = np.array([int.from_bytes(x[:8], "little") for x in self.small])
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            self.row[at] = np.arange(len(at))
+            bits = np.frombuffer(b"".join(self.small[i][8:] for i in at), np.uint64).reshape(len(at), w)
+            # a quarter of the bits first: it tells most pairs of different sets apart
+            self.stack[w] = (_folded(bits, max(1, w // 4)), bits)
+
+    def _passing(self, a: np.ndarray, b: np.ndarray, fine: int) -> np.ndarray:
+        ok = np.zeros(len(a), bool)
+        kinds = self.words[a] << 32 | self.words[b]
+        for kind in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == kind)
+            x, y = self.stack[kind >> 32][fine], self.stack[kind & 2**32 - 1][fine]
+            w = min(x.shape[1], y.shape[1])
+            step = max(1, self.WORDS // max(x.shape[1], y.shape[1]))
+            for lo in range(0, len(mine), step):
+                at = mine[lo : lo + step]
+                p, q = a[at], b[at]
+                u, v = _folded(x[self.row[p]], w), _folded(y[self.row[q]], w)
+                m, n = self.n[p], self.n[q]
+                both = np.bitwise_count(u & v).sum(axis=1, dtype=np.int64)
+                most = np.minimum(m - np.bitwise_count(u).sum(axis=1, dtype=np.int64), n - np.bitwise_count(v).sum(axis=1, dtype=np.int64)) + both
+                ok[at] = 100 * most >= self.percent * (m + n - most)
+        return ok
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of places that may link, by :func:`most_shared`."""
+        if self.stack is None:
+            self._stacked()
+        for fine in (0, 1):
+            ok = self._passing(a, b, fine)
+            a, b = a[ok], b[ok]
+        return a, b
 
 
 def met_in_blocks(leaders: DataFrame, members: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of ``leaders`` (group, node) and ``members`` (group, node) of a group that may link by their bitmaps.
+    """a, b: the pairs of ``leaders`` and ``members`` (group, node, label) of a group, of different labels, that may link by their bitmaps.
 
     Both are dealt into blocks (BLOCK); a block of leaders meets a
     block of members in one task, as arrays, and only pairs that pass become
-    rows. A row is sent once for each block that it meets.
+    rows. A row is sent once for each block that it meets. Pairs of small
+    groups are tested together.
     """
     n_leaders = leaders.groupBy("group").agg(F.count("*").alias("leaders"))
     n_members = members.groupBy("group").agg(F.count("*").alias("members"))
@@ -596,33 +637,58 @@ def met_in_blocks(leaders: DataFrame, members: DataFrame, small: DataFrame, perc
     sizes = written(sizes, "blocks")
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    lead = leaders.join(sizes, "group").select("group", own(F.col("nl")).alias("l"), every(F.col("nm")).alias("m"), F.lit(0).alias("side"), "node")
-    rest = members.join(sizes, "group").select("group", every(F.col("nl")).alias("l"), own(F.col("nm")).alias("m"), F.lit(1).alias("side"), "node")
-    rows = lead.unionByName(rest).join(small, "node").select("group", "l", "m", "side", "node", "small")
+    lead = leaders.join(sizes, "group").select("group", own(F.col("nl")).alias("l"), every(F.col("nm")).alias("m"), F.lit(0).alias("side"), "node", "label")
+    rest = members.join(sizes, "group").select("group", every(F.col("nl")).alias("l"), own(F.col("nm")).alias("m"), F.lit(1).alias("side"), "node", "label")
+    rows = lead.unionByName(rest).join(small, "node").select("group", "l", "m", "side", "node", "label", "small")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "group", "l", "m").sortWithinPartitions("group", "l", "m", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, ([], [], [], [])  # of leaders, then of members: nodes and bitmaps
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held[0] and held[2]:
-                x, y = possible(held[1], held[3], percent)
-                p, q = np.array(held[0], np.int64)[x], np.array(held[2], np.int64)[y]
-                fine = p != q
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q)[fine], "b": np.maximum(p, q)[fine]})
+        store, block, held, waiting, count = _Bitmaps(percent), None, ([], [], [], [], [], []), [], 0
+        size = lambda small: np.array([int.from_bytes(x[:8], "little") for x in small], np.int64)
+
+        def tested() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, count
+            if count:
+                names = np.fromiter(store.place, np.int64, len(store))
+                x, y = store.possible(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                p, q = names[x], names[y]
+                found = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0)
+                if len(found):
+                    yield pa.RecordBatch.from_pydict({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
+            waiting, count = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:  # held: nodes, labels and bitmaps of leaders, then of members
+            nonlocal store, count
+            if not held[0] or not held[3]:
+                return
+            x, y = store.add(held[0], held[2]), store.add(held[3], held[5])
+            label, other = np.array(held[1], np.int64), np.array(held[4], np.int64)
+            n, m = size(held[2]), size(held[5])
+            for lo in range(0, len(x), max(1, PAIRS_AT_ONCE // len(y))):
+                part = slice(lo, lo + max(1, PAIRS_AT_ONCE // len(y)))
+                one = n[part, None]
+                i, j = np.nonzero((label[part, None] != other) & (100 * np.minimum(one, m) >= percent * np.maximum(one, m)))
+                waiting.append((x[part][i], y[j]))
+                count += len(i)
+                if count >= PAIRS_AT_ONCE:
+                    yield from tested()
+            if len(store) > BLOCK:
+                yield from tested()
+                store = _Bitmaps(percent)
 
         for batch in batches:
-            for g, left, m, side, node, bits in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "m", "side", "node", "small")), strict=True):
+            for g, left, m, side, node, label, bits in zip(*(batch.column(c).to_pylist() for c in ("group", "l", "m", "side", "node", "label", "small")), strict=True):
                 if (g, left, m) != block:
                     yield from flush()
-                    block, held = (g, left, m), ([], [], [], [])
-                elif side and len(held[2]) >= 8 * BLOCK:  # hashes deal unevenly, and a block may be larger than meant
+                    block, held = (g, left, m), ([], [], [], [], [], [])
+                elif side and len(held[3]) >= 8 * BLOCK:  # hashes deal unevenly, and a block may be larger than meant
                     yield from flush()
-                    held = (held[0], held[1], [], [])
-                held[2 * side].append(node)
-                held[2 * side + 1].append(bits)
+                    held = (*held[:3], [], [], [])
+                for column, value in zip(held[3 * side : 3 * side + 3], (node, label, bits), strict=True):
+                    column.append(value)
         yield from flush()
+        yield from tested()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -675,28 +741,28 @@ def _residual(long: DataFrame, labels: DataFrame, small: DataFrame, percent: int
     named = written(long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
     groups = written(named.groupBy("key", "label").agg(F.count("*").alias("members")), "groups")
     lists = groups.groupBy("key").agg(F.sum("members").alias("m"), F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("groups"))
-    open_ = written(lists.where("groups > 1").select("key", "m", F.col("top.label").alias("top"), (F.col("m") - F.col("top.members")).alias("others")), "open")
+    open_ = lists.where("groups > 1").select("key", "m", "groups", F.col("top.label").alias("top"), F.col("top.members").alias("most"), (F.col("m") - F.col("top.members")).alias("others"))
+    open_ = written(open_, "open")
     if open_.isEmpty():
         return None
     share = F.ceil(F.col("others") / F.greatest(F.lit(LEADERS << 2 * min(turn, 12)), F.lit(PAIRS_A_LIST) / F.col("m")))
     met = named.join(open_, "key").withColumn("leads", (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0))
-    met = written(met.select("key", "node", "meta", "label", "leads"), "met")
-    lead = met.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-    reached = written(lead.join(groups, "key").where("label <> leader_label"), "reached")
-    # a leader that would meet a group more often on its lists than the group has members meets each of them once instead
+    met = written(met.select("key", "node", "meta", "label", "top", "most", "groups", "leads"), "met")
+    lead = met.where("leads")
+    # a leader that would meet a group more often, as the largest of its lists, than the group has members meets each of them once instead
     nodes = written(met.select("node", "label").distinct(), "nodes")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
-    ways = reached.groupBy("leader", "label").agg(F.sum("members").alias("rows"))
-    ways = written(ways.join(sizes, "label").withColumn("whole", F.col("rows") > F.col("size")), "ways")
-    whole = ways.where("whole").select(F.struct(F.lit(0).cast("bigint").alias("key"), F.col("label").alias("with")).alias("group"), F.col("leader").alias("node"))
-    few = reached.join(ways.where("NOT whole").select("leader", "label"), ["leader", "label"], "left_semi").select("key", "leader", F.col("label").alias("with"))
-    few = few.select(F.struct("key", "with").alias("group"), F.col("leader").alias("node"))
-    all_ = nodes.select(F.struct(F.lit(0).cast("bigint").alias("key"), F.col("label").alias("with")).alias("group"), "node")
-    listed = met.select(F.struct("key", F.col("label").alias("with")).alias("group"), "node")
-    leaders = [written(x.withColumn("group", F.xxhash64("group", F.lit(k))), "leaders") for k, x in enumerate((whole, few))]
-    members = [x.withColumn("group", F.xxhash64("group", F.lit(k))) for k, x in enumerate((all_, listed))]
+    ways = lead.groupBy("node", "label", "top").agg(F.sum("most").alias("rows"))
+    ways = written(ways.join(sizes.withColumnRenamed("label", "top"), "top").withColumn("whole", F.col("rows") > F.col("size")), "ways")
+    hashed = lambda kind, column: F.xxhash64(F.lit(kind), F.col(column)).alias("group")
+    listed = lead.join(ways.where("NOT whole").select("node", "top"), ["node", "top"], "left_semi")
+    leaders = [ways.where("whole").select(hashed(0, "top"), "node", "label"), listed.select(hashed(1, "key"), "node", "label"), lead.where("groups > 2").select(hashed(2, "key"), "node", "label")]
+    leaders = [written(x, "leaders") for x in leaders]
+    # all of a group, the largest group of a list, and the others of a list, which meet as one
+    members = [nodes.select(hashed(0, "label"), "node", "label"), met.where("label = top").select(hashed(1, "key"), "node", "label"), met.where("label <> top AND groups > 2").select(hashed(2, "key"), "node", "label")]
     members = [x.join(y.select("group").distinct(), "group", "left_semi") for x, y in zip(members, leaders, strict=True)]
-    pairs = met_in_blocks(leaders[0].unionByName(leaders[1]), written(members[0].unionByName(members[1]), "members"), small, percent)
+    both = [reduce(DataFrame.unionByName, x) for x in (leaders, members)]
+    pairs = met_in_blocks(both[0], written(both[1], "members"), small, percent)
     return written(pairs.distinct(), "pairs"), met.where("NOT leads").select("key", "node", "meta")
 
 

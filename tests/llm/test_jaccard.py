@@ -159,3 +159,19 @@ def test_a_very_long_text_and_many_copies(spark):
     docs = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, long[: len(long) // 2])] + [(k, "one and the same text of several words") for k in range(10, 400)]
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], SCHEMA).repartition(4)
     assert {r["doc_id"]: r["component_id"] for r in jaccard_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4} | dict.fromkeys(range(10, 400), 10)
+
+
+def test_leaders_meet_lists_and_not_each_group_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = {n: np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for n in range(50)}
+    sets[50] = np.append(sets[7][:-1], np.uint64(5))  # the one pair that may link
+    entries = [(key, n, len(s)) for key in range(6) for n, s in sets.items()]
+    long = spark.createDataFrame(entries, "key bigint, node bigint, meta bigint")
+    small = spark.createDataFrame([(n, len(s).to_bytes(8, "little") + bitmap(s)) for n, s in sets.items()], "node bigint, small binary")
+    labels = spark.createDataFrame([(3, 2), (2, 2), (4, 2)], "node bigint, label bigint")
+    sent, real = [], jaccard.met_in_blocks
+    monkeypatch.setattr(jaccard, "met_in_blocks", lambda a, b, *rest: sent.append(a.count() + b.count()) or real(a, b, *rest))
+    pairs, left = jaccard._residual(long, labels, small, 75, 0)
+    assert [tuple(r) for r in pairs.collect()] == [(7, 50)]
+    assert left.count() == 6 * 3  # all but the largest group have led
+    assert sent[0] <= 3 * len(entries)  # before: a row for each leader and group that it shares a list with
