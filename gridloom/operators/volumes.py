@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.filters import box
 
 AXES = ("x", "y", "z")
+#: Voxels along each axis of the blocks that windows are cut from, and voxels of windows that are cut at once.
+WINDOW_BLOCK = 32
+WINDOWS_AT_ONCE = 1 << 18
 
 
 def finite(c: Column) -> Column:
@@ -162,9 +167,88 @@ def laplacian(df: DataFrame, value: str = "v") -> DataFrame:
 
 
 def objects_context(vox: DataFrame, centres: DataFrame, width: Sequence[int], value: str = "v") -> DataFrame:
-    """The window of ``width`` around each object's centre (object, x, y, z): object, dx, dy, dz, value; 0 where the volume has no voxel."""
-    out = centres
-    for a, n in zip(AXES, width, strict=True):
-        out = out.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-(n // 2)), F.lit(n - n // 2 - 1)))).withColumn(a, F.col(a) + F.col(f"d{a}"))
-    met = out.join(vox.select(*AXES, value), list(AXES), "left")
-    return met.select("object", "dx", "dy", "dz", F.coalesce(value, F.lit(0.0)).alias(value))
+    """The window of ``width`` around each object's centre (object, x, y, z): object, dx, dy, dz, value; 0 where the volume has no voxel.
+
+    Voxels are sent to the block that holds them and to those whose centres
+    see them, centres to their own; windows are cut out there, as one array a
+    centre, and become rows without a further exchange. Centres are streamed,
+    so a task holds one block of voxels. Of several voxels at one place each
+    gives a row.
+    """
+    blocks = [max(WINDOW_BLOCK, n) for n in width]
+    low, high = [-(n // 2) for n in width], [n - n // 2 - 1 for n in width]
+    at = [F.col(a).cast("bigint").alias(a) for a in AXES]
+    kind, number = centres.schema["object"].dataType.simpleString(), F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    given = vox.dropna(subset=list(AXES)).select(*at, number.alias("v"))
+    sent = given
+    for a, n, lo, hi in zip(AXES, blocks, low, high, strict=True):
+        sent = sent.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - hi) / n), F.floor(F.col(a) / n), F.floor((F.col(a) - lo) / n)))))
+    keys = [f"b{a}" for a in AXES]
+    voxels = sent.select(*keys, F.lit(0).alias("side"), *AXES, "v", F.lit(None).cast(kind).alias("object"))
+    own = [F.coalesce(F.floor(F.col(a) / n), F.lit(0).cast("bigint")).alias(f"b{a}") for a, n in zip(AXES, blocks, strict=True)]
+    asking = centres.select(*own, F.lit(1).alias("side"), *at, F.lit(None).cast("double").alias("v"), "object")
+    rows = voxels.unionByName(asking).repartition(int(vox.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side")
+    steps = np.stack(np.meshgrid(*[np.arange(lo, hi + 1) for lo, hi in zip(low, high, strict=True)], indexing="ij"), -1).reshape(-1, 3)
+    few = max(1, WINDOWS_AT_ONCE // len(steps))
+    span = [n + hi - lo for n, lo, hi in zip(blocks, low, high, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+
+        def indexed() -> tuple[np.ndarray, np.ndarray]:
+            """Places within the block and what its centres see, in order, and their values."""
+            place, v = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0))
+            order = np.argsort(place, kind="stable")
+            return place[order], v[order]
+
+        def windows(objects: pa.Array, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+            place, v = index
+            seen = numbered(p[:, None, :] + steps)
+            first = np.searchsorted(place, seen)
+            most = np.searchsorted(place, seen, "right") - first
+            for k in range(max(1, int(most.max(initial=0)))):
+                there = most > k
+                cut = np.zeros(seen.shape)
+                cut[there] = v[first[there] + k]
+                # a further voxel at a place gives a row where there is one; the first always does
+                missing = None if k == 0 else ~there.ravel()
+                flat = pa.array(cut.ravel(), mask=missing)
+                yield pa.RecordBatch.from_pydict({"object": objects, "v": pa.ListArray.from_arrays(pa.array(np.arange(0, cut.size + 1, len(steps)), pa.int32()), flat)})
+
+        def numbered(p: np.ndarray) -> np.ndarray:
+            out = np.zeros(p.shape[:-1], np.int64)
+            for k in range(3):
+                out = out * span[k] + (p[..., k] - block[k] * blocks[k] - low[k])
+            return out
+
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+            side = batch.column("side").to_numpy()
+            lost = np.logical_or.reduce([np.asarray(batch.column(a).is_null()) for a in AXES])
+            p = np.stack([batch.column(a).fill_null(0).to_numpy() for a in AXES], 1)
+            change = (key[1:] != key[:-1]).any(1) | (side[1:] != side[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if block is None or (key[lo] != block).any():
+                    block, held, index = key[lo], [], None
+                if side[lo] == 0:
+                    held.append((numbered(p[lo:hi]), batch.column("v").slice(lo, hi - lo).to_numpy()))
+                    continue
+                if index is None:
+                    index = indexed()
+                for part, far in ((np.flatnonzero(~lost[lo:hi]) + lo, 0), (np.flatnonzero(lost[lo:hi]) + lo, 1)):
+                    for k in range(0, len(part), few):
+                        some = part[k : k + few]
+                        objects = batch.column("object").take(pa.array(some))
+                        if far:  # a centre without a place sees nothing
+                            yield pa.RecordBatch.from_pydict({"object": objects, "v": pa.array([[0.0] * len(steps)] * len(some), pa.list_(pa.float64()))})
+                        else:
+                            yield from windows(objects, p[some])
+
+    cut = rows.mapInArrow(run, f"object {kind}, v array<double>").select("object", F.posexplode("v").alias("_k", value)).where(F.col(value).isNotNull())
+    ny, nz = width[1], width[2]
+    offset = lambda c, n, lo: (c % n + lo).cast("int")
+    dx, dy, dz = F.expr(f"_k div {ny * nz}"), F.expr(f"_k div {nz}"), F.col("_k")
+    return cut.select("object", offset(dx, width[0], low[0]).alias("dx"), offset(dy, ny, low[1]).alias("dy"), offset(dz, nz, low[2]).alias("dz"), value)

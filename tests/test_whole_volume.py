@@ -2,11 +2,13 @@
 
 import datetime
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from gridloom.operators import volumes as V
 from gridloom.plans.views import TYPES
 
 SHAPE = (9, 20, 20)  # z, y, x: more planes than any query's SQL looks at
@@ -93,3 +95,23 @@ def test_objects_context(spark, volume):
             inside = all(0 <= c < n for c, n in zip(at, SHAPE, strict=True))
             want[(z * 20 + y) * 20 + x, i, j, k] = v[at] if inside else 0.0
     assert got == want
+
+
+def test_objects_context_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "WINDOW_BLOCK", 3)
+    monkeypatch.setattr(V, "WINDOWS_AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    voxels = [(int(x), int(y), int(z), float(v) if v > 0.1 else None) for x, y, z, v in zip(*rng.integers(-6, 7, (3, 400)), rng.random(400))]  # gaps, and several voxels at some places
+    centres = [(f"o{k}", *map(int, rng.integers(-8, 9, 3))) for k in range(60)] + [("far", 99, 0, 0), ("lost", None, 1, 1), (None, 0, 0, 0)]
+    vox = spark.createDataFrame(voxels, "x bigint, y bigint, z bigint, v double").repartition(3)
+    out = V.objects_context(vox, spark.createDataFrame(centres, "object string, x bigint, y bigint, z bigint"), (4, 3, 1))
+    want = Counter()
+    held = {}
+    for x, y, z, v in voxels:
+        held.setdefault((x, y, z), []).append(v or 0.0)
+    for o, x, y, z in centres:
+        for i, j in itertools.product(range(-2, 2), range(-1, 2)):
+            for v in held.get((x + i, y + j, z), [0.0]) if x is not None else [0.0]:
+                want[o, i, j, 0, v] += 1
+    assert Counter(map(tuple, out.collect())) == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # before: every voxel of every window went through an exchange
