@@ -83,3 +83,23 @@ def test_curve_order_and_back(spark):
     ordered = sorted(rows, key=lambda r: r["idx"])
     assert [by_rank[r["rank"]]["idx"] for r in ordered] == [r["idx"] for r in ordered] and [r["place"] for r in ordered] == list(range(16))
     assert all(ordered[r["place"]]["idx"] == r["idx"] for r in rows)
+
+
+@pytest.mark.parametrize("tile, worn, grown", [(8, 1, 1), (8, 1, 10), (64, 1, 1)])
+def test_contour_mask_in_tiles(spark, monkeypatch, tile, worn, grown):
+    monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "PLANES", 2)
+    rng = np.random.default_rng(3)
+    x, y = np.indices((27, 21))
+    planes = [np.where((abs(np.hypot(x - 13, y - 10) - r) < 2.5) & ((y < 17) | (r != 6)), 80.0, 20.0) + rng.normal(0, 9, x.shape) for r in (6, 8, 4)]
+    df = spark.createDataFrame([(int(i), int(j), z, float(p[i, j])) for z, p in enumerate(planes) for i, j in np.ndindex(*p.shape)], "x bigint, y bigint, z bigint, v double").repartition(3)
+    out = C.contour_mask(df, (27, 21, 3), (0, 0), 2, worn, grown)
+    got = np.zeros((3, 27, 21), bool)
+    rows = out.collect()
+    for r in rows:
+        got[r["z"], r["x"], r["y"]] = r["mask"]
+    assert len(rows) == 3 * 27 * 21
+    for z, p in enumerate(planes):
+        assert np.array_equal(got[z], plain_mask(p, (0, 0), 2, worn, grown))
+    assert any(plain_mask(p, (0, 0), 2, worn, grown).any() for p in planes)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # before: windows along lines exchanged all voxels
