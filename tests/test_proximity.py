@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import points as Q
 from gridloom.operators import proximity as P
@@ -68,3 +69,15 @@ def test_segment_graph_of_far_parts(spark, radius):
     assert got == sorted(want) and len(got) == 13
     with pytest.raises(ValueError):
         P.segment_graph(df, 0.0)
+
+
+def test_knn_of_a_dense_middle(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(0, 0.01, (600, 3)), rng.uniform(-5, 5, (30, 3))])  # cells for the whole would hold the middle at once
+    df = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(p)], "cloud int, idx bigint, x double, y double, z double")
+    widths, real = [], Q._spread_cells
+    monkeypatch.setattr(Q, "_spread_cells", lambda rows: widths.append(rows.agg(F.max("_s")).first()[0]) or real(rows))
+    got = {(r["i"], r["rank"]): r["j"] for r in Q.knn(df, 2).collect()}
+    d = ((p[:, None] - p) ** 2).sum(-1)
+    assert got == {(i, k + 1): int(j) for i in range(len(p)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:2])}
+    assert widths[0] < 0.1  # before: over 2, where the middle's 600 points made all their pairs
