@@ -46,16 +46,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """Numbers words in order of first use and keeps their hashes."""
+#: The bytes that a word's tail has in its last eight.
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
-    def __init__(self, seed: int):
-        self.seed, self.hashes = seed, []
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
-        return n
+def word_hashes(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of ``texts`` in one array, and how many words each text has.
+
+    Words are cut and hashed as arrays, eight bytes of each at a time; those
+    of up to eight bytes have different hashes for sure, but for NUL bytes.
+    """
+    data = b"".join([b"\n", b"\n".join(texts).lower(), b"\n", bytes(8)])
+    chars = np.frombuffer(data, np.uint8)[:-8]
+    space = (chars == 32) | (chars - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    length = ends - starts
+    n = np.diff(np.searchsorted(starts, np.cumsum([1, *[len(t) + 1 for t in texts]])))
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))  # the eight bytes from each place on
+    h = eight[starts] & _TAILS[np.minimum(length, 8)]
+    h = _mixed(h + length.astype(np.uint64) * _MULTIPLIERS[0] + np.uint64(seed * int(_MULTIPLIERS[1]) & 2**64 - 1))
+    more = np.flatnonzero(length > 8)
+    for done in range(8, LONG_WORD, 8):
+        if not len(more):
+            break
+        h[more] = _mixed(h[more] * _MULTIPLIERS[2] + (eight[starts[more] + done] & _TAILS[np.minimum(length[more] - done, 8)]))
+        more = more[length[more] > done + 8]
+    for k in more.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], seed)
+    return h, n
 
 
 class Shingles:
@@ -64,33 +85,33 @@ class Shingles:
     A text of fewer words is one shingle, one without words has none.
     """
 
-    def __init__(self, k: int = 5, seed: int = 0, cache: int = 250_000):
-        self.k, self.seed, self.cache = k, seed, cache
-        self._words = _Words(seed)
+    def __init__(self, k: int = 5, seed: int = 0):
+        self.k, self.seed = k, seed
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all shingles of ``texts``, repeated ones too, in one array, and where each text's begin (and the end)."""
-        if len(self._words) > self.cache:
-            self._words = _Words(self.seed)
-        number = self._words.__getitem__
-        used = [np.fromiter(map(number, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
-        n = np.array([len(x) for x in used], dtype=np.int64)
+        h, n = word_hashes(texts, self.seed)
         ends = np.cumsum(n)
-        h = np.array(self._words.hashes, dtype=np.uint64)[np.concatenate([*used, np.zeros(0, np.int64)])]
         k, total = self.k, len(h)
         wide = np.full(max(total - k + 1, 0), k, dtype=np.uint64)
         for i in range(k if total >= k else 0):
             wide += h[i : total - k + 1 + i] * _MULTIPLIERS[i]
         # windows that run over the end of their text are no shingles; a text of fewer words has one of its own
-        room = np.repeat(ends, n)[: len(wide)] - np.arange(len(wide)) >= k
-        counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-        starts = np.append(0, np.cumsum(counts))
-        out = np.zeros(starts[-1], dtype=np.uint64)
-        long = np.repeat(n >= k, counts)
-        out[long] = wide[room]
-        for at in np.flatnonzero((n > 0) & (n < k)):
+        whole = np.ones(len(wide), dtype=bool)
+        for i in range(1, k):
+            at = ends - i
+            whole[at[(at >= 0) & (at < len(wide))]] = False
+        starts = np.append(0, np.cumsum(np.where(n >= k, n - k + 1, np.minimum(n, 1))))
+        few = np.flatnonzero((n > 0) & (n < k))
+        out = wide[whole]
+        if len(few):
+            long = np.ones(starts[-1], dtype=bool)
+            long[starts[few]] = False
+            wide, out = out, np.zeros(starts[-1], dtype=np.uint64)
+            out[long] = wide
+        for at in few:
             own = h[ends[at] - n[at] : ends[at]]
-            out[starts[at]] = (own * _MULTIPLIERS[: len(own)]).sum(dtype=np.uint64) + n[at : at + 1].view(np.uint64)[0]
+            out[starts[at]] = (own * _MULTIPLIERS[: len(own)]).sum(dtype=np.uint64) + n[at : at + 1].astype(np.uint64)[0]
         return _mixed(out), starts
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:

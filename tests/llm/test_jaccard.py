@@ -175,3 +175,23 @@ def test_leaders_meet_lists_and_not_each_group_of_them(spark, monkeypatch):
     assert [tuple(r) for r in pairs.collect()] == [(7, 50)]
     assert left.count() == 6 * 3  # all but the largest group have led
     assert sent[0] <= 3 * len(entries)  # before: a row for each leader and group that it shares a list with
+
+
+def test_words_are_hashed_as_arrays(monkeypatch):
+    one_by_one, real = [], jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", lambda word, seed: one_by_one.append(word) or real(word, seed))
+    rng = random.Random(5)
+    word = lambda n: bytes(rng.choice(b"aZ\x00\x08\x0e\x1f\x7f\x85\xa0\xff") for _ in range(n))
+    words = [word(n) for n in (1, 2, 7, 8, 9, 15, 16, 17, 24, 63, 64, 65, 200) for _ in range(20)]
+    texts = [b"".join(rng.choice(words) + rng.choice([b" ", b"\n", b"\t\x0b", b"\r\x0c "]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [b"", b" \n", b"A", b" b"]
+    jaccard.Shingles().sets(texts)
+    assert {len(w) for w in one_by_one} == {65, 200}  # before: every word
+    h, n = jaccard.word_hashes(texts, 3)
+    split = [t.lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in split]
+    known = {}
+    for w, x in zip((w for t in split for w in t), h.tolist(), strict=True):
+        assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+    assert not set(known.values()) & set(jaccard.word_hashes(texts, 4)[0].tolist())
+    assert jaccard.word_hashes([], 0)[0].tolist() == []
