@@ -48,10 +48,10 @@ class Blocks:
 
 
 def supervoxel_ids(vox: DataFrame, blocks: Blocks, label: str = "label") -> DataFrame:
-    """block, sv, rank (order of first appearance, x fastest), pcg_id; each block is numbered by itself."""
+    """block, sv, rank (order of first appearance, x fastest, then of labels), pcg_id; each block is numbered by itself."""
     placed = vox.where(F.col(label) != 0).withColumn("block", blocks.of(F.col("x"), F.col("y"), F.col("z")))
     first = placed.groupBy("block", F.col(label).alias("sv")).agg(F.min(F.struct("z", "y", "x")).alias("_at"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("_at")) - 1
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("_at", "sv")) - 1
     return first.select("block", "sv", rank.cast("bigint").alias("rank")).withColumn("pcg_id", blocks.base(F.col("block")) + F.col("rank"))
 
 
