@@ -34,3 +34,8 @@ def test_sq_distances_of_all_points(spark, clouds, monkeypatch):
     rows = entry.queries()["sq_distances"](spark, clouds[0]).collect()
     assert len(rows) == 2 * 60 * 60
     assert {(r.cloud, r.i, r.j): r.d2 for r in rows} == pytest.approx(distances(clouds[1]), abs=2e-6)
+
+
+def test_knn_of_all_points(spark, clouds):
+    rows = entry.queries()["knn"](spark, clouds[0]).collect()
+    assert {(r.cloud, r.i, r.rank, r.j) for r in rows} == nearest(clouds[1], 4) and len(rows) == 120 * 4
