@@ -39,3 +39,9 @@ def test_sq_distances_of_all_points(spark, clouds, monkeypatch):
 def test_knn_of_all_points(spark, clouds):
     rows = entry.queries()["knn"](spark, clouds[0]).collect()
     assert {(r.cloud, r.i, r.rank, r.j) for r in rows} == nearest(clouds[1], 4) and len(rows) == 120 * 4
+
+
+def test_ball_query_of_all_points(spark, clouds):
+    rows = entry.queries()["ball_query"](spark, clouds[0]).collect()
+    assert {(r.cloud, r.i, r.rank, r.j) for r in rows} == nearest(clouds[1], 5, 0.01)
+    assert len(rows) > 120 and 1 in {sum(r.i == i for r in rows) for i in range(1, 121)}
